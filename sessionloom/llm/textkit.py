@@ -112,7 +112,8 @@ def sequence_hash(h: np.ndarray) -> np.uint64:
     with np.errstate(over="ignore"):
         for x in h:
             g = g * _M + x
-    return mix(np.array([g + np.uint64(0x5851F42D4C957F2D)], dtype=np.uint64))[0]
+        g = g + np.uint64(0x5851F42D4C957F2D)
+    return mix(np.array([g], dtype=np.uint64))[0]
 
 
 def window_minimum(h: np.ndarray, w: int) -> np.ndarray:
