@@ -1,4 +1,6 @@
 """All registered queries of the session analytics, with their SQL on DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sessionloom.plans import event_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
+from sessionloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
