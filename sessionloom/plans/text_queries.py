@@ -177,7 +177,7 @@ def interaction_metrics(spark, d):
     c = table(spark, d, "conversations")
     s = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("turns"))
     s = s.agg(F.count("*").alias("sessions"), F.round(F.avg("turns"), 4).alias("mean_turns"), F.median("turns").alias("median_turns"), F.lit(1).alias("one"))
-    p = c.filter("role = 'user'").select(F.length("text").cast("long").alias("n")).agg(rollups.nearest_rank("n", 0.9).alias("p90_chars"), F.median("n").alias("median_chars"), F.lit(1).alias("one"))
+    p = c.filter("role = 'user'").select(F.length("text").cast("long").alias("n")).agg(rollups.nearest_rank("n", 0.9).cast("long").alias("p90_chars"), F.median("n").alias("median_chars"), F.lit(1).alias("one"))
     return s.join(p, "one").drop("one")
 
 
