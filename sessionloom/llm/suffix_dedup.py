@@ -3,8 +3,7 @@
 Suffixes start at winnowed anchors: every window of `window` bytes holds an anchor gram chosen by
 content alone, so that two equal windows hold the same gram at the same place. Suffixes at grams that
 occur once cannot matter and are left out. The others, with the bytes before them that such windows
-need, are range-partitioned by their leading bytes with sampled splitters (repartitionByRange), and
-each bucket sorts its suffixes by a multikey sort of 8-byte symbols. Splitters never part suffixes
+need, are range-partitioned by their leading bytes with sampled splitters, and each bucket sorts its suffixes by a multikey sort of 8-byte symbols. Splitters never part suffixes
 with equal leading bytes, so no match crosses a bucket's boundary. The longest common prefix with
 the sorted neighbours says which windows around an anchor can have a copy; those are compared.
 """
@@ -12,18 +11,24 @@ the sorted neighbours says which windows around an anchor can have a copy; those
 from __future__ import annotations
 
 import hashlib
+import struct
+from bisect import bisect_right
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import textkit as tk
-from sessionloom.llm.common import parts_for, written
+from sessionloom.llm.common import parts_for, plan_bytes
 from sessionloom.llm.spans import BITMAP_BITS, keyed, merged, real_id, repeated_anchors, winnow, with_spans
 
 #: Leading bytes of a suffix that the splitters look at.
 LEAD = 24
+#: Leading bytes of suffixes that the splitters are taken from: about this many for each bucket.
+SAMPLED = 40
 #: Suffixes that are sorted at once, at least (more only if more have the same leading bytes).
 CHUNK = 4096
 
@@ -128,10 +133,14 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, anchors))
 
+    parts = parts_for(docs)
+    splitters = _splitters(docs, parts, window, gram)
+
     def suffixes(batches):
         slots = np.frombuffer(bitmap.value, np.uint32)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in tk.slices(batch, "text"):
+            for part in tk.slices(batch, "text", 12 << 20):
                 data, off, grams = _grams(part.column("text"), gram)
                 at, lo, hi = _anchors(off, grams, window, gram)
                 hit = tk.in_bitmap(slots, grams[at], BITMAP_BITS) if len(at) else np.zeros(0, bool)
@@ -147,26 +156,21 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 own = np.empty(len(lo), OWNER)
                 own["nid"], own["th"] = part.column("nid").to_numpy()[row], part.column("th").to_numpy()[row]
                 own["at"] = lo - off[row]
-                raw, owners = data.tobytes(), own.tobytes()
+                raw, owners, size = data.tobytes(), own.tobytes(), OWNER.itemsize
                 ends = np.append(begin[1:], len(h))[: len(begin)]
-                size = OWNER.itemsize
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([raw[a : a + LEAD] for a in at[begin].tolist()], pa.binary()),
-                        pa.array([raw[a : b + window] for a, b in zip(lo[begin].tolist(), hi[begin].tolist())], pa.binary()),
-                        pa.array((at - lo)[begin], pa.int32()),
-                        pa.array([owners[s * size : e * size] for s, e in zip(begin.tolist(), ends.tolist())], pa.binary()),
-                    ],
-                    names=["lead", "body", "before", "owners"],
-                )
-
-    found = written(docs.mapInArrow(suffixes, "lead binary, body binary, before int, owners binary"), "suffixes")
-    buckets = found.repartitionByRange(parts_for(docs), "lead").sortWithinPartitions("lead")
+                out: dict[int, list] = {}
+                for a, s, e, o, p in zip(at[begin].tolist(), lo[begin].tolist(), (hi[begin] + window).tolist(), begin.tolist(), ends.tolist()):
+                    bucket = bisect_right(splitters, raw[a : a + LEAD])
+                    out.setdefault(bucket, []).append((raw[s:e], a - s, owners[o * size : p * size]))
+                blobs = [press.compress(_pack(rows)) for rows in out.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    buckets = docs.mapInArrow(suffixes, "bucket int, blob binary").repartition(parts, "bucket").groupBy("bucket")
 
     def solve(rows: list[tuple]):
-        bodies = [r[1] for r in rows]
-        before = np.array([r[2] for r in rows], np.int64)
-        owners = [np.frombuffer(r[3], OWNER) for r in rows]
+        bodies = [r[0] for r in rows]
+        before = np.array([r[1] for r in rows], np.int64)
+        owners = [np.frombuffer(r[2], OWNER) for r in rows]
         copies = np.array([len(o) for o in owners])
         count = np.array([len(b) for b in bodies]) - window + 1
         first, last = _copied_windows(bodies, before, count, copies, window)
@@ -175,23 +179,56 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
             return None
         own = np.concatenate([owners[i] for i in keep])
         rep = np.repeat(keep, copies[keep])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(own["nid"]), pa.array(own["th"]), pa.array(own["at"] + first[rep]), pa.array(own["at"] + last[rep] + window)], names=["nid", "th", "s", "e"]
-        )
-
-    def compare(batches):
-        held: list[tuple] = []
+        return pd.DataFrame({"nid": own["nid"], "th": own["th"], "s": own["at"] + first[rep], "e": own["at"] + last[rep] + window})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        press = zstandard.ZstdDecompressor()
+        rows = [r for blob in pdf["blob"] for r in _unpack(press.decompress(blob))]
+        rows.sort(key=lambda r: r[0][r[1] : r[1] + LEAD])
+        out, begin = [], 0
+        for i in range(1, len(rows) + 1):
+            # suffixes with equal leading bytes are compared together
+            if i == len(rows) or i - begin >= CHUNK and rows[i][0][rows[i][1] :][:LEAD] != rows[i - 1][0][rows[i - 1][1] :][:LEAD]:
+                if (got := solve(rows[begin:i])) is not None:
+                    out.append(got)
+                begin = i
+        none = pd.DataFrame({"nid": [], "th": [], "s": [], "e": []}, dtype="int64")
+        return pd.concat(out, ignore_index=True) if out else none
+
+    return buckets.applyInPandas(compare, "nid long, th long, s long, e long")
+
+
+def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[bytes]:
+    """parts - 1 leading byte strings that part a sample of the suffixes evenly."""
+    share = min(1.0, parts * SAMPLED * 200 / max(1, plan_bytes(docs)))
+
+    def leads(batches):
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) >= CHUNK and row[0] != held[-1][0]:
-                    if (got := solve(held)) is not None:
-                        yield got
-                    held = []
-                held.append(row)
-        if held and (got := solve(held)) is not None:
-            yield got
-
-    return buckets.mapInArrow(compare, "nid long, th long, s long, e long")
+            for part in tk.slices(batch, "text"):
+                data, off, grams = _grams(part.column("text"), gram)
+                at, _, _ = _anchors(off, grams, window, gram)
+                raw = data.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + LEAD] for a in at.tolist()], pa.binary())], names=["lead"])
+
+    found = docs.sample(min(1.0, max(share, 200 / max(1.0, plan_bytes(docs) / 1000))), 5).select("text").mapInArrow(leads, "lead binary")
+    keys = sorted(bytes(r[0]) for r in found.limit(parts * SAMPLED * 20).collect())
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+
+
+_COUNT = struct.Struct("<III")
+
+
+def _pack(rows: list[tuple]) -> bytes:
+    return b"".join([x for body, before, own in rows for x in (_COUNT.pack(len(body), before, len(own)), body, own)])
+
+
+def _unpack(data: bytes):
+    at = 0
+    while at < len(data):
+        n, before, m = _COUNT.unpack_from(data, at)
+        at += _COUNT.size
+        yield data[at : at + n], before, data[at + n : at + n + m]
+        at += n + m
 
 
 def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 100, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
