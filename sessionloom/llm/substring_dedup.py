@@ -58,6 +58,23 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
 ROW = np.dtype([("nid", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("h", "<u8")])
 
 
+def _packed(rec: np.ndarray) -> bytes:
+    """Column after column: ids and hashes of one document run on, which packs well in a shuffle."""
+    gaps = np.diff(rec["pos"], prepend=np.uint32(0))
+    planes = np.ascontiguousarray(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return b"".join(x.tobytes() for x in (rec["nid"], rec["th"], planes, rec["h"]))
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // ROW.itemsize
+    rec = np.empty(n, ROW)
+    rec["nid"], rec["th"] = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<i8", n, 8 * n)
+    planes = np.frombuffer(blob, np.uint8, 4 * n, 16 * n).reshape(4, n)
+    rec["pos"] = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+    rec["h"] = np.frombuffer(blob, "<u8", n, 20 * n)
+    return rec
+
+
 def _extended(part, slots, window: int, parts: int) -> pa.RecordBatch:
     """Windows of one slice at repeated seeds: the first copy of each goes out by its seed, the rest is settled."""
     words = tk.Words(part.column("text"))
@@ -84,12 +101,12 @@ def _extended(part, slots, window: int, parts: int) -> pa.RecordBatch:
         if not same.all():
             later = np.sort(rec[~same], order=["nid", "th", "pos"])
             spread = int(later["h"][0] % np.uint64(parts))
-            out.append((spread, True, later.tobytes()))
+            out.append((spread, True, _packed(later)))
         first, target = rec[lead], target[lead]
         order = np.lexsort((first["pos"], first["th"], first["nid"], target))
         first, target = first[order], target[order]
         cut = np.searchsorted(target, np.arange(parts + 1))
-        out += [(i, False, first[cut[i] : cut[i + 1]].tobytes()) for i in range(parts) if cut[i + 1] > cut[i]]
+        out += [(i, False, _packed(first[cut[i] : cut[i + 1]])) for i in range(parts) if cut[i + 1] > cut[i]]
     cols = list(zip(*out)) or [(), (), ()]
     return pa.RecordBatch.from_arrays(
         [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], names=["part", "final", "blob"]
@@ -97,7 +114,7 @@ def _extended(part, slots, window: int, parts: int) -> pa.RecordBatch:
 
 
 def _first_copies(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    rec = np.frombuffer(b"".join(pdf["blob"]), ROW)
+    rec = np.concatenate([_unpacked(b) for b in pdf["blob"]])
     if not key[1]:
         rec = rec[np.lexsort((rec["pos"], rec["th"], rec["nid"], rec["h"]))]
         lead = np.ones(len(rec), bool)
