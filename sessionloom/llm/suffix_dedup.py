@@ -140,7 +140,7 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
         slots = np.frombuffer(bitmap.value, np.uint32)
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in tk.slices(batch, "text", 12 << 20):
+            for part in tk.slices(batch, "text", 4 << 20):
                 data, off, grams = _grams(part.column("text"), gram)
                 at, lo, hi = _anchors(off, grams, window, gram)
                 hit = tk.in_bitmap(slots, grams[at], BITMAP_BITS) if len(at) else np.zeros(0, bool)
