@@ -36,8 +36,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan (file bytes, scaled by the columns that are read)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own size estimate of a plan (file bytes, scaled by the columns that are read); 0 if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def parts_for(df: DataFrame, each: int = 64 << 20) -> int:

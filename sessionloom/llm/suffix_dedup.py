@@ -210,7 +210,7 @@ def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[byte
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + LEAD] for a in at.tolist()], pa.binary())], names=["lead"])
 
-    found = docs.sample(min(1.0, max(share, 200 / max(1.0, plan_bytes(docs) / 1000))), 5).select("text").mapInArrow(leads, "lead binary")
+    found = docs.sample(min(1.0, max(share, 200_000 / max(1, plan_bytes(docs)))), 5).select("text").mapInArrow(leads, "lead binary")
     keys = sorted(bytes(r[0]) for r in found.limit(parts * SAMPLED * 20).collect())
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
