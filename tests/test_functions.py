@@ -1,0 +1,53 @@
+"""Redaction and ordered operators on literal rows."""
+
+from pyspark.sql import functions as F
+
+from sessionloom.functions import classify, text
+from sessionloom.operators import intervals, ordered
+
+
+def one(spark, value, f):
+    return spark.createDataFrame([(value,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]
+
+
+def test_redaction_masks_secrets_and_paths(spark):
+    raw = "Bearer abcdefgh12345 password: hunter2x mail me@host.org at /home/ann/work/a.py ```code``` https://a.b/c?k=v."
+    out = one(spark, raw, text.redact_text)
+    for secret in ("abcdefgh12345", "hunter2x", "me@host.org", "ann", "k=v"):
+        assert secret not in out
+    assert "[code]" in out and "[email]" in out
+
+
+def test_nested_and_open_blocks_go(spark):
+    assert one(spark, "a<system-reminder>x</system-reminder>b<available_skills>rest", text.strip_blocks) == "ab"
+
+
+def test_squeeze_caps(spark):
+    assert one(spark, "  a \n b  " + "c" * 50, lambda c: text.squeeze(c, 8)) == "a b ccc…"
+    assert one(spark, None, text.redact_text) is None
+
+
+def test_classification(spark):
+    assert one(spark, "fix the bug in code", classify.work_area) == "software_engineering"
+    assert one(spark, "nothing here", classify.work_area) == "general"
+    assert one(spark, "operation timed out", classify.failure_cause) == "timeout"
+    assert one(spark, "Exit code: 0\nExit code: 3", classify.exit_code) == 3
+
+
+def test_retries_after_failure_and_state_change(spark):
+    rows = [(1, i, k, f) for i, (k, f) in enumerate([("call", "a"), ("fail", "a"), ("call", "a"), ("change", "b"), ("call", "a")])]
+    df = spark.createDataFrame(rows, "s int, seq int, kind string, f string")
+    kind = F.col("kind")
+    out = ordered.classify_retries(df, ["s"], "f", ["seq"], kind == "call", F.lit(False), kind == "fail", kind == "change")
+    assert [r["retry"] for r in out.orderBy("seq").collect()] == ["none", "unchanged", "after_state_change"]
+
+
+def test_sweep_equals_all_pairs(spark):
+    spans = [(1, 0, 10), (2, 10, 20), (3, 5, 15), (4, 7, 7), (5, 0, 20), (6, 4_000, 9_000)]
+    df = spark.createDataFrame(spans, "id int, s long, e long")
+    live = [x for x in spans if x[1] < x[2]]
+    pairs = sum(a[0] < b[0] and a[1] < b[2] and b[1] < a[2] for a in live for b in live)
+    row = intervals.concurrency(df, "id", "s", "e", bucket_us=6).first()
+    assert row["overlap_pairs"] == pairs and row["max_concurrency"] == 3
+    empty = intervals.concurrency(df.limit(0), "id", "s", "e").first()
+    assert empty["overlap_pairs"] == 0
