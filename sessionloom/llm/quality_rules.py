@@ -25,6 +25,11 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = r"[#*$%&|<>]+"
 
 
+def _settled(verdict: Column) -> Column:
+    """The same verdict, which filters are not pushed below: pushed, they would repeat its whole expression per element."""
+    return verdict & (F.monotonically_increasing_id() >= 0)
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE), "")
 
@@ -76,7 +81,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.when(F.col("__p").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.sort_array(F.array_distinct("__p")))),
         }
     ).drop("__w", "__h", "__l", "__b", "__m", "__s", "__n", "__p")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return out.withColumn("base_failed", _settled((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
 
 
 def _hashes(text: Column) -> Column:
@@ -146,6 +151,6 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
         base_statistics(docs)
         .withColumn("__h", _hashes(text))
         .withColumn("score", F.round(score(F.col("__h"), weights), 6))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        .withColumn("kept", _settled(~F.col("base_failed") & (F.col("score") >= threshold)))
         .drop("__h")
     )
