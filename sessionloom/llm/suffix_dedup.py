@@ -2,10 +2,12 @@
 
 Suffixes start at winnowed anchors: every window of `window` bytes holds an anchor gram chosen by
 content alone, so that two equal windows hold the same gram at the same place. Suffixes at grams that
-occur once cannot matter and are left out. The others, with the bytes before them that such windows
-need, are range-partitioned by their leading bytes with sampled splitters, and each bucket sorts its suffixes by a multikey sort of 8-byte symbols. Splitters never part suffixes
-with equal leading bytes, so no match crosses a bucket's boundary. The longest common prefix with
-the sorted neighbours says which windows around an anchor can have a copy; those are compared.
+occur once cannot matter and are left out. The others come with the bytes before them that such windows
+need. Suffixes with equal bytes are settled by their hashes, and one of them stands for all. The distinct
+ones are range-partitioned by their leading bytes with sampled splitters, and each bucket sorts its
+suffixes by a multikey sort of 8-byte symbols. Splitters never part suffixes with equal leading bytes,
+so no match crosses a bucket's boundary. The longest common prefix with the sorted neighbours says which
+windows around an anchor can have a copy; those are compared.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import textkit as tk
-from sessionloom.llm.common import parts_for, plan_bytes
+from sessionloom.llm.common import parts_for, plan_bytes, written
 from sessionloom.llm.spans import BITMAP_BITS, keyed, merged, real_id, repeated_anchors, winnow, with_spans
 
 #: Leading bytes of a suffix that the splitters look at.
@@ -91,22 +93,23 @@ def suffix_order(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: in
     return order, out
 
 
-def _copied_windows(bodies: list[bytes], lead: np.ndarray, count: np.ndarray, copies: np.ndarray, window: int):
+def _copied_windows(bodies: list[bytes], lead: np.ndarray, count: np.ndarray, settled: np.ndarray, window: int):
     """For each suffix, the first and last of its windows that occur twice or more (-1: none).
 
-    lead: bytes before the suffix in its body; count: its windows, from the body's first byte on.
+    lead: bytes before the suffix in its body; count: its windows, from the body's first byte on;
+    settled: whether its body is known to stand elsewhere too.
     """
     data = np.frombuffer(b"".join(bodies), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
     _, shared = suffix_order(data, off[:-1] + lead, off[1:], window)
     need = np.clip(lead + shared - window + 1, 0, count)  # windows that reach no further than the shared prefix
-    need = np.where(copies > 1, 0, need)
+    need = np.where(settled, 0, need)
     row = np.repeat(np.arange(len(bodies)), need)
     place = np.arange(len(row)) - np.repeat(np.cumsum(need) - need, need)
     begin = off[row] + place
     h = tk.span_hash(tk.prefix_hash(data), begin, begin + window) if len(row) else np.zeros(0, np.uint64)
-    # copies > 1 are settled, but others may equal them: their windows count once more
-    full = np.flatnonzero(copies > 1)
+    # windows of others may equal those of settled bodies, so they are counted
+    full = np.flatnonzero(settled)
     frow = np.repeat(full, count[full])
     fplace = np.arange(len(frow)) - np.repeat(np.cumsum(count[full]) - count[full], count[full])
     fbegin = off[frow] + fplace
@@ -120,7 +123,65 @@ def _copied_windows(bodies: list[bytes], lead: np.ndarray, count: np.ndarray, co
     return first, last
 
 
-OWNER = np.dtype([("nid", "<i8"), ("th", "<i8"), ("at", "<i8")])
+#: A suffix with the windows it stands for: the hash of its bytes, its document, where its bytes begin,
+#: how many they are, and how many of them lie before the anchor.
+FOUND = np.dtype([("h", "<u8"), ("nid", "<i8"), ("th", "<i8"), ("s", "<i8"), ("size", "<u4"), ("before", "<u4")])
+
+
+def _columns(rec: np.ndarray) -> bytes:
+    return b"".join(rec[name].tobytes() for name in FOUND.names)
+
+
+def _records(blob: bytes) -> np.ndarray:
+    rec, at = np.empty(len(blob) // FOUND.itemsize, FOUND), 0
+    for name in FOUND.names:
+        rec[name] = np.frombuffer(blob, FOUND[name], len(rec), at)
+        at += FOUND[name].itemsize * len(rec)
+    return rec
+
+
+def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int) -> DataFrame:
+    """(nid, th, s, e, before, full, send) of each suffix at a repeated anchor.
+
+    full: the same bytes stand elsewhere too, so every window of the suffix is copied. send: the bytes
+    are to be compared; of equal ones, those of one place are.
+    """
+
+    def find(batches):
+        slots = np.frombuffer(bitmap.value, np.uint32)
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in tk.slices(batch, "text", 4 << 20):
+                data, off, grams = _grams(part.column("text"), gram)
+                at, lo, hi = _anchors(off, grams, window, gram)
+                hit = tk.in_bitmap(slots, grams[at], BITMAP_BITS) if len(at) else np.zeros(0, bool)
+                at, lo, hi = at[hit], lo[hit], hi[hit]
+                row = np.searchsorted(off, lo, side="right") - 1
+                rec = np.empty(len(at), FOUND)
+                if len(at):
+                    rec["h"] = tk.mix(tk.span_hash(tk.prefix_hash(data), lo, hi + window) + (at - lo).astype(np.uint64))
+                rec["nid"], rec["th"] = part.column("nid").to_numpy()[row], part.column("th").to_numpy()[row]
+                rec["s"], rec["size"], rec["before"] = lo - off[row], hi - lo + window, at - lo
+                target = (rec["h"] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(target, kind="stable")
+                rec, cut = rec[order], np.searchsorted(target[order], np.arange(parts + 1))
+                some = [i for i in range(parts) if cut[i + 1] > cut[i]]
+                blobs = [press.compress(_columns(rec[cut[i] : cut[i + 1]])) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        press = zstandard.ZstdDecompressor()
+        rec = np.concatenate([_records(press.decompress(blob)) for blob in pdf["blob"]])
+        rec = rec[np.lexsort((rec["s"], rec["th"], rec["nid"], rec["h"]))]
+        new = np.ones(len(rec), bool)
+        new[1:] = rec["h"][1:] != rec["h"][:-1]
+        full = ~new
+        full[:-1] |= ~new[1:]
+        size = rec["size"].astype(np.int64)
+        return pd.DataFrame({"nid": rec["nid"], "th": rec["th"], "s": rec["s"], "e": rec["s"] + size, "before": rec["before"].astype(np.int32), "full": full, "send": new})
+
+    sent = docs.mapInArrow(find, "part int, blob binary").repartition(parts, "part").groupBy("part")
+    return written(sent.applyInPandas(settle, "nid long, th long, s long, e long, before int, full boolean, send boolean"), "suffixes")
 
 
 def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -132,54 +193,39 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
         return grams[at]
 
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, anchors))
-
     parts = parts_for(docs)
     splitters = _splitters(docs, parts, window, gram)
+    told = _suffixes(docs, bitmap, parts, window, gram)
+    wanted = told.filter("send").groupBy("nid", "th").agg(F.collect_list(F.struct("s", "e", "before", "full")).alias("wanted"))
 
-    def suffixes(batches):
-        slots = np.frombuffer(bitmap.value, np.uint32)
+    def cut(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in tk.slices(batch, "text", 4 << 20):
-                data, off, grams = _grams(part.column("text"), gram)
-                at, lo, hi = _anchors(off, grams, window, gram)
-                hit = tk.in_bitmap(slots, grams[at], BITMAP_BITS) if len(at) else np.zeros(0, bool)
-                at, lo, hi = at[hit], lo[hit], hi[hit]
-                h = tk.span_hash(tk.prefix_hash(data), lo, hi + window) if len(at) else np.zeros(0, np.uint64)
-                h = tk.mix(h + (at - lo).astype(np.uint64))
-                order = np.argsort(h, kind="stable")
-                at, lo, hi, h = at[order], lo[order], hi[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                begin = np.flatnonzero(new)
-                row = np.searchsorted(off, lo, side="right") - 1
-                own = np.empty(len(lo), OWNER)
-                own["nid"], own["th"] = part.column("nid").to_numpy()[row], part.column("th").to_numpy()[row]
-                own["at"] = lo - off[row]
-                raw, owners, size = data.tobytes(), own.tobytes(), OWNER.itemsize
-                ends = np.append(begin[1:], len(h))[: len(begin)]
+            for part in tk.slices(batch, "text", 16 << 20):
                 out: dict[int, list] = {}
-                for a, s, e, o, p in zip(at[begin].tolist(), lo[begin].tolist(), (hi[begin] + window).tolist(), begin.tolist(), ends.tolist()):
-                    bucket = bisect_right(splitters, raw[a : a + LEAD])
-                    out.setdefault(bucket, []).append((raw[s:e], a - s, owners[o * size : p * size]))
+                for nid, th, text, found in zip(*(part.column(name).to_pylist() for name in ("nid", "th", "text", "wanted"))):
+                    raw = text.encode()
+                    for x in found:
+                        a = x["s"] + x["before"]
+                        row = (raw[x["s"] : x["e"]], x["before"], x["full"], nid, th, x["s"])
+                        out.setdefault(bisect_right(splitters, raw[a : a + LEAD]), []).append(row)
                 blobs = [press.compress(_pack(rows)) for rows in out.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    buckets = docs.mapInArrow(suffixes, "bucket int, blob binary").repartition(parts, "bucket").groupBy("bucket")
+    # the texts are dealt by (nid, th), as they are again when the spans are cut out: one exchange serves both
+    buckets = docs.join(wanted, ["nid", "th"]).mapInArrow(cut, "bucket int, blob binary").repartition(parts, "bucket").groupBy("bucket")
 
     def solve(rows: list[tuple]):
         bodies = [r[0] for r in rows]
         before = np.array([r[1] for r in rows], np.int64)
-        owners = [np.frombuffer(r[2], OWNER) for r in rows]
-        copies = np.array([len(o) for o in owners])
+        full = np.array([r[2] for r in rows], bool)
         count = np.array([len(b) for b in bodies]) - window + 1
-        first, last = _copied_windows(bodies, before, count, copies, window)
-        keep = np.flatnonzero(last >= 0)
+        first, last = _copied_windows(bodies, before, count, full, window)
+        keep = np.flatnonzero((last >= 0) & ~full)
         if not len(keep):
             return None
-        own = np.concatenate([owners[i] for i in keep])
-        rep = np.repeat(keep, copies[keep])
-        return pd.DataFrame({"nid": own["nid"], "th": own["th"], "s": own["at"] + first[rep], "e": own["at"] + last[rep] + window})
+        nid, th, s = (np.array([rows[i][j] for i in keep], np.int64) for j in (3, 4, 5))
+        return pd.DataFrame({"nid": nid, "th": th, "s": s + first[keep], "e": s + last[keep] + window})
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         press = zstandard.ZstdDecompressor()
@@ -195,7 +241,8 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
         none = pd.DataFrame({"nid": [], "th": [], "s": [], "e": []}, dtype="int64")
         return pd.concat(out, ignore_index=True) if out else none
 
-    return buckets.applyInPandas(compare, "nid long, th long, s long, e long")
+    compared = buckets.applyInPandas(compare, "nid long, th long, s long, e long")
+    return compared.union(told.filter("full").select("nid", "th", "s", "e"))
 
 
 def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[bytes]:
@@ -215,20 +262,20 @@ def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[byte
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
-_COUNT = struct.Struct("<III")
+_HEAD = struct.Struct("<II?qqq")
 
 
 def _pack(rows: list[tuple]) -> bytes:
-    return b"".join([x for body, before, own in rows for x in (_COUNT.pack(len(body), before, len(own)), body, own)])
+    return b"".join([x for body, *rest in rows for x in (_HEAD.pack(len(body), *rest), body)])
 
 
 def _unpack(data: bytes):
     at = 0
     while at < len(data):
-        n, before, m = _COUNT.unpack_from(data, at)
-        at += _COUNT.size
-        yield data[at : at + n], before, data[at + n : at + n + m]
-        at += n + m
+        n, *rest = _HEAD.unpack_from(data, at)
+        at += _HEAD.size
+        yield data[at : at + n], *rest
+        at += n
 
 
 def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 100, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
