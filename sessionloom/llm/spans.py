@@ -36,7 +36,8 @@ def repeated_anchors(docs: DataFrame, anchors) -> bytes:
     """Bitmap of the slots of anchor hashes that occur at least twice in all texts.
 
     anchors(column) gives the anchor hashes of a slice of rows. A task sends each hash at most
-    twice for a slice, in one binary value for each range of hashes.
+    twice for a slice, in one binary value for each range of hashes. Winnowing takes the smallest
+    hashes, so they are mixed anew to spread over all ranges and slots.
     """
     parts = 1 << max(0, (min(parts_for(docs), 1 << 14) - 1).bit_length())
     bits = parts.bit_length() - 1
@@ -44,7 +45,7 @@ def repeated_anchors(docs: DataFrame, anchors) -> bytes:
     def find(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                h, n = np.unique(anchors(part.column("text")), return_counts=True)
+                h, n = np.unique(tk.mix(anchors(part.column("text"))), return_counts=True)
                 h = np.repeat(h, np.minimum(n, 2))
                 cut = np.searchsorted(h >> np.uint64(63 - bits + 1) if bits else np.zeros(len(h), np.uint64), np.arange(parts + 1, dtype=np.uint64))
                 some = [i for i in range(parts) if cut[i + 1] > cut[i]]
@@ -69,11 +70,16 @@ def repeated_anchors(docs: DataFrame, anchors) -> bytes:
     return bytes(whole)
 
 
+def may_repeat(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Whether each anchor hash may occur twice, by the bitmap of repeated anchors."""
+    return tk.in_bitmap(bitmap, tk.mix(anchors), BITMAP_BITS)
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of docs with its removed spans: nid, text, spans array<struct<s, e>> (null: none), the columns to keep."""
     gathered = spans.groupBy("nid", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rows = keyed(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__{c}") for c in keep]), tuple(f"__{c}" for c in keep))
-    return rows.join(gathered, ["nid", "th"], "left").select("nid", "text", "spans", *[F.col(f"`__{c}`").alias(c) for c in keep])
+    return rows.join(gathered.hint("merge"), ["nid", "th"], "left").select("nid", "text", "spans", *[F.col(f"`__{c}`").alias(c) for c in keep])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

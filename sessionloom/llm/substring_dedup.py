@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import textkit as tk
 from sessionloom.llm.common import parts_for
-from sessionloom.llm.spans import BITMAP_BITS, keyed, merged, real_id, repeated_anchors, winnow, with_spans
+from sessionloom.llm.spans import keyed, may_repeat, merged, real_id, repeated_anchors, winnow, with_spans
 
 #: Words of a seed.
 GRAM = 5
@@ -82,7 +82,7 @@ def _extended(part, slots, window: int, parts: int) -> pa.RecordBatch:
     out: list[tuple] = []
     if len(start):
         seed = words.grams(GRAM)[0][at]
-        hit = tk.in_bitmap(slots, seed, BITMAP_BITS)
+        hit = may_repeat(slots, seed)
         start, seed = start[hit], seed[hit]
         h = words.grams(window)[0][start]
         row = np.searchsorted(words.first, start, side="right") - 1

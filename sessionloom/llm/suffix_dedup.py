@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import textkit as tk
 from sessionloom.llm.common import parts_for, plan_bytes, written
-from sessionloom.llm.spans import BITMAP_BITS, keyed, merged, real_id, repeated_anchors, winnow, with_spans
+from sessionloom.llm.spans import keyed, may_repeat, merged, real_id, repeated_anchors, winnow, with_spans
 
 #: Leading bytes of a suffix that the splitters look at.
 LEAD = 24
@@ -154,7 +154,7 @@ def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int) -> Da
             for part in tk.slices(batch, "text", 4 << 20):
                 data, off, grams = _grams(part.column("text"), gram)
                 at, lo, hi = _anchors(off, grams, window, gram)
-                hit = tk.in_bitmap(slots, grams[at], BITMAP_BITS) if len(at) else np.zeros(0, bool)
+                hit = may_repeat(slots, grams[at]) if len(at) else np.zeros(0, bool)
                 at, lo, hi = at[hit], lo[hit], hi[hit]
                 row = np.searchsorted(off, lo, side="right") - 1
                 rec = np.empty(len(at), FOUND)
@@ -213,7 +213,7 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     # the texts are dealt by (nid, th), as they are again when the spans are cut out: one exchange serves both
-    buckets = docs.join(wanted, ["nid", "th"]).mapInArrow(cut, "bucket int, blob binary").repartition(parts, "bucket").groupBy("bucket")
+    buckets = docs.join(wanted.hint("merge"), ["nid", "th"]).mapInArrow(cut, "bucket int, blob binary").repartition(parts, "bucket").groupBy("bucket")
 
     def solve(rows: list[tuple]):
         bodies = [r[0] for r in rows]
