@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.functions import classify
-from sessionloom.operators import ordered, rollups
+from sessionloom.operators import ordered, rollups, selection
 from sessionloom.plans.registry import query, table
 from sessionloom.sources import incremental
 
@@ -131,3 +131,15 @@ def incremental_upsert(spark, d):
 def narrative_facts(spark, d):
     per = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
     return per.agg(F.round(100.0 * F.max("n") / F.sum("n"), 4).alias("top_share"), F.sum("done").alias("completed"))
+
+
+@query()
+def quota_selection(spark, d):
+    """24 orders under the quotas of families. Project: customer; friction: returned lines; success: finished; complexity: price."""
+    back = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("family_id")).agg(F.count("*").alias("friction"))
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("family_id"), F.col("o_custkey").alias("project"), F.col("o_orderdate").alias("date"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("success"), F.round(F.col("o_totalprice") * 100).cast("long").alias("complexity"),
+    )
+    families = o.join(back, "family_id", "left").withColumn("friction", F.coalesce("friction", F.lit(0)))
+    return selection.select_families(families, 24)
