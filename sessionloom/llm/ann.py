@@ -2,10 +2,10 @@
 
 Every vector is projected on random lines, one sorted array each. A query opens a window around its own
 projection in every array and widens all of them by a constant factor (virtual rehashing) until enough
-vectors lie in at least THRESHOLD of the windows; those are verified by their exact inner product.
+vectors of other ids lie in at least THRESHOLD of the windows; those are verified by their exact inner product.
 
-Vectors are dealt into shards of bounded size, each with sorted arrays of its own, and the queries into
-blocks; each block visits each shard. One more coordinate makes all vectors equally long, so that
+Vectors are dealt row by row into shards of bounded size, however often an id is repeated, each with sorted
+arrays of its own, and the queries into blocks; each block visits each shard. One more coordinate makes all vectors equally long, so that
 the nearest in distance have the largest inner product.
 """
 
@@ -40,6 +40,21 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (usual["d"] if usual else 0))
 
 
+def dealt(df: DataFrame, name: str, n: int, *by: str) -> DataFrame:
+    """df with the number, below n, of the part that the hash of some columns gives each row."""
+    return df.withColumn(name, F.pmod(F.xxhash64(*by), F.lit(n)).cast("int"))
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """rows with a number of each row; to be written, so that a row stays in its shard when a task is repeated."""
+    return rows.withColumn("salt", F.monotonically_increasing_id())
+
+
+def sharded(rows: DataFrame, shards: int) -> DataFrame:
+    """Salted rows by shard: also the rows of one id are spread."""
+    return dealt(rows, "shard", shards, "vec_id", "salt").drop("salt")
+
+
 def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query.
 
@@ -50,21 +65,18 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     null id, take no part. Repeated rows are candidates of their own, and as queries count once. Other
     columns are ignored; an empty table gives no rows.
     """
-    rows = written(valid_vectors(vectors, id_col, vec_col), "vectors")
+    rows = written(salted(valid_vectors(vectors, id_col, vec_col)), "vectors")
     stats = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     shards = max(1, -(-stats["n"] // SHARD_ROWS))
-    asked = rows.filter(queries).dropDuplicates(["vec_id"])
+    asked = rows.filter(queries).drop("salt").dropDuplicates(["vec_id"])
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     longest = float(stats["m"] or 1.0) ** 0.5
 
-    def dealt(df, name, n):
-        return df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-
     def everywhere(df, name, n):
         return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
-    data = everywhere(dealt(rows, "shard", shards), "block", blocks)
-    ask = everywhere(dealt(asked, "block", blocks), "shard", shards)
+    data = everywhere(sharded(rows, shards), "block", blocks)
+    ask = everywhere(dealt(asked, "block", blocks, "vec_id"), "shard", shards)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -95,36 +107,39 @@ def _candidates(x, ids, right, longest, k, seed):
     at = np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))]) @ lines
     widths = FIRST_WIDTH * WIDEN ** np.arange(LEVELS)
     widths[-1] = 4.0  # all of every array
-    place = np.empty((PROJECTIONS, n), np.uint16)  # the place of each vector in each sorted array
-    lo = np.empty((len(q), LEVELS, PROJECTIONS), np.uint16)
-    size = np.empty((len(q), LEVELS, PROJECTIONS), np.uint16)
+    kind = np.uint16 if n < 1 << 16 else np.uint32  # holds every place, and n
+    place = np.empty((PROJECTIONS, n), kind)  # the place of each vector in each sorted array
+    lo = np.empty((len(q), LEVELS, PROJECTIONS), kind)
+    size = np.empty((len(q), LEVELS, PROJECTIONS), kind)
     for j in range(PROJECTIONS):
         order = np.argsort(proj[:, j], kind="stable")
-        place[j, order] = np.arange(n, dtype=np.uint16)
+        place[j, order] = np.arange(n, dtype=kind)
         array = proj[order, j]
         first = np.searchsorted(array, at[:, j, None] - widths)
         lo[:, :, j], size[:, :, j] = first, np.searchsorted(array, at[:, j, None] + widths, side="right") - first
-    need, floor = min(n, k + int(VERIFIED * n)), int(np.ceil(THRESHOLD * PROJECTIONS))
-    offset, inside = np.empty(n, np.uint16), np.empty(n, bool)
+    most, floor = k + int(VERIFIED * n), int(np.ceil(THRESHOLD * PROJECTIONS))
+    offset, inside = np.empty(n, kind), np.empty(n, bool)
 
-    def collided(i: int, level: int) -> np.ndarray:
+    def collided(i: int, level: int, other: np.ndarray) -> np.ndarray:
         counts = np.zeros(n, np.uint8)
         for j in range(PROJECTIONS):
             np.subtract(place[j], lo[i, level, j], out=offset)
             np.less(offset, size[i, level, j], out=inside)
             np.add(counts, inside.view(np.uint8), out=counts)
-        return np.flatnonzero(counts >= floor)
+        return np.flatnonzero((counts >= floor) & other)
 
     level = LEVELS // 2
     for i, qid in enumerate(right["vec_id"].to_numpy()):
         # windows are nested, so the narrowest that hold enough can be sought from the last query's width
-        hit = collided(i, level)
+        other = ids != qid
+        need = min(int(np.count_nonzero(other)), most)
+        hit = collided(i, level, other)
         while len(hit) < need and level < LEVELS - 1:
             level += 1
-            hit = collided(i, level)
+            hit = collided(i, level, other)
             if len(hit) >= need:
                 break
         else:
-            while level and len(less := collided(i, level - 1)) >= need:
+            while level and len(less := collided(i, level - 1, other)) >= need:
                 level, hit = level - 1, less
-        yield qid, q[i], hit[ids[hit] != qid]
+        yield qid, q[i], hit

@@ -119,6 +119,38 @@ def test_nearest(spark):
     assert len(got) == 100 and hit >= 90
 
 
+def test_nearest_of_a_repeated_id(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((300, 16))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 150
+    got = nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).toPandas()
+    assert len(got) == 5 and 0 not in set(got.vec_id)
+    assert len(set(np.argsort(-(x[1:] @ x[0]))[:5] + 1) & set(got.vec_id)) >= 4
+
+
+def test_shards_of_a_repeated_id(spark):
+    from sessionloom.llm import ann
+
+    rows = ann.salted(spark.createDataFrame([(20, [1.0])] * 3000 + [(i, [1.0]) for i in range(3000)], "vec_id long, v array<double>"))
+    sizes = [r["count"] for r in ann.sharded(rows, 6).groupBy("shard").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 1200
+
+
+def test_nearest_in_a_large_shard():
+    import numpy as np
+    import pandas as pd
+
+    from sessionloom.llm.ann import _candidates
+
+    x = np.random.default_rng(3).standard_normal((70_000, 4))
+    right = pd.DataFrame({"vec_id": [1], "v": [x[1]]})
+    ((_, q, hit),) = _candidates(x, np.arange(len(x)), right, float(np.linalg.norm(x, axis=1).max()), 5, 7)
+    s = x @ q
+    s[1] = -1e9
+    assert set(np.argsort(-s)[:5]) <= set(hit) and len(hit) < 40_000
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
