@@ -29,12 +29,13 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
     return suffixes.join(places.filter("lo <> hi"), "name")
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """docs(doc_id, text, ...) with the text that is left, and n_lines and n_removed_lines.
 
     Lines are split at \\n; those without a word (only ASCII white space) count neither in runs nor in the
-    numbers, and stay. A run of min_lines or more lines that also starts earlier (a smaller doc_id, or
-    the same document before) is deleted; runs are judged on the input.
+    numbers, and stay. A run of min_lines or more lines, or (if given) of fewer lines with min_words or more
+    words, that also starts earlier (a smaller doc_id, or the same document before) is deleted; runs are
+    judged on the input.
 
     Nulls: a null text stays null, without lines; a null doc_id comes before all others. Rows of one
     doc_id are ordered by the hash of their texts; repeated rows (id and text) are one document and get
@@ -47,19 +48,37 @@ def line_dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     lines = F.filter(
         F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]")
     )
-    ids = F.transform(lines, lambda s: F.struct(_name(s["x"]).alias("name"), s["i"].alias("line")))
+    by_words = min_words is not None
+    size = {"words": F.size(F.filter(F.split("s.x", r"[\x20\x09-\x0D]+"), lambda w: w != ""))} if by_words else {}
+    ids = F.transform(lines, lambda s: F.struct(_name(s["x"]).alias("name"), s["i"].alias("line"), *([s["x"].alias("x")] if by_words else [])))
     suffixes = written(
-        docs.select(*[v.alias(k) for k, v in key.items()], F.posexplode(ids).alias("pos", "s")).select(*_KEY, "pos", "s.name", "s.line"), "line-ids"
+        docs.select(*[v.alias(k) for k, v in key.items()], F.posexplode(ids).alias("pos", "s"))
+        .select(*_KEY, "pos", "s.name", "s.line", *[v.alias(k) for k, v in size.items()]),
+        "line-ids",
     )
-    place, length = suffixes.drop("name"), 1
+    place, length = suffixes.select(*_KEY, "pos", "line"), 1
     ranked = _repeated(suffixes.drop("line"))
+
+    def copies(rows: DataFrame, length: int) -> DataFrame:
+        later = rows.filter(F.struct(*_KEY, "pos") != F.col("lo"))
+        return later.select(*_KEY, F.explode(F.sequence("pos", F.col("pos") + length - 1)).alias("pos"))
+
+    short = []
     while length < min_lines:
-        step = min(length, min_lines - length)
-        later = ranked.select(*_KEY, (F.col("pos") - step).alias("pos"), F.col("name").alias("next")).distinct()
-        joined = ranked.select(*_KEY, "pos", "name").distinct().join(later, [*_KEY, "pos"])
-        ranked = _repeated(joined.select(*_KEY, "pos", _name("name", "next").alias("name")))
+        # with a bound on words every length counts, so the next is one line longer: the words of the first line are added
+        step = 1 if by_words else min(length, min_lines - length)
+        total = {}
+        if by_words:
+            short.append(copies(ranked.filter(F.col("words") >= min_words), length))
+            total = {"words": F.col("more") + F.col("head"), "head": F.col("head")} if length > 1 else {"words": F.col("more") + F.col("words"), "head": F.col("words")}
+        later = ranked.select(*_KEY, (F.col("pos") - step).alias("pos"), F.col("name").alias("next"), *[F.col("words").alias("more")] * by_words).distinct()
+        mine = ranked.select(*_KEY, "pos", "name", *(["words"] + ["head"] * (length > 1)) * by_words)
+        joined = mine.distinct().join(later, [*_KEY, "pos"])
+        ranked = _repeated(joined.select(*_KEY, "pos", _name("name", "next").alias("name"), *[v.alias(k) for k, v in total.items()]))
         length += step
-    runs = ranked.filter(F.struct(*_KEY, "pos") != F.col("lo")).select(*_KEY, F.explode(F.sequence("pos", F.col("pos") + min_lines - 1)).alias("pos"))
+    runs = copies(ranked, min_lines)
+    for more in short:
+        runs = runs.union(more)
     gone = runs.distinct().join(place.distinct(), [*_KEY, "pos"]).groupBy(*_KEY).agg(F.collect_list("line").alias("__gone"))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]

@@ -70,6 +70,12 @@ def test_line_dedup(spark):
     assert got == {1: ("a\nb\nc\nd", 0), 2: ("x\n \ny", 3), 3: ("b\nc", 0), None: (None, 0), 4: ("", 0)}
 
 
+def test_line_dedup_by_words(spark):
+    docs = [(1, "a a a\nb b\nc"), (2, "a a a\nx"), (3, "y\nb b\n\nc\nz"), (4, "b b\nq"), (5, "c\nr")]
+    got = line_dedup.line_dedup(frame(spark, docs), min_lines=4, min_words=3).select("doc_id", "text", "n_removed_lines")
+    assert sorted(map(tuple, got.collect())) == [(1, "a a a\nb b\nc", 0), (2, "x", 1), (3, "y\n\nz", 2), (4, "b b\nq", 0), (5, "c\nr", 0)]
+
+
 def test_packing(spark):
     docs = corpus()
     got = packing.pack_documents(frame(spark, docs), tokenizer_path("word_bpe_49k.json"), capacity=64).toPandas()
