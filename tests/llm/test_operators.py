@@ -1,5 +1,6 @@
 """The operators against brute force, with nulls, empty and repeated texts, clashing columns and empty tables."""
 
+import hashlib
 import random
 
 import brute
@@ -179,6 +180,32 @@ def test_empty_tables(spark, f):
     assert f(frame(spark, [])).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    passage, short, twice = line(51), " ".join("abcdefgh"[rng.randrange(8)] for _ in range(51)), line(30) + "\n" + line(30)
+    docs = [(i, f"{line(80)} {x} {line(80)}") for i, x in enumerate([passage, passage, short, short, ""])]
+    docs += [(i, f"{line(60)}\n{twice}\n{line(60)}") for i in (5, 6)]
+    docs += [(7, docs[4][1] + " z"), (8, docs[4][1])]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    now = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in docs], shape)
+    want = dict(docs) | {6: docs[6][1].replace(twice + "\n", "")} | {8: ""}  # one line of over 50 words
+    now = corpus_pipeline.line_dedup_stage(spark, now, "")
+    assert {r.doc_id: r.text for r in now.collect()} == want
+    groups = {i: c for i, _, c in brute.jaccard(list(want.items()))}
+    want = {i: t for i, t in want.items() if groups[i] == i}
+    now = corpus_pipeline.near_duplicates_stage(spark, now, "")
+    assert {r.doc_id: r.text for r in now.collect()} == want and 7 not in want
+    width, gone = corpus_pipeline.PASSAGE_BYTES, {}
+    for i, _, removed, _, sha in brute.bytes_dedup(list(want.items()), width):
+        gone[i] = removed, sha
+    got = corpus_pipeline.suffix_dedup_stage(spark, now, "").collect()
+    assert {r.doc_id: (len(want[r.doc_id]) - len(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for r in got} == gone
+    assert all(x not in r.text for r in got for x in (passage, short))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
