@@ -76,14 +76,17 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _extended(part, slots, window: int, parts: int) -> pa.RecordBatch:
-    """Windows of one slice at repeated seeds: the first copy of each goes out by its seed, the rest is settled."""
+    """Windows of one slice at repeated seeds: the first copy of each goes out by its own hash, the rest is settled.
+
+    Only equal windows must meet; those of a seed that very many documents share are spread.
+    """
     words = tk.Words(part.column("text"))
     start, at = _windows(words, window)
     out: list[tuple] = []
     if len(start):
         seed = words.grams(GRAM)[0][at]
         hit = may_repeat(slots, seed)
-        start, seed = start[hit], seed[hit]
+        start = start[hit]
         h = words.grams(window)[0][start]
         row = np.searchsorted(words.first, start, side="right") - 1
         rec = np.empty(len(start), ROW)
@@ -92,12 +95,12 @@ def _extended(part, slots, window: int, parts: int) -> pa.RecordBatch:
         rec["pos"] = start - words.first[row]
         rec["h"] = h
         order = np.lexsort((rec["pos"], rec["th"], rec["nid"], h))
-        rec, seed = rec[order], seed[order]
+        rec = rec[order]
         lead = np.ones(len(rec), bool)
         lead[1:] = rec["h"][1:] != rec["h"][:-1]
         top = np.maximum.accumulate(np.where(lead, np.arange(len(rec)), 0))
         same = (rec["nid"] == rec["nid"][top]) & (rec["th"] == rec["th"][top]) & (rec["pos"] == rec["pos"][top])
-        target = (seed % np.uint64(parts)).astype(np.int64)
+        target = (rec["h"] % np.uint64(parts)).astype(np.int64)
         if not same.all():
             later = np.sort(rec[~same], order=["nid", "th", "pos"])
             spread = int(later["h"][0] % np.uint64(parts))

@@ -64,22 +64,30 @@ def _anchors(off: np.ndarray, grams: np.ndarray, window: int, gram: int) -> tupl
 def suffix_order(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Multikey sort of data[start:end] by 8-byte symbols (zeros after the end).
 
-    Each round sorts only the suffixes that are still tied, by their next symbol. Returns the order and
+    Each round reads and sorts only the suffixes that are still tied, by their next symbol, so that memory
+    does not grow with the width. Returns the order and
     an upper bound, in bytes, of each suffix's longest common prefix with its neighbours.
     """
     n, rounds = len(start), -(-width // 8)
-    at = start[:, None] + np.arange(rounds * 8)
-    text = np.where(at < end[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
-    symbols = text.view(">u8").astype(np.uint64)
+
+    def symbols(some: np.ndarray, r: int) -> np.ndarray:
+        out = np.zeros(len(some), np.uint64)
+        for j in range(r * 8, r * 8 + 8):
+            at = start[some] + j
+            byte = np.where(at < end[some], data[np.minimum(at, len(data) - 1)], 0)
+            out = (out << np.uint64(8)) | byte.astype(np.uint64)
+        return out
+
     order, group, shared = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
     tied = np.arange(n)
     for r in range(rounds):
         if len(tied) < 2:
             break
         part = order[tied]
-        sub = np.lexsort((symbols[part, r], group[tied]))
+        s = symbols(part, r)
+        sub = np.lexsort((s, group[tied]))
         order[tied] = part[sub]
-        g, s = group[tied], symbols[order[tied], r]
+        g, s = group[tied], s[sub]
         equal = np.zeros(len(tied), bool)
         equal[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1]) & (tied[1:] == tied[:-1] + 1)
         group[tied] = np.cumsum(~equal)

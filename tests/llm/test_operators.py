@@ -57,6 +57,38 @@ def test_substring_dedup(spark):
     assert rows(got, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == brute.word_dedup(docs, 20)
 
 
+def test_windows_of_a_shared_seed_are_spread():
+    import numpy as np
+    import pyarrow as pa
+
+    from sessionloom.llm import textkit as tk
+
+    gram = lambda s: int(tk.Words(pa.array([s])).grams(substring_dedup.GRAM)[0][0])
+    seed = min((f"seed{i} b c d e" for i in range(5000)), key=gram)  # a small hash, which winnowing takes
+    texts = [" ".join(f"l{i}x{j}" for j in range(19)) + f" {seed} " + " ".join(f"r{i}x{j}" for j in range(19)) for i in range(200)]
+    slots, slot = np.zeros(1 << 21, np.uint32), int(tk.mix(np.array([gram(seed)], np.uint64))[0]) >> 38
+    slots[slot >> 5] = 1 << (slot & 31)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(range(200)), pa.array(texts)], names=["nid", "th", "text"])
+    sent = substring_dedup._extended(batch, slots, 20, 16).to_pandas()
+    size = sent["blob"].map(len)
+    assert size.sum() > 200 * 10 * substring_dedup.ROW.itemsize and len(sent) == 16 and size.max() < size.sum() / 8
+
+
+def test_memory_of_suffix_order():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    body = [b"same leading bytes " * 2 + rng.integers(97, 100, rng.integers(0, 300), np.uint8).tobytes() for _ in range(4000)]
+    data, end = np.frombuffer(b"".join(body), np.uint8), np.cumsum([len(b) for b in body])
+    tracemalloc.start()
+    order, _ = suffix_dedup.suffix_order(data, end - [len(b) for b in body], end, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [body[i] for i in order] == sorted(body) and peak < 4000 * 400
+
+
 def test_quality_base(spark):
     docs = corpus()
     got = quality_rules.quality_rules(frame(spark, docs), frame(spark, docs[:20]).select("doc_id"))
