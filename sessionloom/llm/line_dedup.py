@@ -1,16 +1,17 @@
 """Line dedup: later copies of repeated line runs go. DataFrame functions only.
 
-The lines of all documents are sequences of line ids. A suffix array's equal prefixes of length m are
-named by prefix doubling: a suffix's name at length 2m joins its name at m with that of the suffix m lines
-later. After each round only suffixes whose name occurs more than once go on, since the longest common
-prefix of any other with its neighbours is below m. Suffixes with one name at the wanted length form
-the longest-common-prefix intervals: the starts of repeated runs. All but the first are deleted, each
-with the lines that the name covers, so that overlapping intervals delete maximal runs whole.
+The lines of all documents are sequences of line ids. Equal prefixes of length m of their suffixes are ranked by prefix
+doubling: a suffix's rank at length 2m comes from its rank at m and that of the suffix m lines later. The rank of a
+class of equal prefixes is its first place, so ranks are exact from the second round on, however long the prefix. After each
+round only suffixes whose rank is shared go on, since the longest common prefix of any other with its neighbours is below
+m. From the wanted length on, longest-common-prefix intervals are read off the ranks: as long as a suffix and its
+first copy both advance by one line and stay of one rank, their common prefix goes on. Each such stretch is a maximal
+repeated run with the place of its first copy; later copies are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import written
@@ -24,9 +25,28 @@ def _name(*parts: Column) -> Column:
 
 
 def _repeated(suffixes: DataFrame) -> DataFrame:
-    """The suffixes whose name occurs at another place too. Counting is combined before the shuffle."""
+    """The suffixes whose name occurs at another place too, with the first place (lo) that has it.
+
+    Counting is combined before the shuffle. The names are written, so that both sides of the join are plain
+    shuffles, of which a name that very many suffixes share can be split.
+    """
     places = suffixes.groupBy("name").agg(F.min(F.struct(*_KEY, "pos")).alias("lo"), F.max(F.struct(*_KEY, "pos")).alias("hi"))
-    return suffixes.join(places.filter("lo <> hi"), "name")
+    return suffixes.join(written(places.filter("lo <> hi").select("name", "lo"), "names"), "name")
+
+
+def maximal_runs(ranked: DataFrame, length: int) -> DataFrame:
+    """(nid, th, start, lines): the maximal runs of at least `length` lines that have an earlier copy.
+
+    ranked: (nid, th, pos, lo) of the suffixes that share their first `length` lines, lo being the first of them.
+    """
+    later = ranked.filter(F.struct(*_KEY, "pos") != F.col("lo")).select(
+        *_KEY, "pos", F.col("lo.nid").alias("n0"), F.col("lo.th").alias("t0"), (F.col("lo.pos") - F.col("pos")).alias("shift")
+    )
+    along = [*_KEY, "n0", "t0", "shift"]
+    turn = F.row_number().over(Window.partitionBy(*along).orderBy("pos"))
+    stretch = later.distinct().withColumn("stretch", F.col("pos") - turn).groupBy(*along, "stretch")
+    runs = stretch.agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    return runs.select(*_KEY, "start", (F.col("end") - F.col("start") + length).alias("lines"))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
@@ -45,53 +65,48 @@ def line_dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     nid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     key = {"nid": nid, "th": F.xxhash64(text)}
-    lines = F.filter(
-        F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]")
-    )
+    split = F.split(text, "\n")
+    lines = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
     by_words = min_words is not None
     size = {"words": F.size(F.filter(F.split("s.x", r"[\x20\x09-\x0D]+"), lambda w: w != ""))} if by_words else {}
-    ids = F.transform(lines, lambda s: F.struct(_name(s["x"]).alias("name"), s["i"].alias("line"), *([s["x"].alias("x")] if by_words else [])))
+    ids = F.transform(lines, lambda s: F.struct(_name(s["x"]).alias("name"), *([s["x"].alias("x")] if by_words else [])))
     suffixes = written(
         docs.select(*[v.alias(k) for k, v in key.items()], F.posexplode(ids).alias("pos", "s"))
-        .select(*_KEY, "pos", "s.name", "s.line", *[v.alias(k) for k, v in size.items()]),
+        .select(*_KEY, "pos", "s.name", *[v.alias(k) for k, v in size.items()]),
         "line-ids",
     )
-    place, length = suffixes.select(*_KEY, "pos", "line"), 1
-    ranked = _repeated(suffixes.drop("line"))
-
-    def copies(rows: DataFrame, length: int) -> DataFrame:
-        later = rows.filter(F.struct(*_KEY, "pos") != F.col("lo"))
-        return later.select(*_KEY, F.explode(F.sequence("pos", F.col("pos") + length - 1)).alias("pos"))
-
-    short = []
+    ranked, length, runs = _repeated(suffixes), 1, []
     while length < min_lines:
         # with a bound on words every length counts, so the next is one line longer: the words of the first line are added
         step = 1 if by_words else min(length, min_lines - length)
         total = {}
         if by_words:
-            short.append(copies(ranked.filter(F.col("words") >= min_words), length))
+            runs.append(maximal_runs(ranked.filter(F.col("words") >= min_words), length))
             total = {"words": F.col("more") + F.col("head"), "head": F.col("head")} if length > 1 else {"words": F.col("more") + F.col("words"), "head": F.col("words")}
-        later = ranked.select(*_KEY, (F.col("pos") - step).alias("pos"), F.col("name").alias("next"), *[F.col("words").alias("more")] * by_words).distinct()
-        mine = ranked.select(*_KEY, "pos", "name", *(["words"] + ["head"] * (length > 1)) * by_words)
+        later = ranked.select(*_KEY, (F.col("pos") - step).alias("pos"), F.col("lo").alias("next"), *[F.col("words").alias("more")] * by_words).distinct()
+        mine = ranked.select(*_KEY, "pos", "lo", *(["words"] + ["head"] * (length > 1)) * by_words)
         joined = mine.distinct().join(later, [*_KEY, "pos"])
-        ranked = _repeated(joined.select(*_KEY, "pos", _name("name", "next").alias("name"), *[v.alias(k) for k, v in total.items()]))
+        ranked = _repeated(joined.select(*_KEY, "pos", F.struct("lo", "next").alias("name"), *[v.alias(k) for k, v in total.items()]))
         length += step
-    runs = copies(ranked, min_lines)
-    for more in short:
-        runs = runs.union(more)
-    gone = runs.distinct().join(place.distinct(), [*_KEY, "pos"]).groupBy(*_KEY).agg(F.collect_list("line").alias("__gone"))
+    found = maximal_runs(ranked, min_lines)
+    for more in runs:
+        found = found.union(more)
+    gone = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "lines")).alias("__runs"))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    base = docs.select(*[F.col(f"`{c}`") for c in names], *[v.alias(f"__{k}") for k, v in key.items()])
-    gone = gone.withColumnsRenamed({k: f"__{k}" for k in _KEY})
-    out = base.join(gone, ["__nid", "__th"], "left")
-    split = F.split(text, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone")), lambda i: F.get(split, i))
-    n_lines = F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    worded = F.transform(lines, lambda s: s["i"])
+    base = docs.select(*[F.col(f"`{c}`") for c in names], *[v.alias(f"__{k}") for k, v in key.items()], worded.alias("__worded"))
+    out = base.join(gone.withColumnsRenamed({k: f"__{k}" for k in _KEY}), ["__nid", "__th"], "left")
+    # the runs of a document as places among its lines; inline keeps them and the lines from being computed once per element
+    places = F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1)))
+    doomed = F.array_distinct(F.transform(places, lambda p: F.get("__worded", p)))
+    told = F.struct(F.when(F.col("__runs").isNotNull(), split).alias("__lines"), F.coalesce(doomed, F.array().cast("array<int>")).alias("__doomed"))
+    out = out.select(*[F.col(f"`{c}`") for c in names], "__worded", F.inline(F.array(told)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__doomed"), lambda i: F.get("__lines", i))
     return out.withColumns(
         {
-            "n_lines": n_lines,
-            "n_removed_lines": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
-            "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+            "n_lines": F.size("__worded").cast("long"),
+            "n_removed_lines": F.size("__doomed").cast("long"),
+            "text": F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
         }
-    ).select(*names, "n_lines", "n_removed_lines")
+    ).select(*[F.col(f"`{c}`") for c in names], "n_lines", "n_removed_lines")
