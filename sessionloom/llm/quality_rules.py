@@ -21,15 +21,11 @@ TRUSTED = 20_000
 #: Scores below this are rejected: the mean weight, in nats per feature.
 THRESHOLD = -0.02
 
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = r"[#*$%&|<>]+"
 
 
-def _settled(verdict: Column) -> Column:
-    """The same verdict, which filters are not pushed below: pushed, they would repeat its whole expression per element."""
-    return verdict & (F.monotonically_increasing_id() >= 0)
-
-
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE), "")
 
@@ -81,7 +77,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.when(F.col("__p").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.sort_array(F.array_distinct("__p")))),
         }
     ).drop("__w", "__h", "__l", "__b", "__m", "__s", "__n", "__p")
-    return out.withColumn("base_failed", _settled((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def _hashes(text: Column) -> Column:
@@ -147,10 +143,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     """
     weights = slot_weights(docs, trusted)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return (
-        base_statistics(docs)
-        .withColumn("__h", _hashes(text))
-        .withColumn("score", F.round(score(F.col("__h"), weights), 6))
-        .withColumn("kept", _settled(~F.col("base_failed") & (F.col("score") >= threshold)))
-        .drop("__h")
-    )
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
+    scored = base_statistics(docs).withColumn("__h", _hashes(text)).withColumn("score", F.round(score(F.col("__h"), weights), 6))
+    # a row of a generator: filters on it stay above, so that the expressions behind it are not repeated
+    told = scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*ADDED[:-1]))))
+    return told.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
