@@ -82,7 +82,11 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, wide:
 
 
 def read_records(spark: SparkSession, path: str, wide: bool = False, with_ids: bool = False) -> DataFrame:
-    """One row per record: file, offset, length, doc_id, n_tokens, ids_crc32, before (ids before it in its file)[, ids]."""
+    """One row per record: file, offset, length, doc_id, n_tokens, ids_crc32, before (ids before it in its file)[, ids].
+
+    A damaged frame raises. A record without an id has a null doc_id; repeated ids and records are rows of their own, in
+    the order of the file; a path without records gives no rows.
+    """
 
     def parse(batches):
         for batch in batches:
@@ -104,7 +108,10 @@ def read_records(spark: SparkSession, path: str, wide: bool = False, with_ids: b
 
 
 def build_index(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
-    """Reads the files back and writes the offset index; adds `start`, the ids of all records before each."""
+    """Reads the files back and writes the offset index; adds `start`, the ids of all records before each.
+
+    Null and repeated ids are kept as in the files; a path without records gives an empty index.
+    """
     records = written(read_records(spark, path, wide), "record-index")
     totals = records.groupBy("file").agg(F.sum("n_tokens").alias("t"))  # one row per file
     base = totals.select("file", (F.sum("t").over(Window.orderBy("file")) - F.col("t")).alias("base"))
@@ -112,19 +119,27 @@ def build_index(spark: SparkSession, path: str, wide: bool = False) -> DataFrame
 
 
 def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int, wide: bool = False) -> DataFrame:
-    """Records of `index` (any subset of it) in random order: each is cut out of its file by offset and length."""
+    """doc_id and ids of the records of `index` (any subset of it) in random order, by offset and length.
+
+    The order is drawn over the index, a few numbers a record. Its entries are gathered by file, so that each file is read
+    once, in one task, and its records are sent to their places; a file is about as large as a task of write_records.
+    A null doc_id stays null; a record that is named twice comes twice; an empty index gives no rows. Order and
+    numbers of partitions follow the seed alone.
+    """
 
     def cut(batches):
         for batch in batches:
-            rows = [next(frames_of(x, wide)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3].astype(np.int32) for r in rows], pa.list_(pa.int32()))],
-                names=["doc_id", "ids"],
-            )
-
+            for content, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+                data, rows = memoryview(content.as_buffer()), []
+                for x in wanted:
+                    _, _, doc, ids = next(frames_of(bytes(data[x["offset"] : x["offset"] + x["length"]]), wide))
+                    rows.append((x["turn"], doc, ids.astype(np.int32)))
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["turn", "doc_id", "ids"])
+
+    turn = F.xxhash64(F.lit(seed), "file", "offset")
+    wanted = index.groupBy("file").agg(F.collect_list(F.struct("offset", "length", turn.alias("turn"))).alias("wanted"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    frames = files.join(index.select("file", "offset", "length"), "file").select(
-        F.expr("substring(content, cast(offset + 1 as int), cast(length as int))").alias("frame")
-    )
-    return frames.mapInArrow(cut, "doc_id long, ids array<int>").orderBy(F.rand(seed))
+    records = files.join(wanted, "file").select("content", "wanted").mapInArrow(cut, "turn long, doc_id long, ids array<int>")
+    return records.orderBy("turn").select("doc_id", "ids")
