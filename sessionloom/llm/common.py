@@ -63,10 +63,11 @@ def slot_bitmap(keys: DataFrame, column: str, bits: int) -> bytes:
     return out.tobytes()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges(a, b); label is the smallest node that can be reached.
 
-    Alternates the large-star and the small-star step until nothing changes. Each step is one
+    Alternates the large-star and the small-star step until nothing changes, which a count and a sum of
+    hashes of the edges tell; the rounds grow with the logarithm of the longest chain. Each step is one
     min per node (combined before the shuffle) and one join, so a node with very many
     neighbours is never gathered in a task.
     """
@@ -74,7 +75,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

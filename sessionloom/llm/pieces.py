@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import textkit as tk
-from sessionloom.llm.tokenizing import UnitTable
+from sessionloom.llm.tokenizing import UnitCache
 
 MARK = "▁".encode()
 CACHE_UNITS = 500_000
@@ -71,18 +71,20 @@ class Pieces:
         #: Blanks are kept as they are and no piece holds a line break: texts may be cut into units.
         self.by_units = plain and model.trainer_spec.byte_fallback and not any("\n" in x for x in surfaces)
         self.names = [b"%d," % i for i in range(len(model.pieces))]
-        #: Source bytes of each piece where the map is empty, so that every byte is aligned with itself.
-        self.width = np.array([1 if p.type == p.BYTE else len(p.piece.replace("▁", " ").encode()) for p in model.pieces], dtype=np.int64)
-        self.clear()
+        self.pieces = [p.piece for p in model.pieces]
+        self.cache = UnitCache(self._learn_all, self._forget, CACHE_UNITS, 21)
 
-    def clear(self) -> None:
-        self.table, self.counts = UnitTable(21), []
+    def _forget(self) -> None:
+        self.counts: list[int] = []
         self.decimals: list[bytes] = []
         self.decoded: list[bytes] = []
         self.spans: list[bytes] = []
 
-    def normalise(self, text: bytes) -> tuple[bytes, list[int]]:
-        """The normal form, and for each of its bytes (and its end) the source byte that it came from."""
+    def normalise(self, text: bytes, prefix: bool = True) -> tuple[bytes, list[int]]:
+        """The normal form, and for each of its bytes (and its end) the source byte that it came from.
+
+        prefix: whether the text is the beginning of one, where the model may put a blank of its own.
+        """
         out, src, at = bytearray(), [], 0
         strip = self.spec.remove_extra_whitespaces
         blank = MARK if self.spec.escape_whitespaces else b" "
@@ -90,6 +92,10 @@ class Pieces:
         def form(at: int) -> tuple[int, bytes]:
             if found := self.map.longest(text, at):
                 return found
+            if not self.map.units:  # no key begins anywhere: all up to the next blank stays as it is
+                end = text.find(b" ", at)
+                n = 1 if end == at else (end if end > 0 else len(text)) - at
+                return n, text[at : at + n]
             lead = text[at]
             n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
             return n, text[at : at + n]
@@ -97,7 +103,7 @@ class Pieces:
         if strip:
             while at < len(text) and form(at)[1].strip(b" ") == b"":
                 at += form(at)[0]
-        if at < len(text) and self.spec.add_dummy_prefix:
+        if prefix and at < len(text) and self.spec.add_dummy_prefix:
             out += blank
             src += [at] * len(blank)
         spaced = strip
@@ -106,12 +112,11 @@ class Pieces:
             if strip and spaced:
                 new = new.lstrip(b" ")
             if new:
-                spaced = new.endswith(b" ")
-                for b in new:
-                    put = blank if b == 0x20 else bytes([b])
-                    out += put
-                    src += [at] * len(put)
-                spaced = spaced and strip
+                spaced = strip and new.endswith(b" ")
+                same = new == text[at : at + n] and b" " not in new and not self.map.units
+                put = new.replace(b" ", blank)
+                out += put
+                src += range(at, at + n) if same else [at] * len(put)
             at += n
         end = len(text)
         if strip:
@@ -120,9 +125,9 @@ class Pieces:
                 del out[-len(blank) :], src[-len(blank) :]
         return bytes(out), [*src, end]
 
-    def spans_of(self, text: bytes, pieces: list[str]) -> tuple[list[int], list[int]]:
+    def spans_of(self, text: bytes, pieces: list[str], prefix: bool = True) -> tuple[list[int], list[int]]:
         """Source byte bounds of each piece of the text's encoding."""
-        norm, src = self.normalise(text)
+        norm, src = self.normalise(text, prefix)
         at, starts, ends = 0, [], []
         for i, piece in enumerate(pieces):
             raw = piece.encode()
@@ -140,8 +145,12 @@ class Pieces:
         ids = self.library.encode(text)
         return (ids, *self.spans_of(text.encode(), self.library.encode(text, out_type=str)))
 
+    def _learn_all(self, units: list[bytes]) -> None:
+        for k in range(0, len(units), 2000):
+            self._learn([u.decode() for u in units[k : k + 2000]])
+
     def _learn(self, units: list[str]) -> None:
-        """Encodes and decodes many units in one call each, set apart by line breaks."""
+        """Encodes and decodes many units in one call each, set apart by line breaks; aligns each with its normal form."""
         flat = np.array(self.library.encode("\n" + "\n".join(["" if u == "\n" else u for u in units])), dtype=np.int64)
         breaks = np.flatnonzero(flat == self.break_id)
         texts = self.library.decode(flat.tolist()).split("\n")[1:]
@@ -150,10 +159,11 @@ class Pieces:
         ids = flat.tolist()
         for u, s, e, text in zip(units, (breaks + 1).tolist(), [*breaks[1:].tolist(), len(flat)], texts):
             mine = ids[s:e] if u != "\n" else [self.break_id]
+            starts, ends = self.spans_of(u.encode(), [self.pieces[i] for i in mine], prefix=False)
             self.counts.append(len(mine))
             self.decimals.append(b"".join([self.names[i] for i in mine]))
             self.decoded.append(text.encode() if u != "\n" else b"\n")
-            self.spans.append(self.width[mine].astype("<u4").tobytes())
+            self.spans.append(np.array([b - a for a, b in zip(starts, ends)], "<u4").tobytes())
 
     def rows(self, column):
         """(number of ids, comma-joined ids, decoded text, bytes covered by each piece) of each row.
@@ -174,7 +184,7 @@ class Pieces:
         begin[off[:-1][full]] = True
         start = np.flatnonzero(begin)
         end = np.concatenate([start[1:], [len(data)]]) if len(start) else start
-        idx = self._entries(data, start, end)
+        idx = self.cache.entries(data, start, end)
         first = np.searchsorted(start, off).tolist()
         numbers = idx.tolist()
         counts = np.fromiter(map(self.counts.__getitem__, numbers), np.int64, len(numbers))
@@ -198,25 +208,6 @@ class Pieces:
             lengths[0] += 1
         return len(ids), ",".join(map(str, ids)).encode(), self.library.decode(ids).encode(), lengths.astype("<u4").tobytes()
 
-    def _entries(self, data, start, end) -> np.ndarray:
-        h = tk.span_hash(tk.prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
-        idx = self.table.find(h)
-        miss = np.flatnonzero(idx < 0)
-        if len(miss):
-            new, at = np.unique(h[miss], return_index=True)
-            if self.table.n and self.table.n + len(new) > CACHE_UNITS:
-                self.clear()
-                return self._entries(data, start, end)
-            if len(new) > 1 << 20:
-                self.table = UnitTable(len(new).bit_length() + 1)
-            at, raw = miss[at], data.tobytes()
-            units = [raw[s:e].decode() for s, e in zip(start[at].tolist(), end[at].tolist())]
-            for k in range(0, len(units), 2000):
-                self._learn(units[k : k + 2000])
-            self.table.add(new)
-            idx[miss] = self.table.find(h[miss])
-        return idx.astype(np.int64)
-
 
 _loaded: dict[str, Pieces] = {}
 
@@ -238,14 +229,25 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
         sp = pieces_model(model)
         for batch in batches:
             for part in tk.slices(batch, "text", 1 << 20):
-                rows = [(np.array(a.split(b",") if a else [], dtype=np.int32), b.decode(), np.cumsum(np.frombuffer(c, "<u4").astype(np.int64)))
-                        for _, a, b, c in sp.rows(part.column(1))]
-                shift = 1 if sp.spec.add_dummy_prefix else 0
-                ends = [np.maximum(r[2] - shift, 0) for r in rows]
-                starts = [np.concatenate([[0], e[:-1]]) if len(e) else e for e in ends]
+                ids, starts, ends, decoded = [], [], [], []
+                if sp.by_units:
+                    shift = 1 if sp.spec.add_dummy_prefix else 0
+                    for _, a, b, c in sp.rows(part.column(1)):
+                        end = np.maximum(np.cumsum(np.frombuffer(c, "<u4").astype(np.int64)) - shift, 0)
+                        ids.append(np.array(a.split(b",") if a else [], dtype=np.int32))
+                        starts.append(np.concatenate([[0], end[:-1]]) if len(end) else end)
+                        ends.append(end)
+                        decoded.append(b.decode())
+                else:
+                    for text in part.column(1).to_pylist():
+                        mine, begin, end = sp.encode_text(text or "")
+                        ids.append(mine)
+                        starts.append(begin)
+                        ends.append(end)
+                        decoded.append(sp.library.decode(mine))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array(starts, longs), pa.array(ends, longs), pa.array([r[1] for r in rows], pa.string())],
+                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, longs), pa.array(ends, longs), pa.array(decoded, pa.string())],
                     names=["doc_id", "ids", "starts", "ends", "decoded"],
                 )
 
@@ -253,7 +255,11 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_crc32 (of the bytes covered by each piece)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_crc32 (of the bytes covered by each piece).
+
+    A null text is empty (no ids, decoded to an empty text), a null doc_id stays null. Rows are treated one by one, so
+    repeated rows and ids repeat in the result, in no order; other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches):
         sp = pieces_model(model)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import textkit as tk
-from sessionloom.llm.common import parts_for
+from sessionloom.llm.common import parts_for, plan_bytes
 
-#: Slots of the bitmap of repeated anchors, as a power of two: 2**26 bits are 8 MB, whatever the input.
-BITMAP_BITS = 26
+#: Slots of the bitmap of repeated anchors, as a power of two: 2**26 bits are 8 MB, 2**30 are 128 MB. In between, a slot for 64 bytes of input.
+BITMAP_BITS = (26, 30)
+#: Tasks that count anchors, at most, as a power of two.
+COUNTING_BITS = 20
 #: Low bits of a winnowing key, for the position; the high bits order the grams.
 PLACE = np.uint64((1 << 31) - 1)
 
@@ -32,47 +34,62 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return (tk.window_minimum(key, w) & PLACE).astype(np.int64)
 
 
-def repeated_anchors(docs: DataFrame, anchors) -> bytes:
-    """Bitmap of the slots of anchor hashes that occur at least twice in all texts.
+def bitmap_bits(docs: DataFrame) -> int:
+    least, most = BITMAP_BITS
+    return min(most, max(least, (plan_bytes(docs) >> 6).bit_length()))
 
-    anchors(column) gives the anchor hashes of a slice of rows. A task sends each hash at most
-    twice for a slice, in one binary value for each range of hashes. Winnowing takes the smallest
-    hashes, so they are mixed anew to spread over all ranges and slots.
+
+def repeated_anchors(docs: DataFrame, anchors, slots: int, often: int | None = None):
+    """Bitmap of the slots (2**slots in all) of anchor hashes that occur at least twice in all texts.
+
+    anchors(column) gives the anchor hashes of a slice of rows. A task sends each hash of a slice once, with
+    its count, in one binary value for each range of hashes. Winnowing takes the smallest
+    hashes, so they are mixed anew to spread over all ranges and slots. With `often`, returns two bitmaps; the
+    second has the slots of hashes that occur at least that many times.
     """
-    parts = 1 << max(0, (min(parts_for(docs), 1 << 14) - 1).bit_length())
+    parts = 1 << max(0, (min(parts_for(docs), 1 << COUNTING_BITS) - 1).bit_length())
     bits = parts.bit_length() - 1
+    least = [2] if often is None else [2, often]
 
     def find(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 h, n = np.unique(tk.mix(anchors(part.column("text"))), return_counts=True)
-                h = np.repeat(h, np.minimum(n, 2))
-                cut = np.searchsorted(h >> np.uint64(63 - bits + 1) if bits else np.zeros(len(h), np.uint64), np.arange(parts + 1, dtype=np.uint64))
+                n = n.astype("<u4")
+                cut = np.searchsorted(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64), np.arange(parts + 1, dtype=np.uint64))
                 some = [i for i in range(parts) if cut[i + 1] > cut[i]]
-                blobs = [h[cut[i] : cut[i + 1]].tobytes() for i in some]
+                blobs = [h[cut[i] : cut[i + 1]].tobytes() + n[cut[i] : cut[i + 1]].tobytes() for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def count(pdf):
         import pandas as pd
 
-        h, n = np.unique(np.frombuffer(b"".join(pdf["blob"]), np.uint64), return_counts=True)
-        mine = 1 << (BITMAP_BITS - bits)
-        slot = (h[n > 1] >> np.uint64(64 - BITMAP_BITS)).astype(np.int64) & (mine - 1)
-        out = np.zeros(mine, bool)
-        out[slot] = True
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [np.packbits(out, bitorder="little").tobytes()]})
-
-    rows = docs.select("text").mapInArrow(find, "part int, blob binary").repartition(parts, "part").groupBy("part").applyInPandas(count, "part int, bits binary")
-    each = 1 << (BITMAP_BITS - bits - 3)
-    whole = bytearray(1 << (BITMAP_BITS - 3))
-    for row in rows.collect():  # 8 MB in all, whatever the input
-        whole[row["part"] * each : (row["part"] + 1) * each] = row["bits"]
-    return bytes(whole)
-
-
-def may_repeat(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        h = np.concatenate([np.frombuffer(b, "<u8", len(b) // 12) for b in pdf["blob"]])
+        n = np.concatenate([np.frombuffer(b, "<u4", len(b) // 12, len(b) // 12 * 8) for b in pdf["blob"]])
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order].astype(np.int64)
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        total, mine = np.add.reduceat(n, at), 1 << (slots - bits)
+        slot = (h[at] >> np.uint64(64 - slots)).astype(np.int64) & (mine - 1)
+        made = []
+        for few in least:
+            out = np.zeros(mine, bool)
+            out[slot[total >= few]] = True
+            made.append(np.packbits(out, bitorder="little").tobytes())
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [made]})
+
+    rows = docs.select("text").mapInArrow(find, "part int, blob binary").repartition(parts, "part").groupBy("part")
+    each = 1 << (slots - bits - 3)
+    whole = [bytearray(1 << (slots - 3)) for _ in least]
+    for row in rows.applyInPandas(count, "part int, bits array<binary>").collect():  # 2**(slots - 3) bytes a bitmap: BITMAP_BITS bounds them
+        for bitmap, bits_of in zip(whole, row["bits"]):
+            bitmap[row["part"] * each : (row["part"] + 1) * each] = bits_of
+    return bytes(whole[0]) if often is None else (bytes(whole[0]), bytes(whole[1]))
+
+
+def may_repeat(bitmap: np.ndarray, anchors: np.ndarray, slots: int) -> np.ndarray:
     """Whether each anchor hash may occur twice, by the bitmap of repeated anchors."""
-    return tk.in_bitmap(bitmap, tk.mix(anchors), BITMAP_BITS)
+    return tk.in_bitmap(bitmap, tk.mix(anchors), slots)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

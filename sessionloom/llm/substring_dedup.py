@@ -1,9 +1,13 @@
 """Substring dedup by seed and extend: later copies of word runs go.
 
 Seeds are winnowed word grams: every window of `window` words holds one, chosen by content alone, so
-two equal windows hold the same seed at the same place. Documents meet on repeated seeds. A seed is
-extended to both sides: to each window around it that chose it, compared over all its words by hash.
-Runs of repeated windows are the repeats of at least `window` words, at their full length.
+two equal windows hold the same seed at the same place. Documents are joined on the seeds that repeat: every
+occurrence of a seed comes to one task with the words around it that its windows cover. There it is extended to both
+sides against the first occurrence, word by word; windows inside the extension have an earlier copy. Windows that reach
+further are looked up, by all their words, among the other occurrences of the seed. Runs of repeated windows are
+the maximal repeats of at least `window` words.
+
+Seeds with OFTEN occurrences or more would crowd a task: their windows are dealt by their own words instead.
 """
 
 from __future__ import annotations
@@ -18,123 +22,242 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import textkit as tk
 from sessionloom.llm.common import parts_for
-from sessionloom.llm.spans import keyed, may_repeat, merged, real_id, repeated_anchors, winnow, with_spans
+from sessionloom.llm.spans import bitmap_bits, keyed, may_repeat, merged, real_id, repeated_anchors, winnow, with_spans
 
 #: Words of a seed.
 GRAM = 5
+#: Occurrences from which on a seed's windows are spread over all tasks.
+OFTEN = 1000
+#: Salt of the second 64 bits of a window's hash.
+SECOND = 0x2545F4914F6CDD1D
+#: What a task gets: occurrences of seeds with their words, windows of frequent seeds, runs that are settled.
+SEEDS, WINDOWS, RUNS = 0, 1, 2
+
+OCCURRENCE = np.dtype([("seed", "<u8"), ("nid", "<i8"), ("th", "<i8"), ("lo", "<u4"), ("windows", "<u4"), ("before", "<u4")])
+WINDOW = np.dtype([("nid", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("h", "<u8"), ("g", "<u8")])
+RUN = np.dtype([("nid", "<i8"), ("th", "<i8"), ("s", "<u4"), ("e", "<u4")])
 
 
 def _windows(words: tk.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of all windows that stay in a row, and the hash of the seed of each."""
+    """First words of all windows that stay in a row, and the first word of the seed of each."""
     grams, _ = words.grams(GRAM)
     at = winnow(grams, window - GRAM + 1)
-    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    start = np.flatnonzero(row[: len(at)] == row[window - 1 : window - 1 + len(at)])
+    start = np.flatnonzero(words.row[: len(at)] == words.row[window - 1 : window - 1 + len(at)])
     return start, at[start]
 
 
-def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
-    """(nid, th, s, e): word runs of docs(nid, th, text) that are covered by windows with an earlier copy."""
-    spark = docs.sparkSession
+def _columns(rec: np.ndarray) -> bytes:
+    """Column after column, which packs well in a shuffle."""
+    return b"".join(rec[name].tobytes() for name in rec.dtype.names)
+
+
+def _records(blob: bytes, kind: np.dtype, n: int) -> np.ndarray:
+    rec, at = np.empty(n, kind), 0
+    for name in kind.names:
+        rec[name] = np.frombuffer(blob, kind[name], n, at)
+        at += kind[name].itemsize * n
+    return rec
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] numbers, then the same from begin[1] on."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def repeated_runs(docs: DataFrame, window: int, often: int = OFTEN) -> DataFrame:
+    """(nid, th, s, e): starts s to e - 1 of windows of docs(nid, th, text) that have an earlier copy."""
+    spark, bits, parts = docs.sparkSession, bitmap_bits(docs), parts_for(docs)
 
     def seeds(column):
         words = tk.Words(column)
         _, at = _windows(words, window)
         return words.grams(GRAM)[0][np.unique(at)] if len(at) else np.zeros(0, np.uint64)
 
-    bitmap = spark.sparkContext.broadcast(repeated_anchors(docs, seeds))
-    parts = parts_for(docs)
+    bitmaps = spark.sparkContext.broadcast(repeated_anchors(docs, seeds, bits, often))
 
-    def extend(batches):
-        slots = np.frombuffer(bitmap.value, np.uint32)
+    def send(batches):
+        twice, many = (np.frombuffer(b, np.uint32) for b in bitmaps.value)
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                yield _extended(part, slots, window, parts)
-
-    rows = docs.mapInArrow(extend, "part int, final boolean, blob binary")
-    return rows.repartition(parts, "part").groupBy("part", "final").applyInPandas(_first_copies, "nid long, th long, s int, e int")
-
-
-ROW = np.dtype([("nid", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("h", "<u8")])
+                cols = list(zip(*_sent(part, twice, many, bits, window, parts))) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int8(), pa.binary()))], names=["part", "kind", "blob"])
 
+    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[1] == RUNS:
+            return pd.concat([_frame(_records(b, RUN, len(b) // RUN.itemsize)) for b in pdf["blob"]], ignore_index=True)
+        if key[1] == WINDOWS:
+            rec = np.concatenate([_records(b, WINDOW, len(b) // WINDOW.itemsize) for b in pdf["blob"]])
+            return _frame(_runs(_later(rec)[1]))
+        return pd.concat([_frame(x) for x in _extended(*_gathered(pdf["blob"]), window)], ignore_index=True)
 
-def _packed(rec: np.ndarray) -> bytes:
-    """Column after column: ids and hashes of one document run on, which packs well in a shuffle."""
-    gaps = np.diff(rec["pos"], prepend=np.uint32(0))
-    planes = np.ascontiguousarray(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return b"".join(x.tobytes() for x in (rec["nid"], rec["th"], planes, rec["h"]))
+    rows = docs.mapInArrow(send, "part int, kind byte, blob binary").repartition(parts, "part")
+    return rows.groupBy("part", "kind").applyInPandas(join, "nid long, th long, s int, e int")
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) // ROW.itemsize
-    rec = np.empty(n, ROW)
-    rec["nid"], rec["th"] = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<i8", n, 8 * n)
-    planes = np.frombuffer(blob, np.uint8, 4 * n, 16 * n).reshape(4, n)
-    rec["pos"] = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
-    rec["h"] = np.frombuffer(blob, "<u8", n, 20 * n)
-    return rec
+def _frame(runs: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"nid": runs["nid"], "th": runs["th"], "s": runs["s"].astype(np.int32), "e": runs["e"].astype(np.int32)})
 
 
-def _extended(part, slots, window: int, parts: int) -> pa.RecordBatch:
-    """Windows of one slice at repeated seeds: the first copy of each goes out by its own hash, the rest is settled.
+def _sent(part, twice, many, bits: int, window: int, parts: int):
+    """(part, kind, blob) of a slice of rows: occurrences by seed, windows of frequent seeds by their hash, settled runs.
 
-    Only equal windows must meet; those of a seed that very many documents share are spread.
+    Of occurrences with the same words all around and of equal windows, only the slice's first is sent; the others
+    have an earlier copy for certain.
     """
     words = tk.Words(part.column("text"))
     start, at = _windows(words, window)
-    out: list[tuple] = []
-    if len(start):
-        seed = words.grams(GRAM)[0][at]
-        hit = may_repeat(slots, seed)
-        start = start[hit]
-        h = words.grams(window)[0][start]
-        row = np.searchsorted(words.first, start, side="right") - 1
-        rec = np.empty(len(start), ROW)
-        rec["nid"] = part.column("nid").to_numpy()[row]
-        rec["th"] = part.column("th").to_numpy()[row]
-        rec["pos"] = start - words.first[row]
-        rec["h"] = h
-        order = np.lexsort((rec["pos"], rec["th"], rec["nid"], h))
-        rec = rec[order]
-        lead = np.ones(len(rec), bool)
-        lead[1:] = rec["h"][1:] != rec["h"][:-1]
-        top = np.maximum.accumulate(np.where(lead, np.arange(len(rec)), 0))
-        same = (rec["nid"] == rec["nid"][top]) & (rec["th"] == rec["th"][top]) & (rec["pos"] == rec["pos"][top])
-        target = (rec["h"] % np.uint64(parts)).astype(np.int64)
-        if not same.all():
-            later = np.sort(rec[~same], order=["nid", "th", "pos"])
-            spread = int(later["h"][0] % np.uint64(parts))
-            out.append((spread, True, _packed(later)))
-        first, target = rec[lead], target[lead]
-        order = np.lexsort((first["pos"], first["th"], first["nid"], target))
-        first, target = first[order], target[order]
-        cut = np.searchsorted(target, np.arange(parts + 1))
-        out += [(i, False, _packed(first[cut[i] : cut[i + 1]])) for i in range(parts) if cut[i + 1] > cut[i]]
-    cols = list(zip(*out)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], names=["part", "final", "blob"]
-    )
-
-
-def _first_copies(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    rec = np.concatenate([_unpacked(b) for b in pdf["blob"]])
-    if not key[1]:
-        rec = rec[np.lexsort((rec["pos"], rec["th"], rec["nid"], rec["h"]))]
-        lead = np.ones(len(rec), bool)
-        lead[1:] = rec["h"][1:] != rec["h"][:-1]
-        top = np.maximum.accumulate(np.where(lead, np.arange(len(rec)), 0))
-        same = (rec["nid"] == rec["nid"][top]) & (rec["th"] == rec["th"][top]) & (rec["pos"] == rec["pos"][top])
-        rec = rec[~same]
+    if not len(start):
+        return
+    seed = words.grams(GRAM)[0][at]
+    hit = may_repeat(twice, seed, bits)
+    start, at, seed = start[hit], at[hit], seed[hit]
+    if not len(start):
+        return
+    row = words.row[start]
+    nid, th, pos = part.column("nid").to_numpy()[row], part.column("th").to_numpy()[row], start - words.first[row]
+    h, g = words.grams(window)[0][start], words.grams(window, SECOND)[0][start]
+    hot = may_repeat(many, seed, bits)
+    settled = []
+
+    if hot.any():
+        rec = np.empty(int(hot.sum()), WINDOW)
+        rec["nid"], rec["th"], rec["pos"], rec["h"], rec["g"] = nid[hot], th[hot], pos[hot], h[hot], g[hot]
+        lead, rest = _later(rec)
+        settled.append(_runs(rest))
+        target = (lead["h"] % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((lead["pos"], lead["th"], lead["nid"], target))
+        lead, cut = lead[order], np.searchsorted(target[order], np.arange(parts + 1))
+        yield from ((i, WINDOWS, _columns(lead[cut[i] : cut[i + 1]])) for i in range(parts) if cut[i + 1] > cut[i])
+
+    # windows that follow one another at one seed are one occurrence of it
+    new = np.append(True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))
+    first = np.flatnonzero(new & ~hot)
+    size = np.diff(np.append(np.flatnonzero(new), len(start)))[~hot[new]]
+    last = first + size - 1
+    rec = np.empty(len(first), OCCURRENCE)
+    rec["seed"], rec["nid"], rec["th"], rec["lo"] = seed[first], nid[first], th[first], pos[first]
+    rec["windows"], rec["before"] = size, at[first] - start[first]
+    # the first and the last window are all of an occurrence's words
+    order = np.lexsort((rec["lo"], rec["th"], rec["nid"], h[last], h[first], rec["before"], rec["windows"], rec["seed"]))
+    rec, first, last = rec[order], first[order], last[order]
+    differ = np.zeros(len(rec), bool)
+    differ[:1] = True
+    for x in (h[first], h[last], g[first], g[last]):
+        differ[1:] |= x[1:] != x[:-1]
+    for name in ("seed", "windows", "before"):
+        differ[1:] |= rec[name][1:] != rec[name][:-1]
+    rest = rec[~differ & _moved(rec, differ, "lo")]
+    run = np.empty(len(rest), RUN)
+    run["nid"], run["th"], run["s"], run["e"] = rest["nid"], rest["th"], rest["lo"], rest["lo"] + rest["windows"]
+    settled.append(run)
+    rec, first = rec[differ], first[differ]
+    target = (tk.mix(rec["seed"]) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(target, kind="stable")
+    rec, begin, cut = rec[order], start[first[order]], np.searchsorted(target[order], np.arange(parts + 1))
+    for i in range(parts):
+        if cut[i + 1] > cut[i]:
+            mine = rec[cut[i] : cut[i + 1]]
+            around = words.hash[_spread(begin[cut[i] : cut[i + 1]], mine["windows"].astype(np.int64) + window - 1)]
+            yield i, SEEDS, np.uint32(len(mine)).tobytes() + _columns(mine) + around.tobytes()
+
+    runs = np.concatenate(settled)
+    if len(runs):
+        yield int(runs["th"][0] % parts), RUNS, _columns(runs)
+
+
+def _moved(rec: np.ndarray, lead: np.ndarray, place: str) -> np.ndarray:
+    """Whether each record stands elsewhere than the last one before it (or itself) that is marked in lead."""
+    top = np.maximum.accumulate(np.where(lead, np.arange(len(rec)), 0))
+    return (rec["nid"] != rec["nid"][top]) | (rec["th"] != rec["th"][top]) | (rec[place] != rec[place][top])
+
+
+def _later(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of equal windows, and the others at other places."""
+    rec = rec[np.lexsort((rec["pos"], rec["th"], rec["nid"], rec["g"], rec["h"]))]
+    lead = np.ones(len(rec), bool)
+    lead[1:] = (rec["h"][1:] != rec["h"][:-1]) | (rec["g"][1:] != rec["g"][:-1])
+    return rec[lead], rec[~lead & _moved(rec, lead, "pos")]
+
+
+def _runs(rec: np.ndarray) -> np.ndarray:
+    """Windows as runs of starts that follow one another."""
     rec = np.sort(rec, order=["nid", "th", "pos"])
     new = np.ones(len(rec), bool)
     new[1:] = (rec["nid"][1:] != rec["nid"][:-1]) | (rec["th"][1:] != rec["th"][:-1]) | (rec["pos"][1:] > rec["pos"][:-1].astype(np.int64) + 1)
     begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(rec))[: len(begin)] - 1
-    pos = rec["pos"].astype(np.int32)
-    return pd.DataFrame({"nid": rec["nid"][begin], "th": rec["th"][begin], "s": pos[begin], "e": pos[end] + 1})
+    out = np.empty(len(begin), RUN)
+    out["nid"], out["th"], out["s"] = rec["nid"][begin], rec["th"][begin], rec["pos"][begin]
+    out["e"] = rec["pos"][np.append(begin[1:], len(rec))[: len(begin)] - 1] + 1
+    return out
+
+
+def _gathered(blobs) -> tuple[np.ndarray, np.ndarray]:
+    recs, around = [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, "<u4", 1)[0])
+        recs.append(_records(blob[4 : 4 + n * OCCURRENCE.itemsize], OCCURRENCE, n))
+        around.append(np.frombuffer(blob, "<u8", offset=4 + n * OCCURRENCE.itemsize))
+    return np.concatenate(recs), np.concatenate(around)
+
+
+def _extended(rec: np.ndarray, around: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows with an earlier copy: those that the first occurrence of their seed shows, and the others.
+
+    around has the hashes of the words that each occurrence's windows cover, one occurrence after the other.
+    """
+    size = rec["windows"].astype(np.int64) + window - 1
+    off = np.cumsum(size) - size
+    order = np.lexsort((rec["lo"], rec["th"], rec["nid"], rec["seed"]))
+    rec, size, off = rec[order], size[order], off[order]
+    centre = np.append(True, rec["seed"][1:] != rec["seed"][:-1])
+    top = np.maximum.accumulate(np.where(centre, np.arange(len(rec)), 0))
+    again = np.append(False, rec["seed"][1:] == rec["seed"][:-1])  # a repeated row is the same place
+    for name in ("nid", "th", "lo"):
+        again[1:] &= rec[name][1:] == rec[name][:-1]
+    own = np.flatnonzero(~centre & ~again)
+    top = top[own]
+    before, windows = rec["before"].astype(np.int64), rec["windows"].astype(np.int64)
+    at, after = off + before, size - before - GRAM
+
+    def reach(offsets, room) -> np.ndarray:
+        """How many of these words, seen from the seed, are the same as around the first occurrence."""
+        out, active = np.zeros(len(own), np.int64), np.arange(len(own))
+        for d in offsets:
+            active = active[room[own[active]] > out[active]]
+            active = active[room[top[active]] > out[active]]
+            active = active[around[at[own[active]] + d] == around[at[top[active]] + d]]
+            if not len(active):
+                break
+            out[active] += 1
+        return out
+
+    left = reach(range(-1, GRAM - window - 1, -1), before)
+    right = reach(range(GRAM, window), after)
+    same = reach(range(GRAM), np.full(len(rec), GRAM)) == GRAM
+    # a window with so many words before the seed lies inside the extension if these are shared, and so are the words after it
+    most = np.minimum(before[own], left)
+    least = np.maximum(before[own] - windows[own] + 1, window - GRAM - right)
+    found = same & (most >= least)
+    mine = rec[own]
+    shown = np.empty(int(found.sum()), RUN)
+    shown["nid"], shown["th"] = mine["nid"][found], mine["th"][found]
+    shown["s"] = mine["lo"][found] + (before[own] - most)[found]
+    shown["e"] = mine["lo"][found] + (before[own] - least)[found] + 1
+
+    which = np.repeat(np.arange(len(own)), windows[own])
+    step = _spread(np.zeros(len(own), np.int64), windows[own])
+    ahead = before[own][which] - step
+    open_ = ~(found[which] & (ahead <= most[which]) & (ahead >= least[which]))
+    which, step = which[open_], step[open_]
+    begin = off[own][which] + step
+    rest = np.empty(len(which), WINDOW)
+    rest["nid"], rest["th"], rest["pos"] = mine["nid"][which], mine["th"][which], mine["lo"][which] + step
+    if len(rest):
+        rest["h"], rest["g"] = tk.run_hash(around, window)[begin], tk.run_hash(around, window, SECOND)[begin]
+    return shown, _runs(_later(rest)[1])
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False, often: int = OFTEN) -> DataFrame:
     """Removes each word that is covered by a window of `window` words with an earlier copy.
 
     Words are runs of anything but ASCII white space. Earlier: a smaller doc_id, or the same document and
@@ -145,7 +268,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False)
     by the hash of their texts; repeated rows (id and text) are one document, and each gets its
     result. Other columns are ignored; an empty table gives no rows.
     """
-    runs = repeated_runs(keyed(docs), window)
+    runs = repeated_runs(keyed(docs), window, often)
 
     def cut(batches):
         for batch in batches:

@@ -3,11 +3,11 @@
 Suffixes start at winnowed anchors: every window of `window` bytes holds an anchor gram chosen by
 content alone, so that two equal windows hold the same gram at the same place. Suffixes at grams that
 occur once cannot matter and are left out. The others come with the bytes before them that such windows
-need. Suffixes with equal bytes are settled by their hashes, and one of them stands for all. The distinct
-ones are range-partitioned by their leading bytes with sampled splitters, and each bucket sorts its
+need. Suffixes with equal bytes are found by 128-bit BLAKE2 digests, and the first of them stands for all. The
+distinct ones are range-partitioned by their leading bytes with sampled splitters, and each bucket sorts its
 suffixes by a multikey sort of 8-byte symbols. Splitters never part suffixes with equal leading bytes,
 so no match crosses a bucket's boundary. The longest common prefix with the sorted neighbours says which
-windows around an anchor can have a copy; those are compared.
+windows around an anchor can have a copy. Rolling hashes pair those windows up, and each pair is compared byte by byte.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import textkit as tk
 from sessionloom.llm.common import parts_for, plan_bytes, written
-from sessionloom.llm.spans import keyed, may_repeat, merged, real_id, repeated_anchors, winnow, with_spans
+from sessionloom.llm.spans import bitmap_bits, keyed, may_repeat, merged, real_id, repeated_anchors, winnow, with_spans
 
 #: Leading bytes of a suffix that the splitters look at.
 LEAD = 24
@@ -39,7 +39,7 @@ def _grams(column, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, off = tk.text_bytes(column)
     if len(data) < gram:
         return data, off, np.zeros(0, np.uint64)
-    p = tk.prefix_hash(data)
+    p = tk.prefix_hash(data)  # it only chooses anchors: what they propose is decided by bytes
     n = len(data) - gram + 1
     return data, off, tk.mix((p[gram:] - p[:n]) * tk._power(tk._R_INV, len(p), "i")[:n])
 
@@ -101,39 +101,74 @@ def suffix_order(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: in
     return order, out
 
 
-def _copied_windows(bodies: list[bytes], lead: np.ndarray, count: np.ndarray, settled: np.ndarray, window: int):
-    """For each suffix, the first and last of its windows that occur twice or more (-1: none).
+def _copied_windows(bodies: list[bytes], lead: np.ndarray, count: np.ndarray, settled: np.ndarray, window: int, keep_first: bool):
+    """For each suffix, the first and last of its windows that are to go (-1: none).
 
-    lead: bytes before the suffix in its body; count: its windows, from the body's first byte on;
-    settled: whether its body is known to stand elsewhere too.
+    bodies: in the order of their places in the corpus; lead: bytes before the suffix in its body; count: its windows,
+    from the body's first byte on; settled: whether its body is known to stand elsewhere too (later on). To go are
+    windows that stand twice or more; if the first copy is kept, those that stand earlier.
     """
-    data = np.frombuffer(b"".join(bodies), np.uint8)
+    raw = b"".join(bodies)
+    data = np.frombuffer(raw, np.uint8)
     off = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
     _, shared = suffix_order(data, off[:-1] + lead, off[1:], window)
     need = np.clip(lead + shared - window + 1, 0, count)  # windows that reach no further than the shared prefix
-    need = np.where(settled, 0, need)
+    if not keep_first:
+        need = np.where(settled, count, need)  # windows of others may equal any of theirs
     row = np.repeat(np.arange(len(bodies)), need)
     place = np.arange(len(row)) - np.repeat(np.cumsum(need) - need, need)
     begin = off[row] + place
-    h = tk.span_hash(tk.prefix_hash(data), begin, begin + window) if len(row) else np.zeros(0, np.uint64)
-    # windows of others may equal those of settled bodies, so they are counted
-    full = np.flatnonzero(settled)
-    frow = np.repeat(full, count[full])
-    fplace = np.arange(len(frow)) - np.repeat(np.cumsum(count[full]) - count[full], count[full])
-    fbegin = off[frow] + fplace
-    fh = tk.span_hash(tk.prefix_hash(data), fbegin, fbegin + window) if len(frow) else np.zeros(0, np.uint64)
-    _, back, n = np.unique(np.concatenate([h, fh]), return_inverse=True, return_counts=True)
-    hit = n[back[: len(h)]] > 1
     first, last = np.full(len(bodies), 1 << 40), np.full(len(bodies), -1)
-    np.minimum.at(first, row[hit], place[hit])
-    np.maximum.at(last, row[hit], place[hit])
-    first[full], last[full] = 0, count[full] - 1
+    if len(row):
+        _, lowest, back, n = np.unique(tk.rolling_hash(tk.prefix_hash(data), begin, begin + window), return_index=True, return_inverse=True, return_counts=True)
+        twin = _verified(raw, begin, begin[lowest[back]], window)
+        hit = twin != begin
+        if not keep_first:
+            hit |= np.isin(begin, twin[hit])
+        np.minimum.at(first, row[hit], place[hit])
+        np.maximum.at(last, row[hit], place[hit])
+    if not keep_first:
+        full = np.flatnonzero(settled)
+        first[full], last[full] = 0, count[full] - 1
     return first, last
 
 
-#: A suffix with the windows it stands for: the hash of its bytes, its document, where its bytes begin,
-#: how many they are, and how many of them lie before the anchor.
-FOUND = np.dtype([("h", "<u8"), ("nid", "<i8"), ("th", "<i8"), ("s", "<i8"), ("size", "<u4"), ("before", "<u4")])
+def _verified(raw: bytes, begin: np.ndarray, twin: np.ndarray, window: int) -> np.ndarray:
+    """The first place with the bytes of each window, given a place with the same hash, which it mostly is.
+
+    Neighbouring windows with neighbouring twins are compared as one stretch. Where a stretch differs, its hash
+    is that of several texts, and all windows of the chunk are named by their bytes instead.
+    """
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] != begin[:-1] + 1) | (twin[1:] != twin[:-1] + 1)
+    at = np.flatnonzero(new)
+    for i, j in zip(at.tolist(), np.append(at[1:], len(begin)).tolist()):
+        a, b, size = int(begin[i]), int(twin[i]), j - i - 1 + window
+        if a != b and raw[a : a + size] != raw[b : b + size]:
+            seen: dict[bytes, int] = {}
+            return np.array([seen.setdefault(raw[x : x + window], x) for x in begin.tolist()], np.int64)
+    return twin
+
+
+#: A suffix with the windows it stands for: the digest of its bytes, its document, where its bytes begin, how many
+#: they are, how many of them lie before the anchor, and whether they stand elsewhere too as far as is known.
+FOUND = np.dtype([("h", "<u8"), ("g", "<u8"), ("nid", "<i8"), ("th", "<i8"), ("s", "<i8"), ("size", "<u4"), ("before", "<u4"), ("full", "?")])
+
+
+def _settled(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each digest, marked full if there are more; and the others at other places."""
+    rec = rec[np.lexsort((rec["s"], rec["th"], rec["nid"], rec["g"], rec["h"]))]
+    new = np.ones(len(rec), bool)
+    new[1:] = (rec["h"][1:] != rec["h"][:-1]) | (rec["g"][1:] != rec["g"][:-1])
+    at = np.flatnonzero(new)
+    more = np.diff(np.append(at, len(rec))) > 1
+    if len(at):
+        more |= np.logical_or.reduceat(rec["full"], at)
+    top = np.maximum.accumulate(np.where(new, np.arange(len(rec)), 0))
+    same = (rec["nid"] == rec["nid"][top]) & (rec["th"] == rec["th"][top]) & (rec["s"] == rec["s"][top])
+    lead, rest = rec[at], rec[~same]
+    lead["full"], rest["full"] = more, True
+    return lead, rest
 
 
 def _columns(rec: np.ndarray) -> bytes:
@@ -148,11 +183,11 @@ def _records(blob: bytes) -> np.ndarray:
     return rec
 
 
-def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int) -> DataFrame:
+def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int, bits: int) -> DataFrame:
     """(nid, th, s, e, before, full, send) of each suffix at a repeated anchor.
 
-    full: the same bytes stand elsewhere too, so every window of the suffix is copied. send: the bytes
-    are to be compared; of equal ones, those of one place are.
+    full: the same bytes stand elsewhere too. send: it is the first with its bytes, which are to be compared. A slice of
+    rows sends one of equal suffixes to the others' task; the rest are settled, so a task gets one a slice at most.
     """
 
     def find(batches):
@@ -162,48 +197,56 @@ def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int) -> Da
             for part in tk.slices(batch, "text", 4 << 20):
                 data, off, grams = _grams(part.column("text"), gram)
                 at, lo, hi = _anchors(off, grams, window, gram)
-                hit = may_repeat(slots, grams[at]) if len(at) else np.zeros(0, bool)
+                hit = may_repeat(slots, grams[at], bits) if len(at) else np.zeros(0, bool)
                 at, lo, hi = at[hit], lo[hit], hi[hit]
                 row = np.searchsorted(off, lo, side="right") - 1
-                rec = np.empty(len(at), FOUND)
-                if len(at):
-                    rec["h"] = tk.mix(tk.span_hash(tk.prefix_hash(data), lo, hi + window) + (at - lo).astype(np.uint64))
+                rec, raw = np.zeros(len(at), FOUND), data.tobytes()
+                digests = [
+                    hashlib.blake2b(raw[s:e], digest_size=16, salt=b.to_bytes(8, "little")).digest()
+                    for s, e, b in zip(lo.tolist(), (hi + window).tolist(), (at - lo).tolist())
+                ]
+                both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+                rec["h"], rec["g"] = both[:, 0], both[:, 1]
                 rec["nid"], rec["th"] = part.column("nid").to_numpy()[row], part.column("th").to_numpy()[row]
                 rec["s"], rec["size"], rec["before"] = lo - off[row], hi - lo + window, at - lo
+                rec, rest = _settled(rec)
                 target = (rec["h"] % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
                 rec, cut = rec[order], np.searchsorted(target[order], np.arange(parts + 1))
-                some = [i for i in range(parts) if cut[i + 1] > cut[i]]
-                blobs = [press.compress(_columns(rec[cut[i] : cut[i + 1]])) for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                out = [(i, False, press.compress(_columns(rec[cut[i] : cut[i + 1]]))) for i in range(parts) if cut[i + 1] > cut[i]]
+                if len(rest):
+                    out.append((int(rest["th"][0] % parts), True, press.compress(_columns(rest))))
+                cols = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()))], names=["part", "final", "blob"])
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(key, pdf: pd.DataFrame) -> pd.DataFrame:
         press = zstandard.ZstdDecompressor()
         rec = np.concatenate([_records(press.decompress(blob)) for blob in pdf["blob"]])
-        rec = rec[np.lexsort((rec["s"], rec["th"], rec["nid"], rec["h"]))]
-        new = np.ones(len(rec), bool)
-        new[1:] = rec["h"][1:] != rec["h"][:-1]
-        full = ~new
-        full[:-1] |= ~new[1:]
+        lead, rest = (rec[:0], rec) if key[1] else _settled(rec)
+        rec, send = np.concatenate([lead, rest]), np.repeat([True, False], [len(lead), len(rest)])
         size = rec["size"].astype(np.int64)
-        return pd.DataFrame({"nid": rec["nid"], "th": rec["th"], "s": rec["s"], "e": rec["s"] + size, "before": rec["before"].astype(np.int32), "full": full, "send": new})
+        return pd.DataFrame({"nid": rec["nid"], "th": rec["th"], "s": rec["s"], "e": rec["s"] + size, "before": rec["before"].astype(np.int32), "full": rec["full"], "send": send})
 
-    sent = docs.mapInArrow(find, "part int, blob binary").repartition(parts, "part").groupBy("part")
+    sent = docs.mapInArrow(find, "part int, final boolean, blob binary").repartition(parts, "part").groupBy("part", "final")
     return written(sent.applyInPandas(settle, "nid long, th long, s long, e long, before int, full boolean, send boolean"), "suffixes")
 
 
-def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(nid, th, s, e): byte spans of docs(nid, th, text) covered by windows that occur at least twice."""
+def copied_spans(docs: DataFrame, window: int, gram: int, keep_first: bool = False) -> DataFrame:
+    """(nid, th, s, e): byte spans of docs(nid, th, text) covered by windows that occur at least twice.
+
+    keep_first: only by those that occur earlier too (by nid, th and place).
+    """
 
     def anchors(column):
         _, off, grams = _grams(column, gram)
         at, _, _ = _anchors(off, grams, window, gram)
         return grams[at]
 
-    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, anchors))
+    bits, head = bitmap_bits(docs), min(LEAD, gram)  # windows that are equal share the gram
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, anchors, bits))
     parts = parts_for(docs)
     splitters = _splitters(docs, parts, window, gram)
-    told = _suffixes(docs, bitmap, parts, window, gram)
+    told = _suffixes(docs, bitmap, parts, window, gram, bits)
     wanted = told.filter("send").groupBy("nid", "th").agg(F.collect_list(F.struct("s", "e", "before", "full")).alias("wanted"))
 
     def cut(batches):
@@ -216,7 +259,7 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     for x in found:
                         a = x["s"] + x["before"]
                         row = (raw[x["s"] : x["e"]], x["before"], x["full"], nid, th, x["s"])
-                        out.setdefault(bisect_right(splitters, raw[a : a + LEAD]), []).append(row)
+                        out.setdefault(bisect_right(splitters, raw[a : a + head]), []).append(row)
                 blobs = [press.compress(_pack(rows)) for rows in out.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
@@ -228,8 +271,8 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
         before = np.array([r[1] for r in rows], np.int64)
         full = np.array([r[2] for r in rows], bool)
         count = np.array([len(b) for b in bodies]) - window + 1
-        first, last = _copied_windows(bodies, before, count, full, window)
-        keep = np.flatnonzero((last >= 0) & ~full)
+        first, last = _copied_windows(bodies, before, count, full, window, keep_first)
+        keep = np.flatnonzero(last >= 0 if keep_first else (last >= 0) & ~full)
         if not len(keep):
             return None
         nid, th, s = (np.array([rows[i][j] for i in keep], np.int64) for j in (3, 4, 5))
@@ -238,11 +281,12 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         press = zstandard.ZstdDecompressor()
         rows = [r for blob in pdf["blob"] for r in _unpack(press.decompress(blob))]
-        rows.sort(key=lambda r: r[0][r[1] : r[1] + LEAD])
+        rows.sort(key=lambda r: (r[0][r[1] : r[1] + head], *r[3:]))
+        rows = [r for i, r in enumerate(rows) if not i or r[3:] != rows[i - 1][3:]]  # a repeated row is the same place
         out, begin = [], 0
         for i in range(1, len(rows) + 1):
             # suffixes with equal leading bytes are compared together
-            if i == len(rows) or i - begin >= CHUNK and rows[i][0][rows[i][1] :][:LEAD] != rows[i - 1][0][rows[i - 1][1] :][:LEAD]:
+            if i == len(rows) or i - begin >= CHUNK and rows[i][0][rows[i][1] :][:head] != rows[i - 1][0][rows[i - 1][1] :][:head]:
                 if (got := solve(rows[begin:i])) is not None:
                     out.append(got)
                 begin = i
@@ -250,7 +294,7 @@ def copied_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
         return pd.concat(out, ignore_index=True) if out else none
 
     compared = buckets.applyInPandas(compare, "nid long, th long, s long, e long")
-    return compared.union(told.filter("full").select("nid", "th", "s", "e"))
+    return compared.union(told.filter("not send" if keep_first else "full").select("nid", "th", "s", "e"))
 
 
 def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[bytes]:
@@ -263,7 +307,7 @@ def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[byte
                 data, off, grams = _grams(part.column("text"), gram)
                 at, _, _ = _anchors(off, grams, window, gram)
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + LEAD] for a in at.tolist()], pa.binary())], names=["lead"])
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + min(LEAD, gram)] for a in at.tolist()], pa.binary())], names=["lead"])
 
     found = docs.sample(min(1.0, max(share, 200_000 / max(1, plan_bytes(docs)))), 5).select("text").mapInArrow(leads, "lead binary")
     keys = sorted(bytes(r[0]) for r in found.limit(parts * SAMPLED * 20).collect())
@@ -286,18 +330,21 @@ def _unpack(data: bytes):
         at += n
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 100, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, window: int = 400, gram: int = 100, with_text: bool = False, keep: tuple[str, ...] = (), keep_first: bool = False
+) -> DataFrame:
     """Removes each byte that is covered by a `window`-byte string which also starts anywhere else.
 
-    Texts are UTF-8 bytes; matches never cross documents; strings are judged on the input. Returns doc_id,
-    n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, the kept bytes
+    Texts are UTF-8 bytes; matches never cross documents; strings are judged on the input. If the first copy is kept,
+    only strings that also start earlier count: in a smaller doc_id (of equal ones, by the hash of the text), or
+    further left in the same document. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, the kept bytes
     as text (characters that were cut through are dropped); and the other columns of docs named in keep.
 
     Nulls: a null text is empty; a null doc_id stays null. Each row is a document of its own: the texts of
-    repeated rows are copies of each other, and all go. Other columns are ignored; an empty table gives
+    repeated rows are copies of each other, and all go; if the first copy is kept, they are one document. Other columns are ignored; an empty table gives
     no rows.
     """
-    spans = copied_spans(keyed(docs), window, gram)
+    spans = copied_spans(keyed(docs), window, gram, keep_first)
 
     def cut(batches):
         for batch in batches:

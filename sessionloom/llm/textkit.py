@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -14,6 +17,9 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[str, np.ndarray] = {}
+#: Masks of the first 0..8 bytes of a little-endian word, and the bytes that are hashed in words of 8.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+SHORT = 64
 
 
 def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
@@ -69,12 +75,47 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return p
 
 
-def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte strings data[start:end], the same wherever they stand."""
+def rolling_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the byte strings data[start:end], the same wherever they stand.
+
+    There are known texts with equal hashes (a polynomial modulo 2**64 cannot tell some regular strings apart), so they
+    choose places and propose matches; what they propose is decided by bytes.
+    """
     inv = _power(_R_INV, len(p), "i")
     return mix((p[end] - p[start]) * inv[start] + (end - start).astype(np.uint64) * _M)
 
 
+def words_of_8(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place of data on as a little-endian word (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def block(eight: np.ndarray, start: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
+    """The i-th 8 bytes of byte strings of these sizes, zeros after their ends."""
+    return eight[start + 8 * i] & _FIRST[np.minimum(size - 8 * i, 8)]
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings data[start:end].
+
+    Every 8 bytes are mixed in by a bijection before the next are added, so strings of one length up to 8 never
+    share a hash, and others do so by chance alone. Long strings go through XXH3.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    eight, size = words_of_8(data), end - start
+    h = mix(block(eight, start, size, 0) ^ (size.astype(np.uint64) * _M))
+    for i in range(1, SHORT // 8):
+        more = np.flatnonzero(size > 8 * i)
+        if not len(more):
+            return h
+        h[more] = mix(h[more] * _R + block(eight, start[more], size[more], i))
+    for k in np.flatnonzero(size > SHORT).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].data, 0x51ED270B)
+    return h
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each row: byte bounds, 64-bit hashes, first word of each row."""
 
@@ -92,28 +133,51 @@ class Words:
         self.data, self.off = data, off
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(final) + 1
         self.first = np.searchsorted(self.start, off)
-        self.hash = span_hash(prefix_hash(data), self.start, self.end) if len(data) else np.zeros(0, np.uint64)
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hash(self.data, self.start, self.end)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """The row of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def grams(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word windows by the index of their first word, and which of them stay in a row."""
-        h, n = self.hash, len(self.hash)
+        n = len(self.hash)
         if n < k:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        g = h[: n - k + 1].copy()
-        for j in range(1, k):
-            g = g * _M + h[j : n - k + 1 + j]
-        row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        return mix(g), row[: n - k + 1] == row[k - 1 :]
+        return run_hash(self.hash, k, salt), self.row[: n - k + 1] == self.row[k - 1 :]
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _R + right)
+
+
+def run_hash(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hashes of all runs of k entries: of lengths 1, 2, 4, ... by joining two halves, then of k by its binary digits."""
+    n = len(h) - k + 1
+    power, width, out, done = mix(h ^ np.uint64(salt)) if salt else h, 1, None, 0
+    while True:
+        if k & width:
+            # longer parts stand further left
+            piece = power[k - done - width : k - done - width + n]
+            out = piece if out is None else _joined(piece, out)
+            done += width
+        if width * 2 > k:
+            break
+        power = _joined(power[:-width], power[width:])
+        width *= 2
+    return mix(out + np.uint64(k))
 
 
 def sequence_hash(h: np.ndarray) -> np.uint64:
     """One hash of a whole short sequence of hashes."""
-    g = np.uint64(len(h))
-    with np.errstate(over="ignore"):
-        for x in h:
-            g = g * _M + x
-        g = g + np.uint64(0x5851F42D4C957F2D)
-    return mix(np.array([g], dtype=np.uint64))[0]
+    g = np.array([len(h)], dtype=np.uint64)
+    for x in h:
+        g = mix(g * _R + x)
+    return mix(g + np.uint64(0x5851F42D4C957F2D))[0]
 
 
 def window_minimum(h: np.ndarray, w: int) -> np.ndarray:

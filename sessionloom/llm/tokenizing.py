@@ -2,7 +2,7 @@
 
 A text is cut into units that the tokenizer never joins with their neighbours, so its ids are the
 ids of its units, one after the other. Each unit that a worker has not met goes to the library;
-repeated units are looked up by a 64-bit hash, for all units of a slice of rows at once.
+repeated units are looked up, for all units of a slice of rows at once: by a 64-bit hash, and then by their bytes.
 """
 
 from __future__ import annotations
@@ -74,6 +74,70 @@ class Pool:
         return self.values[at], ends
 
 
+class UnitCache:
+    """Numbers of byte strings that have been met. learn(list of new byte strings) gives them the next numbers.
+
+    A hit by hash counts only if its bytes are the same; units of another text's hash are kept beside the table.
+    """
+
+    def __init__(self, learn, forget, most: int, bits: int = 22):
+        self.learn, self.forget, self.most, self.bits = learn, forget, most, bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.bytes, self.beside = UnitTable(self.bits), Pool(np.uint8), {}
+        self.forget()
+
+    def _add(self, units: list[bytes], hashes: np.ndarray | None) -> None:
+        self.learn(units)
+        self.bytes.add(np.frombuffer(b"".join(units), np.uint8), np.array([len(u) for u in units], np.int64))
+        if hashes is None:
+            self.table.n += len(units)
+        else:
+            self.table.add(hashes)
+
+    def same(self, idx: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each unit has the bytes of its entry."""
+        size = end - start
+        at = self.bytes.start[idx]
+        ok = self.bytes.start[idx + 1] - at == size
+        mine, kept = tk.words_of_8(data), tk.words_of_8(self.bytes.values[: self.bytes.used])
+        for i in range(tk.SHORT // 8):
+            # strings of one length up to 8 differ in their hashes already
+            more = np.flatnonzero(ok & (size > 8 * max(i, 1)))
+            if not len(more):
+                break
+            ok[more] = tk.block(mine, start[more], size[more], i) == tk.block(kept, at[more], size[more], i)
+        for k in np.flatnonzero(ok & (size > tk.SHORT)).tolist():
+            ok[k] = np.array_equal(data[start[k] : end[k]], self.bytes.values[at[k] : at[k] + size[k]])
+        return ok
+
+    def entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = tk.span_hash(data, start, end)
+        if not len(h):
+            return np.zeros(0, np.int64)
+        idx = self.table.find(h)
+        miss = np.flatnonzero(idx < 0)
+        if len(miss):
+            new, first = np.unique(h[miss], return_index=True)
+            if self.table.n and self.table.n + len(new) > self.most:
+                self.clear()
+                return self.entries(data, start, end)
+            if 2 * len(new) > len(self.table.slot):
+                self.table = UnitTable(len(new).bit_length() + 1)
+            at = miss[first]
+            self._add([data[s:e].tobytes() for s, e in zip(start[at].tolist(), end[at].tolist())], new)
+            idx[miss] = self.table.find(h[miss])
+        idx = idx.astype(np.int64)
+        for k in np.flatnonzero(~self.same(idx, data, start, end)).tolist():
+            unit = data[start[k] : end[k]].tobytes()
+            if unit not in self.beside:
+                self.beside[unit] = self.table.n
+                self._add([unit], None)
+            idx[k] = self.beside[unit]
+        return idx
+
+
 class WordBpe:
     """A word-level BPE of the tokenizers library that folds case and drops white space before it merges.
 
@@ -95,10 +159,13 @@ class WordBpe:
         self.final = np.zeros(self.library.get_vocab_size(), dtype=bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.final[i] = token.endswith("</w>")
-        self.clear()
+        self.cache = UnitCache(self._learn, self._forget, CACHE_UNITS)
 
-    def clear(self) -> None:
-        self.table, self.ids = UnitTable(), Pool(np.uint32)
+    def _forget(self) -> None:
+        self.ids = Pool(np.uint32)
+
+    def _learn(self, units: list[bytes]) -> None:
+        self.ids.add(*self._library([u.decode("utf-8", "replace") for u in units]))
 
     def _library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many units; runs of ASCII letters share calls, as each ends with its only word-final id."""
@@ -135,39 +202,13 @@ class WordBpe:
         cut = cut[keep]
         start = np.sort(np.concatenate([words.start, cut]))
         end = np.sort(np.concatenate([words.end, cut]))
-        h = tk.span_hash(tk.prefix_hash(data), start, end) if len(data) else np.zeros(0, np.uint64)
-        idx = self._entries(h, start, end, data)
-        flat, ends = self.ids.take(idx)
+        flat, ends = self.ids.take(self.cache.entries(data, start, end))
         bounds = np.concatenate([[0], ends])[np.searchsorted(start, words.off)]
         raw = tk.text_bytes(column)[0].tobytes()
         if b"<|" in raw:
             return self._whole(raw, words.off, flat, bounds)
         return flat, bounds
 
-    def _entries(self, h, start, end, data) -> np.ndarray:
-        idx = self.table.find(h)
-        miss = np.flatnonzero(idx < 0)
-        if len(miss):
-            new, first = np.unique(h[miss], return_index=True)
-            if self.table.n + len(new) > CACHE_UNITS:
-                self.clear()
-                return self._entries(h, start, end, data) if len(h) > len(miss) else self._fill(h, start, end, data)
-            self._learn(new, miss[first], start, end, data)
-            idx[miss] = self.table.find(h[miss])
-        return idx.astype(np.int64)
-
-    def _fill(self, h, start, end, data) -> np.ndarray:
-        new, first = np.unique(h, return_index=True)
-        self.table = UnitTable(max(22, len(new).bit_length() + 1))
-        self._learn(new, first, start, end, data)
-        return self.table.find(h).astype(np.int64)
-
-    def _learn(self, new, at, start, end, data) -> None:
-        raw = data.tobytes()
-        units = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[at].tolist(), end[at].tolist())]
-        self.ids.add(*self._library(units))
-        self.table.add(new)
-
     def _whole(self, raw, off, flat, bounds):
         parts = []
         for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
