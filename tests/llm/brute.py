@@ -47,17 +47,22 @@ def jaccard(docs):
     return sorted(((d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(docs)), key=str)
 
 
-def bytes_dedup(docs, window):
-    seen = Counter()
-    for _, text in docs:
+def bytes_dedup(docs, window, keep_first=False):
+    """keep_first: docs with distinct ids."""
+    seen, first = Counter(), {}
+    for doc, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         raw = (text or "").encode()
-        seen.update(raw[i : i + window] for i in range(len(raw) - window + 1))
+        for i in range(len(raw) - window + 1):
+            x = raw[i : i + window]
+            seen[x] += 1
+            first.setdefault(x, (doc, i))
     out = []
     for doc, text in docs:
         raw = (text or "").encode()
         gone = bytearray(len(raw))
         for i in range(len(raw) - window + 1):
-            if seen[raw[i : i + window]] > 1:
+            x = raw[i : i + window]
+            if seen[x] > 1 and not (keep_first and first[x] == (doc, i)):
                 gone[i : i + window] = b"\1" * window
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         out.append((doc, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))

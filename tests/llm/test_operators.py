@@ -32,6 +32,17 @@ def corpus(seed=3, n=60):
     return docs + [(n, None), (n + 1, ""), (n + 2, " \t\n"), (n + 3, docs[0][1]), (n + 4, "ab " * 300), (n + 5, "x y")]
 
 
+def twisted(first, tail=" the end"):
+    """Texts of long words that no polynomial hash modulo 2**64 can tell apart: Thue-Morse strings and their mirror images."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    line = " ".join(f"w{i}" for i in range(30))
+    texts = [f"{a} {line}{tail}", f"{b} {line}{tail}", f"{line} {a}", f"{line} {b}", a, b, f"{a}\n{b}\n{a}", f"{b}\n{a}\n{b}", " ".join([a[:64], b[:64]] * 20), " ".join([b[:64], a[:64]] * 20)]
+    return list(enumerate(texts, first))
+
+
 def frame(spark, docs):
     return spark.createDataFrame([(d, t, "z", 1, 2, 3, 4) for d, t in docs], SCHEMA)
 
@@ -41,23 +52,43 @@ def rows(df, cols):
 
 
 def test_jaccard(spark):
-    docs = corpus()
+    docs = corpus() + twisted(100)
     assert rows(jaccard_components(frame(spark, docs)), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(docs)
 
 
 def test_suffix_dedup(spark):
-    docs = corpus()
+    docs = corpus() + twisted(100)
     got = suffix_dedup.suffix_dedup(frame(spark, docs), window=60, gram=20)
     assert rows(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.bytes_dedup(docs, 60)
+    got = suffix_dedup.suffix_dedup(frame(spark, docs), window=400, gram=100)
+    assert rows(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.bytes_dedup(docs, 400)
 
 
-def test_substring_dedup(spark):
-    docs = corpus()
-    got = substring_dedup.substring_dedup(frame(spark, docs), window=20)
-    assert rows(got, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == brute.word_dedup(docs, 20)
+def test_suffix_dedup_that_keeps_the_first_copy(spark):
+    docs = corpus() + twisted(100)
+    got = suffix_dedup.suffix_dedup(frame(spark, docs + docs[:3]), window=60, gram=20, keep_first=True)
+    want = brute.bytes_dedup(docs, 60, keep_first=True)
+    assert rows(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == sorted(want + [x for x in want if x[0] in (0, 1, 2)], key=str)
 
 
-def test_windows_of_a_shared_seed_are_spread():
+def test_windows_of_one_hash_are_told_apart_by_bytes():
+    import numpy as np
+
+    a, b = twisted(0)[4][1].encode()[:1024], twisted(0)[5][1].encode()[:1024]
+    raw = a + b + a
+    begin = np.array([0, 1024, 2048])
+    assert suffix_dedup._verified(raw, begin, np.zeros(3, np.int64), 1024).tolist() == [0, 1024, 0]
+
+
+@pytest.mark.parametrize("often", [1000, 2])
+def test_substring_dedup(spark, often):
+    docs = corpus() + twisted(100)
+    got = substring_dedup.substring_dedup(frame(spark, docs + docs[:3]), window=20, often=often)
+    want = brute.word_dedup(docs, 20)
+    assert rows(got, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == sorted(want + [x for x in want if x[0] in (0, 1, 2)], key=str)
+
+
+def test_windows_of_a_frequent_seed_are_spread():
     import numpy as np
     import pyarrow as pa
 
@@ -69,9 +100,10 @@ def test_windows_of_a_shared_seed_are_spread():
     slots, slot = np.zeros(1 << 21, np.uint32), int(tk.mix(np.array([gram(seed)], np.uint64))[0]) >> 38
     slots[slot >> 5] = 1 << (slot & 31)
     batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(range(200)), pa.array(texts)], names=["nid", "th", "text"])
-    sent = substring_dedup._extended(batch, slots, 20, 16).to_pandas()
-    size = sent["blob"].map(len)
-    assert size.sum() > 200 * 10 * substring_dedup.ROW.itemsize and len(sent) == 16 and size.max() < size.sum() / 8
+    sent = [(part, kind, len(blob)) for part, kind, blob in substring_dedup._sent(batch, slots, slots, 26, 20, 16)]
+    size = [n for _, _, n in sent]
+    assert {kind for _, kind, _ in sent} == {substring_dedup.WINDOWS} and len(sent) == 16
+    assert sum(size) > 200 * 10 * substring_dedup.WINDOW.itemsize and max(size) < sum(size) / 8
 
 
 def test_memory_of_suffix_order():
@@ -121,7 +153,7 @@ def test_packing(spark):
 
 
 def test_records(spark, tmp_path):
-    docs = corpus()
+    docs = corpus() + twisted(100)
     path, tok = f"{tmp_path}/r", tokenizer_path("word_bpe_49k.json")
     records.write_records(frame(spark, docs), tok, path, end_id=2)
     index = records.build_index(spark, path)
@@ -134,7 +166,7 @@ def test_pieces(spark):
 
     import sentencepiece
 
-    docs, model = corpus() + [(900, "▁a  b 中\U0001f600 "), (901, " lead")], tokenizer_path("piece_bpe_32k.model")
+    docs, model = corpus() + twisted(100) + [(900, "▁a  b 中\U0001f600 "), (901, " lead")], tokenizer_path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = sorted(((d, len(i := sp.encode(t or "")), sha(",".join(map(str, i))), sha(sp.decode(i))) for d, t in docs), key=str)
@@ -178,16 +210,46 @@ def test_shards_of_a_repeated_id(spark):
 
 def test_nearest_in_a_large_shard():
     import numpy as np
-    import pandas as pd
 
-    from sessionloom.llm.ann import _candidates
+    from sessionloom.llm.ann import Shard
 
     x = np.random.default_rng(3).standard_normal((70_000, 4))
-    right = pd.DataFrame({"vec_id": [1], "v": [x[1]]})
-    ((_, q, hit),) = _candidates(x, np.arange(len(x)), right, float(np.linalg.norm(x, axis=1).max()), 5, 7)
-    s = x @ q
+    shard = Shard(np.arange(len(x)), x, float(np.linalg.norm(x, axis=1).max()), 7)
+    hit, score = shard.search(1, x[1], 5)
+    s = x @ x[1]
     s[1] = -1e9
-    assert set(np.argsort(-s)[:5]) <= set(hit) and len(hit) < 40_000
+    assert set(np.argsort(-s)[:5]) <= set(hit) and np.allclose(score, s[hit])
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall(spark, sf):
+    """The query's table, k and queries against brute force."""
+    import numpy as np
+
+    from sessionloom.llm.queries import op3_approximate_nearest_neighbours
+
+    got = op3_approximate_nearest_neighbours(spark, f"/root/testdata/{sf}").toPandas()
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(table["embedding"]).astype(float), table["vec_id"].to_numpy()
+    hit = 0
+    queries = [i for i in ids if i % 20 == 0]
+    for q in queries:
+        s = np.einsum("ij,j->i", x, x[ids == q][0])
+        s[ids == q] = -1e9
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 21))
+        assert np.allclose(mine["score"], [s[ids == v][0] for v in mine["vec_id"]], rtol=0, atol=1e-12)
+        hit += len(set(ids[np.lexsort((ids, -s))[:20]]) & set(mine["vec_id"]))
+    assert hit / (20 * len(queries)) >= 0.95
+
+
+def test_nearest_with_ties_and_without_rows(spark):
+    shape = "vec_id long, embedding array<float>, label int, score double"
+    data = [(i, [1.0, 0.5 if i % 2 else 0.25], 1, 9.0) for i in range(40)]
+    got = nearest(spark.createDataFrame(data, shape), F.col("vec_id") % 20 == 0, k=30)
+    want = [(q, r, v) for q in (0, 20) for r, v in enumerate(([i for i in range(1, 40, 2)] + [i for i in range(0, 40, 2) if i != q])[:30], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == want
+    assert nearest(spark.createDataFrame([], shape), F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_classifier_on_held_out_rows(spark):
@@ -231,11 +293,150 @@ def test_pipeline_stages_against_brute_force(spark):
     now = corpus_pipeline.near_duplicates_stage(spark, now, "")
     assert {r.doc_id: r.text for r in now.collect()} == want and 7 not in want
     width, gone = corpus_pipeline.PASSAGE_BYTES, {}
-    for i, _, removed, _, sha in brute.bytes_dedup(list(want.items()), width):
+    for i, _, removed, _, sha in brute.bytes_dedup(list(want.items()), width, keep_first=True):
         gone[i] = removed, sha
     got = corpus_pipeline.suffix_dedup_stage(spark, now, "").collect()
     assert {r.doc_id: (len(want[r.doc_id]) - len(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for r in got} == gone
-    assert all(x not in r.text for r in got for x in (passage, short))
+    assert sum(passage in r.text for r in got) == 1
+
+
+def test_alignment_through_a_character_map(spark, tmp_path):
+    """ids and byte spans against the library, with the NFKC map, with and without the removal of extra blanks."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rule, model = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    rule.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.precompiled_charsmap = rule.normalizer_spec.precompiled_charsmap
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab Cé①ｱﾞ ﬁ½㍻ ́e　 \t中Å😀一龍Ⅷ") for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    for strip in (False, True):
+        model.normalizer_spec.remove_extra_whitespaces = strip
+        path = tmp_path / f"{strip}.model"
+        path.write_bytes(model.SerializeToString())
+        sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        want = [sp.encode(t, return_type="proto").pieces for t in texts]
+        got = {r["doc_id"]: r for r in pieces.encode_pieces(frame(spark, list(enumerate(texts))), str(path)).collect()}
+        for i, row in enumerate(want):
+            assert [(p.id, p.begin, p.end) for p in row] == list(zip(got[i]["ids"], got[i]["starts"], got[i]["ends"])), texts[i]
+
+
+@pytest.mark.parametrize("name", ["packing", "classifier", "pieces", "rules", "records"])
+def test_other_empty_tables(spark, tmp_path, name):
+    docs, bpe = frame(spark, []), tokenizer_path("word_bpe_49k.json")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    if name == "packing":
+        out = packing.pack_documents(docs, bpe)
+    elif name == "classifier":
+        out = quality_classifier.score_quality(docs, labels, F.col("doc_id") == 2)
+    elif name == "pieces":
+        out = pieces.piece_digests(docs, tokenizer_path("piece_bpe_32k.model"))
+    elif name == "rules":
+        out = quality_rules.quality_rules(docs, labels.select("doc_id"))
+    else:
+        records.write_records(docs, bpe, f"{tmp_path}/r", end_id=2)
+        out = records.build_index(spark, f"{tmp_path}/r")
+        assert records.read_shuffled(spark, f"{tmp_path}/r", out, 1).count() == 0
+    assert out.count() == 0
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    """Every operator gives a row for each row, null and repeated ids included."""
+    docs = [(None, "a b c d e f g"), (None, None), (1, "x y z " * 30), (1, "x y z " * 30), (1, "other text here"), (2, "")]
+    data, labels = frame(spark, docs), spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    ids = sorted((d for d, _ in docs), key=str)
+    outs = [
+        jaccard_components(data), line_dedup.line_dedup(data), suffix_dedup.suffix_dedup(data), substring_dedup.substring_dedup(data),
+        packing.pack_documents(data, tokenizer_path("word_bpe_49k.json")), quality_rules.quality_rules(data, labels.select("doc_id")),
+        quality_classifier.score_quality(data, labels, F.col("doc_id") == 7), pieces.piece_digests(data, tokenizer_path("piece_bpe_32k.model")),
+    ]
+    for out in outs:
+        assert sorted((r["doc_id"] for r in out.collect()), key=str) == ids
+
+
+def test_packed_ids_and_places(spark):
+    """start and ids_crc32 of every piece against the tokenizers library."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    docs, bpe = corpus() + twisted(100), Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for d, t in docs:
+        ids = np.array(bpe.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        want += [(d, i // 64, i, len(ids[i : i + 64]), zlib.crc32(ids[i : i + 64].tobytes())) for i in range(0, len(ids), 64)]
+    got = packing.pack_documents(frame(spark, docs), tokenizer_path("word_bpe_49k.json"), capacity=64)
+    assert rows(got, ["doc_id", "piece", "start", "length", "ids_crc32"]) == sorted(want, key=str)
+
+
+def test_score_of_the_quality_rules(spark):
+    """score and kept against a plain restatement of the two multinomials, with the slots that Spark's hash gives."""
+    import math
+    import re
+
+    docs = [(i, t) for i, t in corpus(n=30) if t]
+    data, trusted = frame(spark, docs), [d for d, _ in docs[:8]]
+    tokens = {d: re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", t) for d, t in docs}
+    every = sorted({x for t in tokens.values() for x in t})
+    h = {r["x"]: r["h"] for r in spark.createDataFrame([(x,) for x in every], "x string").withColumn("h", F.xxhash64("x")).collect()}
+    pairs = sorted({(a, b) for t in tokens.values() for a, b in zip([None, *t], t)}, key=str)
+    shape = "a string, b string, p long, x long"
+    slots = spark.createDataFrame([(a, b, None if a is None else h[a], h[b]) for a, b in pairs], shape)
+    n = quality_rules.SLOTS
+    two = {(r["a"], r["b"]): r["s"] for r in slots.withColumn("s", F.pmod(F.xxhash64("p", "x"), F.lit(n))).collect()}
+    one = {r["b"]: r["s"] for r in slots.withColumn("s", F.pmod(F.xxhash64("x"), F.lit(n))).collect()}
+    raw, target = [1] * n, [1] * n
+    for d, t in tokens.items():
+        for a, b in zip([None, *t], t):
+            for s in (one[b], two[a, b]):
+                raw[s] += 1
+                target[s] += d in trusted
+    shift = math.log(sum(raw)) - math.log(sum(target))
+    w = [round(math.log(t) - math.log(r) + shift, 6) for r, t in zip(raw, target)]
+    got = quality_rules.quality_rules(data, data.filter(F.col("doc_id").isin(trusted)).select("doc_id")).collect()
+    for r in got:
+        t = tokens[r["doc_id"]]
+        want = sum(w[one[b]] + w[two[a, b]] for a, b in zip([None, *t], t)) / (2 * len(t)) if t else 0.0
+        assert abs(r["score"] - want) < 2e-6
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD)
+
+
+def test_weights_of_the_classifier():
+    """Newton's minimum against plain gradient steps on the same pairs; scores order a clear case."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(1, 1, (60, 3)), rng.normal(-1, 1, (60, 3))])
+    y = np.repeat([1, 0], 60)
+    model = quality_classifier.fit(x, y, pairs=500, seed=5)
+    z = (x - model["mean"]) / model["scale"]
+    z = np.hstack([z, np.clip(z, -3, 3) ** 2])
+    draw = np.random.default_rng(5)
+    d = z[draw.choice(np.flatnonzero(y == 1), 500)] - z[draw.choice(np.flatnonzero(y == 0), 500)]
+    w = np.zeros(6)
+    for _ in range(20_000):
+        w -= 0.5 * (-(d.T @ (1 / (1 + np.exp(d @ w)))) / 500 + quality_classifier.PENALTY * w)
+    assert np.allclose(w, model["w"], atol=1e-3)
+    s = quality_classifier.apply(model, x)
+    assert ((s >= quality_classifier.CUT) == (y == 1)).mean() > 0.9 and 0 <= s.min() and s.max() <= 1
+    assert (quality_classifier.apply(quality_classifier.fit(x, np.ones(120)), x) == 0.5).all()
+
+
+def test_very_long_texts(spark):
+    """A text of 1 MB goes through each operator and gives what brute force gives."""
+    long = " ".join(f"w{i * 7919 % 90_000}" for i in range(170_000))
+    docs = [(1, long), (2, long[300_000:400_000]), (3, "q" * 200_000)]
+    data = frame(spark, docs)
+    assert rows(substring_dedup.substring_dedup(data), ["doc_id", "n_words", "n_removed", "kept_sha256"]) == brute.word_dedup(docs, 20)
+    assert rows(jaccard_components(data), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(docs)
+    got = suffix_dedup.suffix_dedup(data).toPandas().set_index("doc_id")
+    assert got.loc[2, "n_removed"] == 100_000 and got.loc[3, "n_removed"] == 200_000
+    assert line_dedup.line_dedup(data, min_words=51).count() == 3 and quality_rules.quality_rules(data, data.select("doc_id")).count() == 3
+    got = packing.pack_documents(data, tokenizer_path("word_bpe_49k.json"))
+    assert got.agg(F.max("length")).first()[0] == 4096
 
 
 def test_pipeline(spark, tmp_path):
