@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionloom.functions.text import let
+
 # Word lists and patterns of the report contract.
 WORK_AREAS = (
     ("research_writing", ("paper", "manuscript", "reviewer", "latex", "abstract", "introduction", "论文", "稿件", "投稿", "审稿", "章节")),
@@ -21,7 +23,7 @@ ACCEPTANCE = r"(?iU)^\s*(?:验收通过|我接受(?:这个)?结果|结果可以|
 COMMANDS = {
     "content_dump": r"(?i)(?:Get-Content|Select-String|\brg\b|\bgrep\b|\bcat\b|\btype\b|sed\s+-n\b|\bhead\b|\btail\b)",
     "diagnostic": r"(?i)\b(?:Test-Path|Get-Command|where\.exe|git\s+diff\s+--quiet|git\s+rev-parse|rg\b|grep\b|Select-String)\b",
-    "verification": r"(?i)(?:\b(?:pytest|unittest)\b|\b(?:npm|pnpm|yarn)\s+(?:run\s+)?test\b|\b(?:validate|doctor|smoke|audit|check)[\w.-]*(?:\.py|\.ps1|\.sh)?\b)",
+    "verification": r"(?i)(?:\b(?:pytest|unittest)\b|\bpython(?:\.exe)?\b[^\r\n]{0,200}\b(?:test|validate|doctor|smoke|audit|check)[\w.-]*\.py\b|\b(?:npm|pnpm|yarn)\s+(?:run\s+)?test\b|\b(?:validate|doctor|smoke|audit|check)[\w.-]*(?:\.py|\.ps1|\.sh)?\b)",
     "state_change": r"(?i)\b(?:apply_patch|install|pip\s+install|npm\s+install|git\s+(?:pull|fetch|merge|rebase)|New-Item|Set-Content|Copy-Item|Move-Item|Remove-Item|mkdir|touch)\b",
     "commit": r"(?i)\bgit\s+commit\b",
 }
@@ -40,16 +42,15 @@ MENTION = r"(?i)(?<![\w-])\$([a-z0-9]+(?:-[a-z0-9]+)+)(?![\w-])"
 
 def work_area(c: Column) -> Column:
     """The area with most keyword hits; the earlier of equals; general without any."""
-    text = F.lower(c)
-    hits = [
-        reduce(lambda a, b: a + b, [((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("int") for w in words])
-        for _, words in WORK_AREAS
-    ]
-    best = F.greatest(*hits)
-    out = F.when(best == 0, F.lit("general"))
-    for (name, _), n in zip(WORK_AREAS, hits):
-        out = out.when(n == best, F.lit(name))
-    return out
+
+    def hits(text: Column, words: tuple[str, ...]) -> Column:
+        # most words do not occur at all, which is cheap to see
+        each = [F.when(text.contains(w), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(w), F.lit("")))) / len(w.encode())).otherwise(0) for w in words]
+        return reduce(lambda a, b: a + b, [x.cast("int") for x in each])
+
+    names = F.array(*[F.lit(name) for name, _ in WORK_AREAS])
+    best = lambda n: F.when(F.array_max(n) == 0, "general").otherwise(F.get(names, F.array_position(n, F.array_max(n)).cast("int") - 1))
+    return let(let(F.lower(c), lambda t: F.array(*[hits(t, words) for _, words in WORK_AREAS])), best)
 
 
 def is_correction(c: Column) -> Column:
@@ -81,10 +82,48 @@ def canonical_tool(c: Column) -> Column:
     return F.element_at(F.split(c, r"__|\."), -1)
 
 
-def session_type(turns: Column, calls: Column, changes: Column, searches: Column, agents: Column) -> Column:
+def family_tool(c: Column) -> Column:
+    """A tool's name; the tools of the reference manager's connector are one; unknown without a name."""
+    name = F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
+    return F.when(F.lower(name).startswith("mcp__zotero__"), "mcp__zotero").otherwise(name)
+
+
+def tool_classes(name: Column, raw: Column) -> dict[str, Column]:
+    """What a tool is for, by its name: asks the user, starts an agent, searches the web, goes through a connector, polls."""
+    low, given = F.lower(name), F.lower(raw)
+    return {
+        "clarifies": low == "request_user_input",
+        "starts_agent": low.isin("spawn_agent", "create_agent") | given.isin("subagent", "workflow"),
+        "searches_web": low.contains("web") & (low.contains("run") | low.contains("search") | low.contains("query")),
+        "through_connector": low.startswith("mcp") | given.contains("mcp__"),
+        "polls": low.isin("wait", "wait_agent", "wait_threads", "write_stdin"),
+    }
+
+
+def platform(cwd: Column) -> Column:
+    """The kind of machine, by the shape of the working folder."""
+    c = F.trim(cwd)
+    return (
+        F.when(c.rlike(r"^[A-Za-z]:\\"), "windows").when(c.startswith("/Users/"), "macos").when(c.startswith("/"), "posix_other").otherwise("unknown")
+    )
+
+
+def role(origin: Column) -> Column:
+    """(role, basis) of a session: one that an agent started, or a root."""
+    return F.struct(F.when(origin == "subagent", "task_subagent").otherwise("root_task").alias("role"), F.lit("structured").alias("basis"))
+
+
+def is_meta(command_seen: Column, mentions: Column, first_prompt: Column, skill: str, marks: tuple[str, ...]) -> Column:
+    """Whether a session is about this kind of report itself: by its command, its skill, or a first prompt that names them."""
+    low = F.lower(F.coalesce(first_prompt, F.lit("")))
+    named = reduce(lambda a, b: a | b, [low.contains(m) for m in (*marks, f"${skill}")])
+    return F.coalesce(command_seen, F.lit(False)) | F.coalesce(F.array_contains(mentions, skill), F.lit(False)) | (low.contains("insights") & named)
+
+
+def session_type(turns: Column, calls: Column, changes: Column, searches: Column, agents: Column, minutes: Column) -> Column:
     return (
-        F.when((turns <= 1) & (calls <= 2), "quick_check").when(agents > 0, "multi_agent").when(changes > 0, "implementation")
-        .when(searches > 0, "research").when(calls > 0, "tool_driven").otherwise("conversation")
+        F.when((turns <= 1) & (calls <= 2) & (minutes < 2), "quick_check").when(agents > 0, "multi_agent").when(changes > 0, "implementation")
+        .when(searches > 0, "research").when(calls >= 10, "tool_driven").otherwise("conversation")
     )
 
 

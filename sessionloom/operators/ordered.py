@@ -28,21 +28,28 @@ def state_epoch(df: DataFrame, session: list[str], order: list[str], changed: Co
     return df.withColumn(name, F.coalesce(F.sum(changed.cast("long")).over(_before(session, order)), F.lit(0).cast("long")))
 
 
-def classify_retries(df: DataFrame, session: list[str], fingerprint: str, order: list[str], is_call: Column, polling: Column, failed: Column, changed: Column) -> DataFrame:
+def classify_retries(
+    df: DataFrame, session: list[str], fingerprint: str, order: list[str], is_call: Column, polling: Column, failed: Column, changed: Column,
+    mode: str | None = None, keep_all: bool = False,
+) -> DataFrame:
     """Calls with `retry`: polling for a repeated polling call; else, after an earlier failure of the same
-    fingerprint, after_state_change if a state change succeeded since, or unchanged; else none.
+    fingerprint, after_state_change if a state change succeeded since or (where one is named) the mode of
+    approval is another, or unchanged; else none.
 
-    A failure keeps the epoch before its own result.
+    A failure keeps the epoch before its own result, and the mode of its call. keep_all: other rows stay, with a null retry.
     """
     df = state_epoch(df, session, order, changed)
     keys = [*session, fingerprint]
+    about = F.struct("epoch", (F.col(mode) if mode else F.lit("")).alias("mode"))
     df = df.withColumn("__seen", F.count(F.when(is_call, 1)).over(_before(keys, order)))
-    df = df.withColumn("__failed_at", F.last(F.when(failed, F.col("epoch")), ignorenulls=True).over(_before(keys, order)))
+    df = df.withColumn("__failed", F.last(F.when(failed, about), ignorenulls=True).over(_before(keys, order)))
+    other = F.col(mode) != F.col("__failed.mode") if mode else F.lit(False)
     kind = (
-        F.when(polling & (F.col("__seen") > 0), "polling").when(F.col("__failed_at").isNull(), "none")
-        .when(F.col("epoch") > F.col("__failed_at"), "after_state_change").otherwise("unchanged")
+        F.when(polling & (F.col("__seen") > 0), "polling").when(F.col("__failed").isNull(), "none")
+        .when((F.col("epoch") > F.col("__failed.epoch")) | other, "after_state_change").otherwise("unchanged")
     )
-    return df.filter(is_call).withColumn("retry", kind).drop("__seen", "__failed_at")
+    df = df if keep_all else df.filter(is_call)
+    return df.withColumn("retry", F.when(is_call, kind)).drop("__seen", "__failed")
 
 
 def turn_durations(df: DataFrame, keys: list[str], order: list[str], ts: str, is_start: Column, is_end: Column) -> DataFrame:

@@ -15,16 +15,14 @@ from pyspark.sql import functions as F
 
 #: The record types of session logs.
 KNOWN_TYPES = (
-    "session permission/preset sandbox/mode approval/policy session/end-seed agent/inbox/spliced turn/start turn/end step/start step/end "
-    "user/message assistant/message assistant/chunk tool/call tool/result request/header request/context approval/asked approval/decided "
-    "llm/retry llm/retry-started todo/write session/title session/title-llm-request plan/mode command/run command/done "
-    "agent-preset/selected subagent/descriptor goal/change web/deepseek-search-llm-request reasoning-chunks tool-call-chunks text-chunks"
-).split()
+    "session", "permission/preset", "sandbox/mode", "approval/policy", "session/end-seed", "agent/inbox/spliced", "turn/start", "turn/end",
+    "step/start", "step/end", "user/message", "assistant/message", "assistant/chunk", "tool/call", "tool/result", "request/header",
+    "request/context", "approval/asked", "approval/decided", "llm/retry", "llm/retry-started", "todo/write", "session/title",
+    "session/title-llm-request", "plan/mode", "command/run", "command/done", "agent-preset/selected", "subagent/descriptor", "goal/change",
+    "web/deepseek-search-llm-request", "reasoning-chunks", "tool-call-chunks", "text-chunks",
+)
 #: Known records before the header that are kept, at most.
 BEFORE_HEADER = 50
-#: Blocks without text, and the length from which an unbroken string is no text.
-SILENT_BLOCKS = ("image", "audio", "input_image", "input_audio")
-LONG_TOKEN = 512
 #: Lines of one batch.
 BATCH_LINES = 4_096
 
@@ -69,21 +67,32 @@ def read_session_logs(spark: SparkSession, root: str, pattern: str = "session.js
     return files.select("path", "content").mapInPandas(decode, RAW)
 
 
+def json_kind(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, a number's type, or null, of a VARIANT."""
+    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
+
+
+def json_number(value: Column, path: str) -> Column:
+    """The number at a path of a VARIANT; texts and booleans are none."""
+    part = F.try_variant_get(value, path, "variant")
+    return F.when(~json_kind(part).isin("STRING", "BOOLEAN", "OBJECT", "ARRAY", "VOID"), F.try_variant_get(value, path, "double"))
+
+
 def normalise_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, bad): records path, seq, type, time, data (JSON); bad rows have a `reason`.
+    """(records, bad): records path, seq, type, time (epoch milliseconds), data (JSON); bad rows have a `reason`.
 
-    Blank lines are skipped. Reasons: unreadable (file), malformed (no JSON object), unknown (type, '<missing>'
-    for a blank one), no_header (the file has no session record), early (a record too far before the header)
-    and later_header.
+    Blank lines are skipped. Reasons: unreadable (file), malformed (no JSON object, or a record after the header whose
+    data is none), unknown (type, '<missing>' for a blank one), no_header (the file has no session record), early (a
+    record too far before the header) and later_header. Times that are no numbers are null.
     """
-    lines = raw.filter("NOT readable OR trim(value) <> ''")
-    field = lambda name: F.get_json_object("value", f"$.{name}")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
-    kind = F.coalesce(F.nullif(field("type"), F.lit("")), F.lit("<missing>"))
+    lines = raw.filter("NOT readable OR trim(value) <> ''").withColumn("v", F.try_parse_json("value"))
+    kind = F.coalesce(F.nullif(F.try_variant_get("v", "$.type", "string"), F.lit("")), F.lit("<missing>"))
+    is_object = F.coalesce(json_kind(F.col("v")) == "OBJECT", F.lit(False))
+    rows = lines.withColumns({"ok": is_object, "type": kind, "time": json_number(F.col("v"), "$.time")})
+    has_data = F.coalesce(json_kind(F.try_variant_get("v", "$.data", "variant")) == "OBJECT", F.lit(False))
     # the header record has its fields beside its type; all others have them in `data`
-    data = F.when(kind == "session", F.col("value")).otherwise(field("data"))
-    rows = lines.withColumns({"ok": is_object, "type": kind, "time": field("time").try_cast("long"), "data": data})
-    rows = rows.withColumn("known", F.col("ok") & F.col("type").isin(*KNOWN_TYPES))
+    data = F.when(F.col("type") == "session", F.col("value")).when(has_data, F.get_json_object("value", "$.data"))
+    rows = rows.withColumn("data", data).withColumn("known", F.col("ok") & F.col("type").isin(*KNOWN_TYPES)).drop("v")
     rows = rows.withColumn("header", F.min(F.when(F.col("known") & (F.col("type") == "session"), F.col("seq"))).over(Window.partitionBy("path")))
     place = F.sum(F.col("known").cast("int")).over(Window.partitionBy("path").orderBy("seq"))
     rows = rows.withColumn("place", place)
@@ -91,6 +100,7 @@ def normalise_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(~F.col("readable"), "unreadable").when(~F.col("ok"), "malformed").when(~F.col("known"), "unknown")
         .when(F.col("header").isNull(), "no_header").when((F.col("seq") < F.col("header")) & (F.col("place") > BEFORE_HEADER), "early")
         .when((F.col("type") == "session") & (F.col("seq") > F.col("header")), "later_header")
+        .when(F.col("data").isNull() & (F.col("seq") > F.col("header")), "malformed")
     )
     rows = rows.withColumn("reason", reason)
     records = rows.filter("reason IS NULL").select("path", "seq", "type", "time", "data")
@@ -98,14 +108,21 @@ def normalise_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """The raw lines of snapshots {header, events}: the header first, then the events in order; a bad envelope is not readable."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    both = F.from_json("value", "header string, events array<string>")
-    parts = text.select("path", both.alias("s")).select("path", F.col("s.header").alias("header"), F.col("s.events").alias("events"))
-    good = F.col("header").startswith("{") & F.col("events").isNotNull()
-    head = F.to_json(F.map_concat(F.from_json("header", "map<string,string>"), F.create_map(F.lit("type"), F.lit("session"))))
-    lines = F.when(good, F.concat(F.array(head), F.col("events"))).otherwise(F.array(F.lit(None).cast("string")))
-    return parts.select("path", F.posexplode(lines).alias("seq", "value"), F.coalesce(good, F.lit(False)).alias("readable")).select(
+    """The raw lines of snapshots {session, events}, one a line: the header first, then the events in order.
+
+    A snapshot may stand in an envelope {kind: session, snapshot}; a request line {schema, operation} is passed over.
+    Anything else gives one row that is not readable. The path tells the file and the session.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter("trim(value) <> ''")
+    part = lambda p: F.get_json_object("value", p)
+    lines = lines.filter(~(part("$.schema").isNotNull() & part("$.operation").isNotNull()))
+    inner = F.when(part("$.kind") == "session", part("$.snapshot")).otherwise(F.col("value"))
+    both = lines.withColumn("s", inner).withColumns({"header": F.get_json_object("s", "$.session"), "events": F.from_json(F.get_json_object("s", "$.events"), "array<string>")})
+    good = F.coalesce(F.col("header").startswith("{"), F.lit(False)) & F.col("events").isNotNull()
+    name = F.coalesce(F.nullif(F.get_json_object("header", "$.id"), F.lit("")), F.sha1("value"))
+    head = F.when(F.col("header") == "{}", '{"type":"session"}').otherwise(F.concat(F.lit('{"type":"session",'), F.expr("substring(header, 2)")))
+    rows = F.when(good, F.concat(F.array(head), F.col("events"))).otherwise(F.array(F.lit(None).cast("string")))
+    return both.select(F.concat("file", F.lit("#"), name).alias("path"), good.alias("readable"), F.posexplode(rows).alias("seq", "value")).select(
         "path", F.col("seq").cast("long").alias("seq"), "value", "readable"
     )
 
@@ -118,18 +135,6 @@ def call_id(data: Column) -> Column:
     return F.coalesce(some("$.callId"), some("$.message.source.callId"), F.get(ids, 0), F.lit(""))
 
 
-def output_text(data: Column) -> Column:
-    """The texts of a result's content items, joined by newlines; media blocks, data URIs and long tokens are left out."""
-    inner = "array<struct<type: string, text: string>>"
-    items = F.from_json(F.get_json_object(data, "$.message.content"), f"array<struct<type: string, text: string, content: {inner}>>")
-    speaks = lambda x: ~F.lower(F.coalesce(x["type"], F.lit(""))).isin(*SILENT_BLOCKS)
-    own = lambda x: F.array(x["text"])
-    below = lambda x: F.transform(F.filter(F.coalesce(x["content"], F.array().cast(inner)), speaks), lambda y: y["text"])
-    texts = F.flatten(F.transform(F.filter(items, speaks), lambda x: F.concat(own(x), below(x))))
-    is_text = lambda t: t.isNotNull() & ~t.startswith("data:") & ~((F.length(t) > LONG_TOKEN) & ~F.trim(t).rlike(r"\s"))
-    return F.coalesce(F.array_join(F.filter(texts, is_text), "\n"), F.lit(""))
-
-
 def write_report(df: DataFrame, path: str, source_root: str) -> None:
     """Writes a report table as JSON; a place under the source folder is refused."""
     if f"{path.rstrip('/')}/".startswith(f"{source_root.rstrip('/')}/"):
