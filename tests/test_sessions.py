@@ -214,3 +214,111 @@ def test_workspace_keys(spark):
     rows = spark.createDataFrame([("/ws/p/x", "k"), ("/ws/pq", "k"), (None, "--ws-p-y--"), ("c:\\Ws\\P", "k"), (None, None), ("/else", "--ws-p--")], "cwd string, key string")
     got = rows.select(fold.in_project(F.col("cwd"), F.col("key"), "/ws/p").alias("x"), fold.in_project(F.col("cwd"), F.col("key"), "C:/ws/p").alias("y")).collect()
     assert [tuple(r) for r in got] == [(True, False), (False, False), (True, False), (False, True), (False, False), (True, False)]
+
+
+def test_report(spark, tmp_path):
+    """The report's tables over stored sessions, against plain Python on the same rows."""
+    from datetime import datetime, timezone
+
+    from sessionloom.sessions import report
+
+    records = bronze(spark, CASES | {"nine": NINE})
+    fold.fold_sessions(records).write.parquet(f"{tmp_path}/sessions")
+    s = spark.read.parquet(f"{tmp_path}/sessions").withColumn("session_id", F.element_at(F.split("path", "/"), -2))
+    rows = {r.session_id: r for r in s.collect()}
+    lo, hi = report.time_range(datetime.fromtimestamp(T / 1000 + 86_400, timezone.utc), days=1)
+    inside = report.scoped(s, lo, hi)
+    assert {r.session_id: r.skip for r in inside.collect() if r.skip} == {"early": "outside_window"}
+    assert report.scoped(s, lo, hi, "/workspace").filter("skip = 'other_project'").count() == 0
+    assert report.scoped(s, lo, hi, "/workspaces").filter("skip = 'other_project'").count() == len(rows) - 1
+    t = report.totals(s).first()
+    for c in report.SUMMED + report.TOKENS:
+        assert t[c] == sum(r[c] for r in rows.values()), c
+    p = report.projects(s)
+    assert [(r.project, r.sessions) for r in p.collect()] == [("project-a", len(rows) - 1), ("api", 1)]
+    assert p.first().top_tools[0] == "bash"
+    roles = report.dimension(s, "role").collect()
+    assert [r.role for r in roles] == ["root_task", "task_subagent"] and roles[0].total_token_share == 1.0
+    i = report.interaction(s)
+    x = i.first()
+    spans = [(r.start_ms, r.end_ms) for r in rows.values() if r.start_ms < r.end_ms]
+    assert x.overlap_pairs == sum(max(a[0], b[0]) < min(a[1], b[1]) for k, a in enumerate(spans) for b in spans[:k])
+    assert x.overlapping_sessions == sum(any(a is not b and max(a[0], b[0]) < min(a[1], b[1]) for b in spans) for a in spans)
+    lengths = sorted(n for r in rows.values() for n in r.prompt_lengths)
+    assert x.p90_prompt_chars == lengths[-(-9 * len(lengths) // 10) - 1]
+    assert {r.signal: (r.total, r.affected) for r in report.friction(s).collect()}["tool_failures"] == (t.tool_failures, sum(r.tool_failures > 0 for r in rows.values()))
+    named = report.titled(s)
+    assert {r.session_id: r.title for r in named.collect() if r.session_id in ("nine", "nothing")} == {"nine": "A task", "nothing": "No usable title"}
+    f = report.families(named)
+    f.write.parquet(f"{tmp_path}/families")
+    f = spark.read.parquet(f"{tmp_path}/families")
+    fam = {r.family_id: r for r in f.collect()}
+    assert fam["s0"].root_id is None and fam["s0"].log_completed == "unknown" and fam["messages"].accepted == "yes" and fam["messages"].first_response_seconds == 3.0 if "messages" in fam else True
+    assert report.family_totals(f).first().roots == len(rows) - 1 if len(fam) == len(rows) else True
+    c = report.coverage(inside, spark.createDataFrame([("p", 0, "x", "malformed")], "path string, seq long, type string, reason string"), f)
+    assert (c.first().malformed_lines, c.first().skipped_outside_window, c.first().task_families_without_root) == (1, 1, 1)
+    assert {r.rule for r in report.recommendation_rules(report.totals(s), i, c, p).collect()} >= {"failures", "permissions", "long_tasks", "reuse"}
+    assert {r.warning for r in report.warning_rules(report.totals(s), c, files=3).collect()} == {"damaged_records", "unfinished_sessions"}
+    assert report.narrative(s, p).first().main_project == "project-a"
+    assert report.work_areas(named).count() >= 1 and {k: d.count() for k, d in report.usage_profile(s).items()}["hours"] == 24
+    assert report.providers(s).first().provider == "p"
+
+
+def test_excerpts_against_a_plain_fold(spark):
+    import math
+    import random
+
+    from sessionloom.sessions import report
+
+    rng = random.Random(4)
+    sessions = [(f"s{i:03}", f"p{rng.randrange(4)}", float(rng.randrange(30)), i, rng.randrange(2), 0, 0) for i in range(60)]
+    cands = [(s[0], k, ("prompt" if k == 0 else rng.choice(["correction", "follow_up"])), f"t{rng.randrange(90)}") for s in sessions for k in range(rng.randrange(5))]
+    limit = 12
+
+    def plain():
+        by = {s[0]: s for s in sessions}
+        of = {i: [c for c in cands if c[0] == i] for i in by}
+        simple = sorted(by, key=lambda i: (-by[i][2], by[i][3]))
+        rough = sorted(by, key=lambda i: (by[i][4] == 0, -by[i][2], -by[i][3]))
+        out, seen, n, m, cap = [], set(), {}, {}, max(2, math.ceil(limit / 4))
+        for order, kinds, most in ((simple, ("prompt",), 5), (rough, ("correction",), limit), (simple, ("prompt", "correction", "follow_up"), limit)):
+            for c in (c for i in order for c in of[i] if c[2] in kinds):
+                p = by[c[0]][1]
+                if len(out) < most and c[3] not in seen and n.get(c[0], 0) < 2 and m.get(p, 0) < cap:
+                    seen.add(c[3])
+                    n[c[0]], m[p] = n.get(c[0], 0) + 1, m.get(p, 0) + 1
+                    out.append((c[0], c[2], c[3]))
+        return out
+
+    s = spark.createDataFrame(sessions, "session_id string, project string, complexity_score double, created_ms long, tool_failures int, aborted_turns int, permission_blocks int")
+    got = report.excerpts(s, spark.createDataFrame(cands, "session_id string, ordinal int, kind string, text string"), limit)
+    assert [(r.session_id, r.kind, r.text) for r in got.orderBy("position").collect()] == plain()
+    assert report.excerpts(s, spark.createDataFrame([], "session_id string, ordinal int, kind string, text string"), 0).count() == 0
+
+
+def test_time_ranges():
+    from datetime import datetime, timezone
+
+    from sessionloom.sessions import report
+
+    now = datetime(2026, 8, 21, 12, tzinfo=timezone.utc)
+    assert (now - report.time_range(now)[0]).days == 30
+    lo, hi = report.time_range(now, since="2026-08-01", until="2026-08-02")
+    assert lo.isoformat() == "2026-08-01T00:00:00+00:00" and hi.isoformat().startswith("2026-08-02T23:59:59.999")
+    assert report.moment("2026-08-01T00:00:00Z") == lo == report.moment("2026-08-01T02:00:00+02:00")
+    for bad in ({"days": 0}, {"days": 3, "since": "2026-08-01"}, {"since": "2026-09-01"}):
+        with pytest.raises(ValueError):
+            report.time_range(now, **bad)
+
+
+def test_report_contract(spark):
+    from sessionloom.sessions import report
+
+    kinds = {"STRING": "x", "BIGINT": 1, "OBJECT": {}, "ARRAY": []}
+    good = {k: kinds[v] for k, v in report.REQUIRED.items()}
+    good["totals"] = {"sessions": 0, "turns": 0, "tool_calls": 0, "tokens": {k: 0 for k in report.TOKEN_TOTALS}}
+    good["scope"] = {"privacy_mode": "redacted_sample", "analysis_privacy_mode": "redacted", "analysis_depth": "evidence"}
+    bad = {k: v for k, v in good.items() if k != "excerpts"} | {"totals": {"sessions": -1}, "projects": {}}
+    rows = spark.createDataFrame([(json.dumps(good),), (json.dumps(bad),), ("no",)], "j string").select(report.contract_errors(F.col("j")).alias("e")).collect()
+    assert rows[0].e == [] and {"excerpts", "projects", "totals.sessions", "totals.turns", "totals.tokens.total_tokens"} == set(rows[1].e) - {f"totals.tokens.{k}" for k in report.TOKEN_TOTALS} - {"totals.tool_calls"} | {"totals.tokens.total_tokens"}
+    assert len(rows[2].e) > 15
