@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions import classify
+from sessionloom.functions import classify, tools
 from sessionloom.operators import intervals, ordered, rollups
 from sessionloom.plans.registry import EVENTS, ORDER, events, query, table
 
@@ -183,9 +183,11 @@ def session_status(spark, d):
     return _per_user(spark, d).select("user_id", status.alias("status"))
 
 
-@query(f"SELECT user_id, CASE WHEN turns <= 1 AND calls <= 2 THEN 'quick_check' WHEN failures > 0 THEN 'multi_agent' WHEN changes > 0 THEN 'implementation' WHEN polling > 0 THEN 'research' WHEN calls > 0 THEN 'tool_driven' ELSE 'conversation' END AS kind FROM ({PER_USER})")
+@query(f"SELECT user_id, CASE WHEN turns <= 1 AND calls <= 2 AND failures < 2 THEN 'quick_check' WHEN failures > 3 THEN 'multi_agent' WHEN changes > 3 THEN 'implementation' WHEN polling > 3 THEN 'research' WHEN calls >= 10 THEN 'tool_driven' ELSE 'conversation' END AS kind FROM ({PER_USER})")
 def session_type(spark, d):
-    kind = classify.session_type(*[F.col(c) for c in ("turns", "calls", "changes", "polling", "failures")])
+    """Failures stand in for agents (beyond three) and for minutes; changes and polling for patches and searches (beyond three)."""
+    c = {n: F.col(n) for n in ("turns", "calls", "changes", "polling", "failures")}
+    kind = classify.session_type(c["turns"], c["calls"], c["changes"] - 3, c["polling"] - 3, c["failures"] - 3, c["failures"])
     return _per_user(spark, d).select("user_id", kind.alias("kind"))
 
 
@@ -244,10 +246,11 @@ def verification_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count_if(_is("purchase")).alias("verified"), F.count_if(_is("error")).alias("failed"))
 
 
-@query("SELECT event_id, sha256(event_type || ':' || json_extract_string(props, '$.k')) AS fingerprint FROM events")
+@query("SELECT event_id, sha256(event_type || chr(0) || '{\"a\":' || event_id || ',\"k\":' || json_extract_string(props, '$.k') || '}') AS fingerprint FROM events")
 def call_fingerprint(spark, d):
-    e = events(spark, d)
-    return e.select("event_id", F.sha2(F.concat_ws(":", "event_type", F.col("k").cast("string")), 256).alias("fingerprint"))
+    """Arguments with keys out of order, one of which only concerns the transport."""
+    args = F.to_json(F.struct(F.col("k"), F.col("event_type").alias("justification"), F.col("event_id").alias("a")))
+    return events(spark, d).select("event_id", tools.call_fingerprint(F.col("event_type"), args).alias("fingerprint"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2")

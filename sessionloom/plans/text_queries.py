@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import classify, text
 from sessionloom.operators import ordered, rollups
 from sessionloom.plans.registry import query, table
+from sessionloom.sessions import evidence
 from sessionloom.sources import incremental
 
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -39,12 +41,14 @@ def url_query_mask(spark, d):
     return table(spark, d, "pages").select("page_id", text.mask_url_queries(F.col("url")).alias("url"))
 
 
-@query()
+@query("SELECT page_id, (least(length(html), 50) + 19 + 4)::INT AS n FROM pages")
 def strip_blocks(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(text.strip_blocks(F.col("html"))).alias("n"))
+    """A page's beginning, the page as an injected block, and a tail."""
+    whole = F.concat(F.substring("html", 1, 50), F.lit("<system-reminder>"), F.col("html"), F.lit("</system-reminder>tail"))
+    return table(spark, d, "pages").select("page_id", F.length(text.strip_blocks(whole)).alias("n"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '```(.|\\n)*?```', '[code]', 'g'))::BIGINT AS n FROM documents")
+@query("SELECT doc_id, length(regexp_replace(text, '```(.|\\n)*?```', ' [code omitted] ', 'g'))::BIGINT AS n FROM documents")
 def strip_fences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(text.strip_fences(F.col("text"))).cast("long").alias("n"))
 
@@ -105,12 +109,21 @@ def text_signals(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("timeouts"))
 
 
-@query()
+def _cause_sql() -> str:
+    cases = " ".join(f"WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p in classify.CAUSES)
+    return f"SELECT CASE {cases} ELSE 'other' END AS cause, count(*) AS n FROM documents GROUP BY 1"
+
+
+@query(_cause_sql())
 def failure_cause(spark, d):
     return table(spark, d, "documents").groupBy(classify.failure_cause(F.col("text")).alias("cause")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _flag_sql() -> str:
+    return f"SELECT source, {', '.join(f'count(*) FILTER (regexp_matches(text, {chr(39)}{p}{chr(39)})) AS {k}' for k, p in classify.COMMANDS.items())} FROM documents GROUP BY 1"
+
+
+@query(_flag_sql())
 def command_flags(spark, d):
     flags = [F.count_if(classify.command_flag(F.col("text"), k)).alias(k) for k in classify.COMMANDS]
     return table(spark, d, "documents").groupBy("source").agg(*flags)
@@ -122,13 +135,16 @@ def mention_counts(spark, d):
     return m.groupBy("mention").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 4 ELSE doc_id % 3 END::INT AS code FROM documents")
 def exit_code_pick(spark, d):
-    return table(spark, d, "documents").select("doc_id", classify.exit_code(F.col("text")).alias("code"))
+    """Texts between two lines with exit codes."""
+    line = lambda n: F.concat(F.lit("Exit code: "), (F.col("doc_id") % n).cast("string"))
+    whole = F.concat_ws("\n", line(4), F.coalesce("text", F.lit("")), line(3))
+    return table(spark, d, "documents").select("doc_id", classify.exit_code(whole).alias("code"))
 
 
 USERS = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations WHERE role = 'user'"
-FIX = r"(?i)\b(no|not that|instead|wrong|stop|actually|rather than|misunderstood)\b"
+FIX = r"(?i)(^|[^\p{L}\p{M}\p{N}_])(no|not that|instead|wrong|stop|actually|rather than|misunderstood)([^\p{L}\p{M}\p{N}_]|$)"
 KIND = f"CASE WHEN ordinal = 1 THEN 'prompt' WHEN regexp_matches(text, '{FIX}') THEN 'correction' WHEN ordinal <= 4 THEN 'follow_up' ELSE 'message' END"
 
 
@@ -137,12 +153,12 @@ def _kinds(spark, d):
     return ordered.message_kinds(users, ["conv_id"], ["turn"], classify.is_correction(F.col("text")))
 
 
-@query()
+@query(f"SELECT conv_id, turn, {KIND} AS kind FROM ({USERS})")
 def message_kinds(spark, d):
     return _kinds(spark, d).select("conv_id", "turn", "kind")
 
 
-@query()
+@query(f"SELECT count(*) AS messages, count(*) FILTER ({KIND} = 'correction') AS corrections FROM ({USERS})")
 def correction_rate(spark, d):
     k = _kinds(spark, d)
     return k.agg(F.count("*").alias("messages"), F.count_if(F.col("kind") == "correction").alias("corrections"))
@@ -163,8 +179,6 @@ def session_rollup(spark, d):
 
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS families, round(sum(length(text)) / greatest(sum(sum(length(text))) OVER (), 1), 4) AS share FROM conversations GROUP BY 1")
 def role_share(spark, d):
-    from pyspark.sql import Window
-
     r = table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("families"), F.sum(F.length("text")).alias("c"))
     whole = F.greatest(F.sum("c").over(Window.partitionBy(F.lit(1))), F.lit(1))  # one row per role
     return r.select("role", "n", "families", F.round(F.col("c") / whole, 4).alias("share"))
@@ -187,19 +201,30 @@ def title_precedence(spark, d):
     return c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
 
 
-@query("""SELECT conv_id, count(*) AS kept, sum(least(n, 500))::BIGINT AS chars FROM (SELECT conv_id, turn, length(text) AS n,
-    coalesce(sum(least(length(text), 500) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations) WHERE used < 2000 GROUP BY 1""")
+@query("""SELECT conv_id, count(*) AS kept, sum(least(n, 5000))::BIGINT AS chars FROM (SELECT conv_id, turn, length(text) AS n,
+    coalesce(sum(least(length(text), 5000) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS used FROM conversations) WHERE used < 50000 GROUP BY 1""")
 def topic_text(spark, d):
-    n = F.least(F.length("text"), F.lit(500))
-    kept = ordered.within_budget(table(spark, d, "conversations").withColumn("n", n), ["conv_id"], ["turn"], F.col("n") + 1, 2000, 0)
+    n = F.least(F.length("text"), F.lit(5000))
+    used = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - 1
+    kept = table(spark, d, "conversations").withColumn("n", n).withColumn("used", used).filter("used < 50000")
     return kept.groupBy("conv_id").agg(F.count("*").alias("kept"), F.sum("n").alias("chars"))
 
 
-@query("""SELECT conv_id, turn, least(length(text), 1500 - used)::BIGINT AS kept, length(text) > 1500 - used AS truncated FROM (SELECT *,
-    coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations) WHERE 1500 - used > 80""")
+BUDGET = f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, regexp_matches(text, '{FIX}') AND role = 'user' AS fix FROM conversations),
+    n AS (SELECT *, count(*) FILTER (fix) OVER w AS f, count(*) FILTER (role = 'user') OVER b AS u, count(*) FILTER (role = 'assistant') OVER b AS a FROM m
+          WINDOW w AS (PARTITION BY conv_id ORDER BY turn), b AS (PARTITION BY conv_id ORDER BY turn DESC)),
+    r AS (SELECT *, CASE WHEN place = 1 THEN 1 WHEN fix AND f <= 3 THEN 2 WHEN role = 'user' AND u = 1 THEN 3 WHEN role = 'assistant' AND a = 1 THEN 4 ELSE 6 END AS rank FROM n),
+    s AS (SELECT *, 1500 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY rank, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM r)
+    SELECT conv_id, turn, least(length(text), room)::BIGINT AS kept, length(text) > room AS truncated FROM s WHERE room > 80"""
+
+
+@query(BUDGET)
 def evidence_budget(spark, d):
-    rows = ordered.within_budget(table(spark, d, "conversations"), ["conv_id"], ["turn"], F.length("text"), 1500, 80)
-    return rows.select("conv_id", "turn", F.least(F.length("text"), F.col("room")).alias("kept"), "truncated")
+    """First message, corrections, last user's and last assistant's message, then the rest, within 1,500 characters."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.length("text").alias("n"), F.lit(False).alias("notable"))
+    rows = evidence.budgeted(rows, ["conv_id"], ["turn"], 1500).withColumn("cut", F.col("truncated"))
+    room = 1500 - F.sum(F.when(~F.col("cut"), F.col("n")).otherwise(0)).over(Window.partitionBy("conv_id"))
+    return rows.select("conv_id", "turn", F.when(F.col("cut"), room).otherwise(F.col("n")).cast("long").alias("kept"), F.col("cut").alias("truncated"))
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn) AS k FROM conversations) WHERE k = 1")
@@ -256,8 +281,6 @@ def supported_recs(spark, d):
 
 @query("SELECT doc_id, format('batch-{:03d}', ceil(row_number() OVER (PARTITION BY source ORDER BY doc_id) / 6.0)::INT) AS batch FROM documents")
 def batching(spark, d):
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return table(spark, d, "documents").select("doc_id", F.format_string("batch-%03d", F.ceil(n / 6)).alias("batch"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
@@ -37,3 +42,50 @@ def usage_once(rows: DataFrame, ts: str, keys: list[str], late: str) -> DataFram
 def land(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream to a Parquet table, all that is there now; started again, it goes on where it ended."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def usage_best(rows: DataFrame, ts: str, keys: list[str], message: str, order: list[str], value: str, late: str) -> DataFrame:
+    """The usage report that counts of each step: the last message's, or the last chunk's where no message has one."""
+    best = F.max_by(value, F.struct(F.col(message).cast("int"), *order))
+    return _timed(rows, ts, late).groupBy(*keys).agg(best.alias(value))
+
+
+def live_retries(rows: DataFrame, idle: str, late: str = "10 minutes") -> DataFrame:
+    """(session, event_id, retry) of calls, as in the batch: polling, unchanged, after_state_change or none.
+
+    rows: session, ts, event_id, is_call, print (of the call, or of the call that a result answers), mode, polls, failed, changed.
+    Rows of a batch are taken in order of ts and event_id. A session's state is its epoch and what is known of each
+    fingerprint; it goes when the session has been idle for that long by event time.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        epoch, known = json.loads(state.get[0]) if state.exists else (0, {})
+        part = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for r in part.itertuples():
+            seen, failed_at, failed_mode = known.get(r.print, (0, None, None))
+            if r.is_call:
+                if r.polls and seen:
+                    retry = "polling"
+                elif failed_at is None:
+                    retry = "none"
+                else:
+                    retry = "after_state_change" if epoch > failed_at or r.mode != failed_mode else "unchanged"
+                out.append((key[0], r.event_id, retry))
+                seen += 1
+            if r.failed:
+                failed_at, failed_mode = epoch, r.mode
+            known[r.print] = (seen, failed_at, failed_mode)
+            epoch += bool(r.changed)
+        state.update((json.dumps((epoch, known)),))
+        last = max(int(part["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(last + idle_ms)
+        yield pd.DataFrame(out, columns=["session", "event_id", "retry"])
+
+    return _timed(rows, "ts", late).groupBy("session").applyInPandasWithState(
+        step, "session string, event_id long, retry string", "known string", "append", GroupStateTimeout.EventTimeTimeout
+    )

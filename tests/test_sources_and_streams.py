@@ -5,6 +5,7 @@ import json
 import zstandard
 from pyspark.sql import functions as F
 
+from sessionloom.functions import tools
 from sessionloom.sources import session_logs
 from sessionloom.streaming import live
 
@@ -30,11 +31,15 @@ def test_session_logs(spark, tmp_path):
 
 
 def test_snapshots(spark, tmp_path):
-    (tmp_path / "good.json").write_text(json.dumps({"header": {"id": "s"}, "events": [{"type": "turn/start", "time": 1, "data": {"turn": 1}}]}))
-    (tmp_path / "bad.json").write_text("[1]")
+    good = {"session": {"id": "s", "createdAt": 5}, "events": [{"type": "turn/start", "time": 1, "data": {"turn": 1}}]}
+    lines = [{"schema": "x", "operation": "report", "options": {}}, good, {"kind": "session", "snapshot": good | {"session": {}}}, {"header": {"id": "s"}, "events": []}, {"session": {}, "events": 3}]
+    (tmp_path / "good.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "bad.jsonl").write_text("[1]")
     records, bad = session_logs.normalise_records(session_logs.read_snapshots(spark, str(tmp_path)))
-    assert [r["type"] for r in records.orderBy("seq").collect()] == ["session", "turn/start"]
-    assert [r["reason"] for r in bad.collect()] == ["unreadable"]
+    rows = records.orderBy("path", "seq").collect()
+    assert sorted((r["path"].split("#")[1][:2] == "s", r["type"]) for r in rows) == [(False, "session"), (False, "turn/start"), (True, "session"), (True, "turn/start")]
+    assert all(json.loads(r["data"]).get("createdAt") == 5 for r in rows if r["type"] == "session" and r["path"].endswith("#s"))
+    assert [r["reason"] for r in bad.collect()] == ["unreadable"] * 3
 
 
 def test_nested_results(spark):
@@ -43,11 +48,11 @@ def test_nested_results(spark):
         ("c1", "", json.dumps({"callId": "c1"})),
         ("c2", "", message(source={"callId": "c2"})),
         ("c3", "a\nb", message(content=[{"toolCallId": "", "text": "a"}, {"toolCallId": "c3", "content": [{"type": "text", "text": "b"}, {"type": "Image", "text": "no"}]}])),
-        ("", "x y", message(content=[{"type": "text", "text": "data:zz"}, {"text": "x y"}, {"text": "q" * 600}])),
+        ("", "x y", message(content=[{"type": "text", "text": "data:zz"}, {"text": "x y"}, {"text": "q1" * 300}])),
         ("", "", "{}"),
     ]
     df = spark.createDataFrame(rows, "want string, said string, data string")
-    got = df.select("want", "said", session_logs.call_id(F.col("data")).alias("id"), session_logs.output_text(F.col("data")).alias("text"))
+    got = df.select("want", "said", session_logs.call_id(F.col("data")).alias("id"), tools.walk_json(F.get_json_object("data", "$.message"))["text"].alias("text"))
     got = [tuple(r) for r in got.collect()]
     assert [r[2:] for r in got] == [r[:2] for r in got]
 
@@ -74,6 +79,35 @@ def test_streams_equal_batches(spark):
     assert spark.table("live_usage").count() == batch.select("user_id").distinct().count()
 
 
+def test_live_retries_equal_the_batch(spark):
+    from sessionloom.operators import ordered
+
+    folder = "/root/testdata/sf0.001"
+    batch = spark.read.parquet(f"{folder}/events.parquet")
+    kind = F.col("event_type")
+
+    def steps(df):
+        return df.select(
+            F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.isin("view", "click").alias("is_call"),
+            F.get_json_object("props", "$.k").alias("print"), F.when(F.col("event_id") % 7 == 0, "all").otherwise("default").alias("mode"), (kind == "click").alias("polls"),
+            (kind == "error").alias("failed"), (kind == "purchase").alias("changed"),
+        )
+
+    run(live.live_retries(steps(live.stream_files(spark, folder, batch.schema, "events.parquet")), "1 hour"), "live_retry", "append")
+    want = ordered.classify_retries(steps(batch), ["session"], "print", ["ts", "event_id"], F.col("is_call"), F.col("polls"), F.col("failed"), F.col("changed"), mode="mode").select("session", "event_id", "retry")
+    got = spark.table("live_retry")
+    assert got.count() == want.count() > 0 and not got.exceptAll(want).count()
+
+
+def test_live_usage_prefers_messages(spark, tmp_path):
+    rows = [("s", 1, 1, 0, 10), ("s", 1, 1, 1, 20), ("s", 1, 1, 0, 30), ("s", 2, 1, 0, 5), ("s", 2, 1, 0, 7)]
+    df = spark.createDataFrame([(a, b, c, bool(m), i, t) for i, (a, b, c, m, t) in enumerate(rows)], "session string, turn int, step int, message boolean, seq int, tokens int")
+    df.withColumn("ts", F.timestamp_seconds(F.col("seq"))).coalesce(1).write.parquet(f"{tmp_path}/u")
+    stream = live.stream_files(spark, f"{tmp_path}/u", spark.read.parquet(f"{tmp_path}/u").schema)
+    run(live.usage_best(stream, "ts", ["session", "turn", "step"], "message", ["seq"], "tokens", "1 hour"), "live_best", "complete")
+    assert sorted(map(tuple, spark.table("live_best").collect())) == [("s", 1, 1, 20), ("s", 2, 1, 7)]
+
+
 def test_landing_goes_on(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("source", "out", "mark"))
     for n in (3, 8):
