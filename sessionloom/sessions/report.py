@@ -115,6 +115,24 @@ def titled(sessions: DataFrame, privacy: str = "redacted", omitted: str = "Conte
     return sessions.withColumns({"title": F.coalesce(clean(raw, 140), F.lit(none)), "title_source": source})
 
 
+def privacy_modes(report: str = "redacted", analysis: str | None = None) -> tuple[str, str]:
+    """(report, analysis) mode: local, redacted or metrics; without texts in the report there are none in the analysis either."""
+    modes = ("local", "redacted", "metrics")
+    if report not in modes or (analysis or report) not in modes:
+        raise ValueError(f"a privacy mode is one of {modes}")
+    return report, "metrics" if report == "metrics" else analysis or report
+
+
+def public_view(rows: DataFrame, privacy: str = "redacted") -> DataFrame:
+    """Titled sessions as a report shows them: ids by hash unless local, no folders, prompts or other titles; in metrics mode no text."""
+    out = rows.drop("first_prompt", "provider_title", "fallback_title", "given_cwd", "workspace_key")
+    if privacy == "local":
+        return out
+    ids = {"session_id": "rollout", "family_id": "task", "parent_id": "rollout", "path": "file"}
+    hidden = {c: F.when(F.col(c) != "", text.stable_id(F.col(c), prefix)).otherwise("") for c, prefix in ids.items() if c in out.columns}
+    return out.drop("cwd").withColumns(hidden)
+
+
 def work_areas(rows: DataFrame, placeholders: tuple[str, ...] = ("Content omitted", "No usable title")) -> DataFrame:
     """Measures of each work area, and up to three different titles, of the most complex sessions first."""
     named = rows.filter(~F.col("title").isin(*placeholders)).groupBy("work_area", "title").agg(F.max("complexity_score").alias("c"))

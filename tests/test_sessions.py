@@ -262,6 +262,10 @@ def test_report(spark, tmp_path):
     assert report.narrative(s, p).first().main_project == "project-a"
     assert report.work_areas(named).count() >= 1 and {k: d.count() for k, d in report.usage_profile(s).items()}["hours"] == 24
     assert report.providers(s).first().provider == "p"
+    shown = report.public_view(named).filter("title = 'A task'").first()
+    assert shown.session_id.startswith("rollout-") and "cwd" not in shown and "first_prompt" not in shown and "nine" not in str(shown.asDict().values())
+    assert report.titled(s, "metrics").select("title").distinct().count() == 1 and report.public_view(named, "local").filter("session_id = 'nine'").count() == 1
+    assert report.privacy_modes("metrics", "local") == ("metrics", "metrics") and report.privacy_modes("local") == ("local", "local")
 
 
 def test_excerpts_against_a_plain_fold(spark):

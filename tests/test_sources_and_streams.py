@@ -42,6 +42,40 @@ def test_snapshots(spark, tmp_path):
     assert [r["reason"] for r in bad.collect()] == ["unreadable"] * 3
 
 
+def test_refresh_of_a_stored_table(spark, tmp_path):
+    from sessionloom.sources import incremental
+
+    stored, scratch, asked = f"{tmp_path}/stored", f"{tmp_path}/scratch", []
+
+    def parse(df):
+        asked.append(sorted(r["path"] for r in df.collect()))
+        return df.select("path", F.explode(F.split("body", " ")).alias("word"))
+
+    def go(rows):
+        df = incremental.with_fingerprint(spark.createDataFrame(rows, "path string, body string"), ["body"], "v1")
+        return incremental.refresh_table(df, stored, parse, scratch, parts=4)
+
+    first = [(f"p{i}", f"a b{i}") for i in range(8)]
+    assert go(first) == {"hits": 0, "misses": 8, "invalid": 0, "removed": 0, "write_errors": 0}
+    assert go(first)["hits"] == 8 and len(asked) == 1
+    second = [("p0", "x y z"), *first[1:6], ("p9", "n"), (None, "lost")]
+    assert go(second) == {"hits": 5, "misses": 1, "invalid": 1, "removed": 2, "write_errors": 0} and asked[-1] == ["p0", "p9"]
+    want = sorted((p, w) for p, body in second if p for w in body.split(" "))
+    assert sorted(map(tuple, incremental.stored_rows(spark, stored).select("path", "word").collect())) == want
+    assert go([("p9", "n")])["removed"] == 6 and incremental.stored_rows(spark, stored).count() == 1
+
+
+def test_sinks(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([("b1", 1), ("b1", 2), ("b2", 3)], "batch_id string, n int")
+    with pytest.raises(ValueError):
+        session_logs.write_report(df, f"{tmp_path}/src/out", f"{tmp_path}/src")
+    session_logs.write_report(df, f"{tmp_path}/out", f"{tmp_path}/src")
+    session_logs.write_batches(df, f"{tmp_path}/batches")
+    assert spark.read.json(f"{tmp_path}/out").count() == 3 and sorted(p.name for p in (tmp_path / "batches").glob("batch*")) == ["batch_id=b1", "batch_id=b2"]
+
+
 def test_nested_results(spark):
     message = lambda **m: json.dumps({"message": m})
     rows = [
