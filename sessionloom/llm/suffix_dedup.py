@@ -6,7 +6,7 @@ occur once cannot matter and are left out. The others come with the bytes before
 need. Suffixes with equal bytes are found by 128-bit BLAKE2 digests, and the first of them stands for all. The
 distinct ones are range-partitioned by their leading bytes with sampled splitters, and each bucket sorts its
 suffixes by a multikey sort of 8-byte symbols. Splitters never part suffixes with equal leading bytes,
-so no match crosses a bucket's boundary. The longest common prefix with the sorted neighbours says which
+so no match crosses a bucket's boundary; those of a frequent anchor are dealt by the longer contexts that equal windows share. The longest common prefix with the sorted neighbours says which
 windows around an anchor can have a copy. Rolling hashes pair those windows up, and each pair is compared byte by byte.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -31,6 +32,8 @@ from sessionloom.llm.spans import bitmap_bits, keyed, may_repeat, merged, real_i
 LEAD = 24
 #: Leading bytes of suffixes that the splitters are taken from: about this many for each bucket.
 SAMPLED = 40
+#: Occurrences from which on the suffixes at an anchor are spread over all buckets by longer contexts.
+OFTEN = 1000
 #: Suffixes that are sorted at once, at least (more only if more have the same leading bytes).
 CHUNK = 4096
 
@@ -151,8 +154,8 @@ def _verified(raw: bytes, begin: np.ndarray, twin: np.ndarray, window: int) -> n
 
 
 #: A suffix with the windows it stands for: the digest of its bytes, its document, where its bytes begin, how many
-#: they are, how many of them lie before the anchor, and whether they stand elsewhere too as far as is known.
-FOUND = np.dtype([("h", "<u8"), ("g", "<u8"), ("nid", "<i8"), ("th", "<i8"), ("s", "<i8"), ("size", "<u4"), ("before", "<u4"), ("full", "?")])
+#: they are, how many of them lie before the anchor, whether they stand elsewhere too as far as is known, and whether the anchor is frequent.
+FOUND = np.dtype([("h", "<u8"), ("g", "<u8"), ("nid", "<i8"), ("th", "<i8"), ("s", "<i8"), ("size", "<u4"), ("before", "<u4"), ("full", "?"), ("often", "?")])
 
 
 def _settled(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,14 +187,14 @@ def _records(blob: bytes) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int, bits: int) -> DataFrame:
-    """(nid, th, s, e, before, full, send) of each suffix at a repeated anchor.
+    """(nid, th, s, e, before, full, often, send) of each suffix at a repeated anchor.
 
-    full: the same bytes stand elsewhere too. send: it is the first with its bytes, which are to be compared. A slice of
+    often: the anchor has OFTEN occurrences or more. full: the same bytes stand elsewhere too. send: it is the first with its bytes, which are to be compared. A slice of
     rows sends one of equal suffixes to the others' task; the rest are settled, so a task gets one a slice at most.
     """
 
     def find(batches):
-        slots = np.frombuffer(bitmap.value, np.uint32)
+        slots, many = (np.frombuffer(b, np.uint32) for b in bitmap.value)
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in tk.slices(batch, "text", 4 << 20):
@@ -209,6 +212,7 @@ def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int, bits:
                 rec["h"], rec["g"] = both[:, 0], both[:, 1]
                 rec["nid"], rec["th"] = part.column("nid").to_numpy()[row], part.column("th").to_numpy()[row]
                 rec["s"], rec["size"], rec["before"] = lo - off[row], hi - lo + window, at - lo
+                rec["often"] = may_repeat(many, grams[at], bits) if len(at) else False
                 rec, rest = _settled(rec)
                 target = (rec["h"] % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
@@ -225,13 +229,28 @@ def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int, bits:
         lead, rest = (rec[:0], rec) if key[1] else _settled(rec)
         rec, send = np.concatenate([lead, rest]), np.repeat([True, False], [len(lead), len(rest)])
         size = rec["size"].astype(np.int64)
-        return pd.DataFrame({"nid": rec["nid"], "th": rec["th"], "s": rec["s"], "e": rec["s"] + size, "before": rec["before"].astype(np.int32), "full": rec["full"], "send": send})
+        return pd.DataFrame({"nid": rec["nid"], "th": rec["th"], "s": rec["s"], "e": rec["s"] + size, "before": rec["before"].astype(np.int32), "full": rec["full"], "often": rec["often"], "send": send})
 
     sent = docs.mapInArrow(find, "part int, final boolean, blob binary").repartition(parts, "part").groupBy("part", "final")
-    return written(sent.applyInPandas(settle, "nid long, th long, s long, e long, before int, full boolean, send boolean"), "suffixes")
+    return written(sent.applyInPandas(settle, "nid long, th long, s long, e long, before int, full boolean, often boolean, send boolean"), "suffixes")
 
 
-def copied_spans(docs: DataFrame, window: int, gram: int, keep_first: bool = False) -> DataFrame:
+def _halves(body: bytes, before: int, window: int, gram: int) -> list[tuple[bytes, int, int, bytes]]:
+    """A suffix at a frequent anchor as up to two: (bytes, first of them, bytes before the anchor, what equal windows share).
+
+    The windows that begin within half of the reach before the anchor share so many bytes from the anchor on; the others
+    share more than that before it. Where only a passage around the anchor is common, these contexts differ.
+    """
+    half = (window - gram) // 2
+    out, begin = [], max(0, before - half)
+    if len(body) - begin >= window:
+        out.append((body[begin:], begin, before - begin, body[before : before + window - half]))
+    if before > half:
+        out.append((body[: before - half - 1 + window], 0, before, body[before - half - 1 : before + gram]))
+    return out
+
+
+def copied_spans(docs: DataFrame, window: int, gram: int, keep_first: bool = False, often: int = OFTEN) -> DataFrame:
     """(nid, th, s, e): byte spans of docs(nid, th, text) covered by windows that occur at least twice.
 
     keep_first: only by those that occur earlier too (by nid, th and place).
@@ -243,11 +262,11 @@ def copied_spans(docs: DataFrame, window: int, gram: int, keep_first: bool = Fal
         return grams[at]
 
     bits, head = bitmap_bits(docs), min(LEAD, gram)  # windows that are equal share the gram
-    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, anchors, bits))
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, anchors, bits, often))
     parts = parts_for(docs)
     splitters = _splitters(docs, parts, window, gram)
     told = _suffixes(docs, bitmap, parts, window, gram, bits)
-    wanted = told.filter("send").groupBy("nid", "th").agg(F.collect_list(F.struct("s", "e", "before", "full")).alias("wanted"))
+    wanted = told.filter("send").groupBy("nid", "th").agg(F.collect_list(F.struct("s", "e", "before", "full", "often")).alias("wanted"))
 
     def cut(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -257,9 +276,12 @@ def copied_spans(docs: DataFrame, window: int, gram: int, keep_first: bool = Fal
                 for nid, th, text, found in zip(*(part.column(name).to_pylist() for name in ("nid", "th", "text", "wanted"))):
                     raw = text.encode()
                     for x in found:
-                        a = x["s"] + x["before"]
-                        row = (raw[x["s"] : x["e"]], x["before"], x["full"], nid, th, x["s"])
-                        out.setdefault(bisect_right(splitters, raw[a : a + head]), []).append(row)
+                        body, before = raw[x["s"] : x["e"]], x["before"]
+                        if x["often"]:
+                            for some, begin, ahead, shared in _halves(body, before, window, gram):
+                                out.setdefault(zlib.crc32(shared) % parts, []).append((some, ahead, x["full"], nid, th, x["s"] + begin))
+                        else:
+                            out.setdefault(bisect_right(splitters, body[before : before + head]), []).append((body, before, x["full"], nid, th, x["s"]))
                 blobs = [press.compress(_pack(rows)) for rows in out.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
@@ -331,7 +353,7 @@ def _unpack(data: bytes):
 
 
 def suffix_dedup(
-    docs: DataFrame, window: int = 400, gram: int = 100, with_text: bool = False, keep: tuple[str, ...] = (), keep_first: bool = False
+    docs: DataFrame, window: int = 400, gram: int = 100, with_text: bool = False, keep: tuple[str, ...] = (), keep_first: bool = False, often: int = OFTEN
 ) -> DataFrame:
     """Removes each byte that is covered by a `window`-byte string which also starts anywhere else.
 
@@ -344,7 +366,7 @@ def suffix_dedup(
     repeated rows are copies of each other, and all go; if the first copy is kept, they are one document. Other columns are ignored; an empty table gives
     no rows.
     """
-    spans = copied_spans(keyed(docs), window, gram, keep_first)
+    spans = copied_spans(keyed(docs), window, gram, keep_first, often)
 
     def cut(batches):
         for batch in batches:
