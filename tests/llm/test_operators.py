@@ -56,17 +56,29 @@ def test_jaccard(spark):
     assert rows(jaccard_components(frame(spark, docs)), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(docs)
 
 
+def test_jaccard_with_lists_in_blocks(spark, monkeypatch):
+    from sessionloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    docs = corpus(seed=9, n=80)
+    assert rows(jaccard_components(frame(spark, docs)), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(docs)
+
+
 def test_suffix_dedup(spark):
     docs = corpus() + twisted(100)
     got = suffix_dedup.suffix_dedup(frame(spark, docs), window=60, gram=20)
     assert rows(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.bytes_dedup(docs, 60)
+    got = suffix_dedup.suffix_dedup(frame(spark, docs), window=60, gram=20, often=2)
+    assert rows(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.bytes_dedup(docs, 60)
     got = suffix_dedup.suffix_dedup(frame(spark, docs), window=400, gram=100)
     assert rows(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.bytes_dedup(docs, 400)
 
 
-def test_suffix_dedup_that_keeps_the_first_copy(spark):
+@pytest.mark.parametrize("often", [1000, 3])
+def test_suffix_dedup_that_keeps_the_first_copy(spark, often):
     docs = corpus() + twisted(100)
-    got = suffix_dedup.suffix_dedup(frame(spark, docs + docs[:3]), window=60, gram=20, keep_first=True)
+    got = suffix_dedup.suffix_dedup(frame(spark, docs + docs[:3]), window=60, gram=20, keep_first=True, often=often)
     want = brute.bytes_dedup(docs, 60, keep_first=True)
     assert rows(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == sorted(want + [x for x in want if x[0] in (0, 1, 2)], key=str)
 
