@@ -109,10 +109,27 @@ def platform(cwd: Column) -> Column:
 
 
 def role(origin: Column) -> Column:
-    """(role, basis) of a session: one that an agent started, or a root."""
+    """(role, basis) of a session of today's logs: one that an agent started, or a root."""
     return F.struct(F.when(origin == "subagent", "task_subagent").otherwise("root_task").alias("role"), F.lit("structured").alias("basis"))
 
 
+def rollout_role(thread: Column, source: Column, parent: Column) -> Column:
+    """(role, basis) by a log's thread source, its source (JSON or a text) and its parent's id.
+
+    structured: the fields say so; heuristic: a name in the source, or which fields are there, suggests it.
+    """
+    kind, has_parent = F.lower(F.coalesce(thread, F.lit(""))), F.coalesce(parent, F.lit("")) != ""
+    spawned = F.coalesce(F.get_json_object(source, "$.subagent.thread_spawn").startswith("{"), F.lit(False))
+    guards = F.lower(F.coalesce(F.get_json_object(source, "$.subagent.other"), F.lit(""))) == "guardian"
+    told = lambda role, basis: F.struct(F.lit(role).alias("role"), basis.alias("basis"))
+    sure, guess, agent = F.lit("structured"), F.lit("heuristic"), kind == "subagent"
+    return (
+        F.when(kind.isin("user", "realtime_voice"), told("root_task", sure)).when(agent & spawned, told("task_subagent", sure)).when(agent & guards, told("action_reviewer", sure))
+        .when(agent & F.lower(F.coalesce(source, F.lit(""))).contains("guardian"), told("action_reviewer", guess)).when(agent & has_parent, told("task_subagent", guess))
+        .when((kind == "") & ~has_parent, told("root_task", guess)).otherwise(told("unknown_system_rollout", F.when(kind != "", sure).otherwise(guess)))
+    )
+
+
 def is_meta(command_seen: Column, mentions: Column, first_prompt: Column, skill: str, marks: tuple[str, ...]) -> Column:
     """Whether a session is about this kind of report itself: by its command, its skill, or a first prompt that names them."""
     low = F.lower(F.coalesce(first_prompt, F.lit("")))

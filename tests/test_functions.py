@@ -83,3 +83,15 @@ def test_sweep_equals_all_pairs(spark):
     assert row["overlap_pairs"] == pairs and row["max_concurrency"] == 3
     empty = intervals.concurrency(df.limit(0), "id", "s", "e").first()
     assert empty["overlap_pairs"] == 0
+
+
+def test_roles(spark):
+    cases = [
+        ("user", None, None, "root_task", "structured"), ("Realtime_Voice", None, "p", "root_task", "structured"),
+        ("subagent", '{"subagent": {"thread_spawn": {"depth": 1}}}', "p", "task_subagent", "structured"), ("subagent", '{"subagent": {"other": "Guardian"}}', "p", "action_reviewer", "structured"),
+        ("subagent", "the guardian", "p", "action_reviewer", "heuristic"), ("subagent", '{"x": 1}', "p", "task_subagent", "heuristic"), ("subagent", None, None, "unknown_system_rollout", "structured"),
+        (None, None, "", "root_task", "heuristic"), (None, None, "p", "unknown_system_rollout", "heuristic"), ("cron", None, None, "unknown_system_rollout", "structured"),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, thread string, source string, parent string")
+    got = df.select("i", classify.rollout_role(F.col("thread"), F.col("source"), F.col("parent")).alias("r")).orderBy("i").collect()
+    assert [(r.r.role, r.r.basis) for r in got] == [c[3:] for c in cases]
