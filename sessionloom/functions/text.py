@@ -120,7 +120,12 @@ def project_label(path: Column) -> Column:
 
 def leak_errors(c: Column, privacy: str = "redacted") -> Column:
     """Names of the secret patterns that a text still shows; with redaction, absolute paths too."""
-    rules = [("bearer", BEARER), ("named_secret", NAMED_SECRET), ("known_secret", KNOWN_SECRET), ("long_token", LONG_TOKEN)]
+    low = lambda *marks: reduce(lambda a, b: a | b, [F.lower(c).contains(m) for m in marks])
+    # what every match has is looked for first, which is cheap
+    rules = [
+        ("bearer", low("bearer"), BEARER), ("named_secret", low("key", "token", "secret", "password"), NAMED_SECRET),
+        ("known_secret", c.contains("sk-") | c.contains("gh") | c.contains("AKIA"), KNOWN_SECRET), ("long_token", c.rlike(r"[A-Za-z0-9+/=]{32}"), LONG_TOKEN),
+    ]
     if privacy == "redacted":
-        rules += [("absolute_path", PATH_POSIX), ("absolute_path", PATH_DRIVE)]
-    return F.array_distinct(F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(name)) for name, p in rules])))
+        rules += [("absolute_path", c.contains("/"), PATH_POSIX), ("absolute_path", c.contains(":\\"), PATH_DRIVE)]
+    return F.array_distinct(F.array_compact(F.array(*[F.when(mark & c.rlike(p), F.lit(name)) for name, mark, p in rules])))
