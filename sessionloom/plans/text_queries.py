@@ -109,29 +109,40 @@ def text_signals(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("timeouts"))
 
 
+#: What documents are made to end with, by their id: words of failures and of commands, so that the rules meet some.
+ENDS = (" operation timed out", " No module named x", " HTTP 403", " permission denied", "", " python run/smoke_test.py", " git commit -m x", " rg foo", " pip install x", " plain")
+DOCS = f"(SELECT doc_id, source, text || {[e for e in ENDS]}[doc_id % {len(ENDS)} + 1] AS text FROM documents)"
+
+
+def _ended(spark, d):
+    ends = F.array(*[F.lit(e) for e in ENDS])
+    return table(spark, d, "documents").withColumn("text", F.concat("text", F.get(ends, (F.col("doc_id") % len(ENDS)).cast("int"))))
+
+
 def _cause_sql() -> str:
     cases = " ".join(f"WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p in classify.CAUSES)
-    return f"SELECT CASE {cases} ELSE 'other' END AS cause, count(*) AS n FROM documents GROUP BY 1"
+    return f"SELECT CASE {cases} ELSE 'other' END AS cause, count(*) AS n FROM {DOCS} GROUP BY 1"
 
 
 @query(_cause_sql())
 def failure_cause(spark, d):
-    return table(spark, d, "documents").groupBy(classify.failure_cause(F.col("text")).alias("cause")).agg(F.count("*").alias("n"))
+    return _ended(spark, d).groupBy(classify.failure_cause(F.col("text")).alias("cause")).agg(F.count("*").alias("n"))
 
 
 def _flag_sql() -> str:
-    return f"SELECT source, {', '.join(f'count(*) FILTER (regexp_matches(text, {chr(39)}{p}{chr(39)})) AS {k}' for k, p in classify.COMMANDS.items())} FROM documents GROUP BY 1"
+    return f"SELECT source, {', '.join(f'count(*) FILTER (regexp_matches(text, {chr(39)}{p}{chr(39)})) AS {k}' for k, p in classify.COMMANDS.items())} FROM {DOCS} GROUP BY 1"
 
 
 @query(_flag_sql())
 def command_flags(spark, d):
     flags = [F.count_if(classify.command_flag(F.col("text"), k)).alias(k) for k in classify.COMMANDS]
-    return table(spark, d, "documents").groupBy("source").agg(*flags)
+    return _ended(spark, d).groupBy("source").agg(*flags)
 
 
 @query()
 def mention_counts(spark, d):
-    m = table(spark, d, "documents").select(F.explode(classify.mentions(F.col("text"))).alias("mention"))
+    said = F.concat(F.col("text"), F.lit(" $"), F.lower("source"), F.lit("-skill, not x$a-b"))
+    m = table(spark, d, "documents").select(F.explode(classify.mentions(said)).alias("mention"))
     return m.groupBy("mention").agg(F.count("*").alias("n"))
 
 
