@@ -97,11 +97,6 @@ CASES = {
 }
 
 
-@pytest.fixture(scope="module")
-def sessions(spark):
-    return {case(r["path"]): r for r in fold.fold_sessions(bronze(spark, CASES)).collect()}
-
-
 @pytest.fixture(scope="module")
 def nine(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("logs")
@@ -116,10 +111,22 @@ def nine(spark, tmp_path_factory):
     return files, snapshots
 
 
-def test_files_and_snapshots_give_the_same_session(nine):
-    rows = [fold.fold_sessions(records).collect() for records, _ in nine]
-    assert [len(r) for r in rows] == [1, 1]
-    for (r,) in rows:
+@pytest.fixture(scope="module")
+def stored(spark, nine, tmp_path_factory):
+    """All cases, and the nine records from a file and from a snapshot, folded together and stored."""
+    out = str(tmp_path_factory.mktemp("stored"))
+    both = nine[0][0].withColumn("path", F.regexp_replace("path", "/s1/", "/from_file/")).unionByName(nine[1][0].withColumn("path", F.lit("/x/sessions/--k--/from_snapshot/f")))
+    fold.fold_sessions(bronze(spark, CASES | {"nine": NINE}).unionByName(both)).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
+@pytest.fixture(scope="module")
+def sessions(stored):
+    return {case(r["path"]): r for r in stored.collect()}
+
+
+def test_files_and_snapshots_give_the_same_session(nine, sessions):
+    for r in (sessions["from_file"], sessions["from_snapshot"], sessions["nine"]):
         assert (r.uncached_input_tokens, r.cached_input_tokens, r.input_tokens, r.output_tokens, r.total_tokens) == (120, 300, 420, 40, 460)
         assert (r.turns, r.user_messages, r.assistant_messages, r.tool_calls, r.tool_failures, r.active_ms, r.status) == (1, 2, 1, 1, 0, 3000, "completed")
         assert (r.provider, r.model, r.provider_title, r.role, r.platform, r.project) == ("p", "m", "A task", "root_task", "posix_other", "project-a")
@@ -216,15 +223,13 @@ def test_workspace_keys(spark):
     assert [tuple(r) for r in got] == [(True, False), (False, False), (True, False), (False, True), (False, False), (True, False)]
 
 
-def test_report(spark, tmp_path):
+def test_report(spark, stored, tmp_path):
     """The report's tables over stored sessions, against plain Python on the same rows."""
     from datetime import datetime, timezone
 
     from sessionloom.sessions import report
 
-    records = bronze(spark, CASES | {"nine": NINE})
-    fold.fold_sessions(records).write.parquet(f"{tmp_path}/sessions")
-    s = spark.read.parquet(f"{tmp_path}/sessions").withColumn("session_id", F.element_at(F.split("path", "/"), -2))
+    s = stored.filter("path NOT LIKE '%from_%'").withColumn("session_id", F.element_at(F.split("path", "/"), -2))
     rows = {r.session_id: r for r in s.collect()}
     lo, hi = report.time_range(datetime.fromtimestamp(T / 1000 + 86_400, timezone.utc), days=1)
     inside = report.scoped(s, lo, hi)
