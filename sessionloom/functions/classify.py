@@ -133,7 +133,7 @@ def rollout_role(thread: Column, source: Column, parent: Column) -> Column:
 def is_meta(command_seen: Column, mentions: Column, first_prompt: Column, skill: str, marks: tuple[str, ...]) -> Column:
     """Whether a session is about this kind of report itself: by its command, its skill, or a first prompt that names them."""
     low = F.lower(F.coalesce(first_prompt, F.lit("")))
-    named = reduce(lambda a, b: a | b, [low.contains(m) for m in (*marks, f"${skill}")])
+    named = reduce(lambda a, b: a | b, [low.contains(m) for m in (*marks, *([f"${skill}"] if skill else []))], F.lit(False))
     return F.coalesce(command_seen, F.lit(False)) | F.coalesce(F.array_contains(mentions, skill), F.lit(False)) | (low.contains("insights") & named)
 
 

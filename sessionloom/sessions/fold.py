@@ -278,10 +278,10 @@ def _tally(values: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(values)), lambda k: F.struct(k.alias("key"), F.size(F.filter(values, lambda x: x == k)).cast("long").alias("n"))))
 
 
-def fold_sessions(records: DataFrame, skill: str = "session-insights", command: str = "session-insights", marks: tuple[str, ...] = ()) -> DataFrame:
+def fold_sessions(records: DataFrame, skill: str = "", command: str = "", marks: tuple[str, ...] = ()) -> DataFrame:
     """One row per session, of records(path, seq, type, time, data).
 
-    skill, command and marks: what tells that a session is about a report of this kind itself. Records without a time
+    skill, command and marks: names by which a session is known to be about a report of this kind itself (without any, none is). Records without a time
     count, but move no span. Sessions without records of a kind have zeros and empty maps.
     """
     steps, said = tool_steps(records), messages(records)
@@ -312,7 +312,7 @@ def fold_sessions(records: DataFrame, skill: str = "session-insights", command:
     other = records.filter("type IN ('llm/retry', 'command/run', 'session/title')").withColumns({"t": _said("title"), "provided": F.coalesce(_field("source.kind") == "provider", F.lit(False))})
     title = F.col("t").isNotNull() & (F.col("type") == "session/title")
     other = other.groupBy("path").agg(
-        F.count_if(F.col("type") == "llm/retry").alias("llm_retries"), F.bool_or((F.col("type") == "command/run") & (F.lower(_field("name")) == command)).alias("command_seen"),
+        F.count_if(F.col("type") == "llm/retry").alias("llm_retries"), F.bool_or((F.col("type") == "command/run") & (F.lower(_field("name")) == (command or None))).alias("command_seen"),
         F.max_by("t", F.when(title & F.col("provided"), F.col("seq"))).alias("provider_title"), F.min_by("t", F.when(title & ~F.col("provided"), F.col("seq"))).alias("fallback_title"),
     )
     models = model_use(records).groupBy("path").agg(

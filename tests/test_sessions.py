@@ -92,7 +92,7 @@ CASES = {
         says("Accepted.", 10_000), says("<system-reminder>x", 11_000), answer({}, 10_500),
     ],
     "early": [rec("step/start", -500), head(createdAt=None, cwd=None, origin="subagent", parentSession="s0")],
-    "command": [rec("command/run", name="Session-Insights")], "skill": [says("show $session-insights now")], "plain": [says("insights, please")],
+    "command": [rec("command/run", name="Report-Insights")], "skill": [says("show $report-insights now")], "plain": [says("insights, please")],
     "nothing": [head()],
 }
 
@@ -116,7 +116,7 @@ def stored(spark, nine, tmp_path_factory):
     """All cases, and the nine records from a file and from a snapshot, folded together and stored."""
     out = str(tmp_path_factory.mktemp("stored"))
     both = nine[0][0].withColumn("path", F.regexp_replace("path", "/s1/", "/from_file/")).unionByName(nine[1][0].withColumn("path", F.lit("/x/sessions/--k--/from_snapshot/f")))
-    fold.fold_sessions(bronze(spark, CASES | {"nine": NINE}).unionByName(both)).write.mode("overwrite").parquet(out)
+    fold.fold_sessions(bronze(spark, CASES | {"nine": NINE}).unionByName(both), skill="report-insights", command="report-insights").write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
