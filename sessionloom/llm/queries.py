@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.ann import nearest
 from sessionloom.llm.common import scratch_path, table
+from sessionloom.llm.divergence import source_divergence
 from sessionloom.llm.jaccard_join import jaccard_components
 from sessionloom.llm.line_dedup import line_dedup
 from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.pieces import piece_digests
+from sessionloom.llm.prefix_trie import prefix_trie
 from sessionloom.llm.quality_classifier import score_quality
 from sessionloom.llm.quality_rules import quality_rules
 from sessionloom.llm.records import build_index, write_records
+from sessionloom.llm.secret_scan import scan_digest, secret_scan
 from sessionloom.llm.substring_dedup import substring_dedup
 from sessionloom.llm.suffix_dedup import suffix_dedup
 
@@ -71,6 +74,18 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -82,4 +97,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_records": op10_token_records,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_secret_scan": op13_secret_scan,
 }
