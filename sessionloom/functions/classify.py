@@ -149,6 +149,6 @@ def complexity(turns: Column, calls: Column, patches: Column, agents: Column, mi
 
 
 def exit_code(text: Column) -> Column:
-    """The first non-zero exit code of a text's runtime lines, else the last."""
-    codes = F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^(?:Process exited with code|Exit code:|exit_code\s*[:=])\s*(-?\d+)\s*$"), F.lit(1)), lambda x: x.cast("int"))
+    """The first non-zero exit code of a text's runtime lines, else the last; one beyond 32 bits is the last that fits."""
+    codes = F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^(?:Process exited with code|Exit code:|exit_code\s*[:=])\s*(-?\d+)\s*$"), F.lit(1)), lambda x: F.coalesce(x.try_cast("int"), F.lit((1 << 31) - 1)))
     return F.coalesce(F.get(F.filter(codes, lambda x: x != 0), F.lit(0)), F.try_element_at(codes, F.lit(-1)))

@@ -27,6 +27,12 @@ LONG_TOKEN = r"\b(?=[A-Za-z0-9+/=]{32,}\b)(?=[A-Za-z0-9+/=]*[A-Za-z])(?=[A-Za-z0
 OPEN_BLOCK = r"(?is)<(?:skill_content|system-reminder|available_skills)\b[^>]*>.*"
 URL_QUERY = r"(?i)(https?://[^\s<>\[\]()?#]*)[?#](?=[^\s<>\[\]()]*[^\s<>\[\]().,;:!?#])[^\s<>\[\]()]*?([.,;:!?]*)(?=[\s<>\[\]()]|$)"
 
+#: Escapes of a high surrogate without its low one, and of a low one without its high one, after an even number of backslashes.
+HALF_PAIRS = (
+    r"(?i)(?<!\\)((?:\\\\)*)\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})",
+    r"(?i)(?<!\\)(?<!\\ud[89ab][0-9a-f]{2})((?:\\\\)*)\\ud[c-f][0-9a-f]{2}",
+)
+
 #: Nested injected blocks are peeled off in this many passes.
 BLOCK_PASSES = 8
 
@@ -41,6 +47,17 @@ def _where(c: Column, marks: tuple[str, ...], use) -> Column:
     return let(c, lambda x: F.when(reduce(lambda a, b: a | b, [x.contains(m) for m in marks]), use(x)).otherwise(x))
 
 
+def sound_json(c: Column) -> Column:
+    """JSON without escapes of half surrogate pairs, which parsers of JSON take and no text can hold: a replacement mark stands for each."""
+
+    def mend(x: Column) -> Column:
+        for pattern in HALF_PAIRS:
+            x = F.regexp_replace(x, pattern, r"$1\\ufffd")
+        return x
+
+    return let(c, lambda x: F.when(x.rlike(r"(?i)\\ud[89a-f]"), mend(x)).otherwise(x))
+
+
 def strip_blocks(c: Column, environment: str = " [context omitted] ") -> Column:
     """Puts a mark in place of injected context blocks, nested ones pass by pass; an open block goes to the end of the text."""
 

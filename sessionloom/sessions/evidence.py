@@ -23,6 +23,11 @@ ENUMS = {
     "outcome_inference": ("fully_achieved", "mostly_achieved", "partially_achieved", "not_achieved", "unclear"),
 }
 FIELDS = ("task_family_id", *TEXTS, *ENUMS, *LISTS)
+#: What a label depends on beside the evidence: the family's measures, with its three kinds of retry and of completion.
+MEASURES = (
+    "date", "project", "work_area", "title", "user_messages", "correction_messages", "complexity_score", "tool_calls", "structured_failures", "text_error_signals", "diagnostic_nonzero",
+    "unchanged_retries", "state_change_retries", "polling_retries", "log_completed", "verified_completed", "accepted", "role_counts",
+)
 FORBIDDEN = ("accepted", "verified_completed")
 CONFIDENCE, MEASUREMENT = ("high", "medium", "low"), ("measured", "proxy", "inferred")
 SECTIONS = ("glance", "workflows", "operating_style", "strengths", "frictions", "recommendations", "horizon")
@@ -81,8 +86,8 @@ def budgeted(rows: DataFrame, group: list[str], order: list[str], budget: int =
 def candidates(families: DataFrame, evidence: DataFrame, settings: str) -> DataFrame:
     """families with their evidence (array of id, role, text, truncated), evidence_truncated and fingerprint.
 
-    evidence: rows of `budgeted` by family_id. The fingerprint covers the settings (privacy, depth, locale), the family's
-    measures and the evidence, so that any change of them asks for a new label.
+    evidence: rows of `budgeted` by family_id. The fingerprint covers the settings (privacy, depth, locale), MEASURES of the
+    family and the evidence, so that any change of them asks for a new label; tokens and times do not.
     """
     key = F.concat(F.lit("evidence-"), F.substring(F.sha2(F.concat_ws("\0", F.col("family_id").cast("string"), "role", "text"), 256), 1, 18))
     packs = evidence.withColumn("id", key).groupBy("family_id").agg(
@@ -90,7 +95,7 @@ def candidates(families: DataFrame, evidence: DataFrame, settings: str) -> DataF
         (F.bool_or("truncated") | (F.max("place") > F.count("*"))).alias("evidence_truncated"),
     )
     out = families.join(packs, "family_id", "left")
-    measures = F.to_json(F.struct(*[F.col(c) for c in sorted(families.columns)]))
+    measures = F.to_json(F.struct(*[F.col(c) for c in sorted(MEASURES) if c in families.columns]))
     told = F.to_json(F.transform(F.coalesce("evidence", F.array().cast(dict(out.dtypes)["evidence"])), lambda x: F.struct(x["role"], x["text"])))
     return out.withColumn("fingerprint", F.sha2(F.concat_ws("\0", F.lit(settings), measures, told), 256))
 
@@ -140,6 +145,7 @@ def facet_errors(facet: Column, family: Column, evidence: Column, privacy: str =
     Names: not_an_object, unknown_family (no evidence known), missing:<field>, wrong_family, bad_enum:<field>, empty:<field>,
     not_texts:<field>, no_evidence, unknown_evidence, forbidden:<field>, and those of the leak scan.
     """
+    facet = text.sound_json(facet)
     v = F.try_parse_json(facet)
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     keys = F.json_object_keys(facet)
@@ -209,15 +215,20 @@ def aggregate_errors(items: DataFrame, families: DataFrame, evidence: DataFrame)
 
 def section_errors(aggregate: Column) -> Column:
     """The sections that an aggregate (JSON) lacks."""
-    v = F.try_parse_json(aggregate)
+    v = F.try_parse_json(text.sound_json(aggregate))
     there = lambda s: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{s}", "variant")).startswith("ARRAY"), F.lit(False))
     return F.array_compact(F.array(*[F.when(~there(s), F.lit(s)) for s in SECTIONS]))
 
 
-def semantic_recommendations(items: DataFrame) -> DataFrame:
-    """Recommendations of an aggregate with a stable id of their key, support and priority (medium for one family's)."""
+def semantic_recommendations(items: DataFrame, runtime: str) -> DataFrame:
+    """Recommendations of an aggregate with a stable id of their key, support and priority (medium for a single observation)."""
     rows = items.filter("section = 'recommendations'").withColumn("support", F.size(F.array_distinct("families")))
-    return rows.select(text.stable_id(F.col("key"), "rec").alias("id"), "position", "title", "text", "action", "copy_prompt", "support", F.when(F.col("support") < 2, "medium").otherwise("high").alias("priority"))
+    digest = F.substring(F.sha2(F.concat(F.lit(runtime), F.lit("\0"), "key"), 256), 1, 12)
+    single = F.coalesce("singleton", F.lit(False))
+    return rows.select(
+        F.concat(F.lit("semantic-"), digest).alias("id"), "position", "key", "title", "text", "action", "copy_prompt", "support", "confidence", "measurement", "families", "refs",
+        single.alias("singleton"), F.when(single, "medium").otherwise("high").alias("priority"),
+    )
 
 
 def semantic_status(privacy: str, analysis_privacy: str, errors: int | None) -> str:

@@ -6,6 +6,8 @@ session and by fingerprint only sort anew.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from sessionloom.sources.session_logs import call_id, json_number
 
 TOKENS = {"inputTokens": "uncached_input_tokens", "outputTokens": "output_tokens", "reasoningTokens": "reasoning_output_tokens", "cacheReadTokens": "cached_input_tokens", "cacheWriteTokens": "cache_write_tokens"}
 TOPIC_EACH, TOPIC_ALL = 5_000, 50_000
+#: Fixed value: characters of a folder's key between its dashes.
+KEY_CHARS = 251
 
 
 def _field(path: str, column: str = "data") -> Column:
@@ -68,16 +72,11 @@ def headers(records: DataFrame) -> DataFrame:
 
 
 def workspace_key(cwd: str) -> str:
-    """The folder name that stands for a working folder: separators as dashes, other characters by their code."""
+    """The folder name that stands for a working folder: a dash for each run of separators, a code for what a plain file name lacks."""
     if not cwd:
         return "_no-cwd"
-    out, run = "", False
-    for c in cwd:
-        if c in "/\\:":
-            out, run = out if run else out + "-", True
-        else:
-            out, run = out + (c if c.isascii() and (c.isalnum() or c in "._-") else f"~{ord(c):04X}"), False
-    return f"--{(out.lstrip('-') or 'root')[:251]}--"
+    coded = re.sub(r"[^A-Za-z0-9._-]", lambda m: f"~{ord(m[0]):04X}", re.sub(r"[/\\:]+", "-", cwd))
+    return f"--{(coded.lstrip('-') or 'root')[:KEY_CHARS]}--"
 
 
 def workspace_path(key: Column) -> Column:
@@ -107,7 +106,7 @@ def tool_steps(records: DataFrame) -> DataFrame:
     exit_code, structured failure, text signal, diagnostic, cause, confidence, seconds, notable lines, permission block.
     """
     raw = F.coalesce(_said("name"), F.lit("unknown"))
-    args = F.coalesce(_field("arguments"), _field("input"), F.lit(""))
+    args = text.sound_json(F.coalesce(_field("arguments"), _field("input"), F.lit("")))
     name = classify.family_tool(raw)
     said = tools.arguments_text(args)
     low = F.lower(name)

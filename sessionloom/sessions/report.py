@@ -27,6 +27,8 @@ SIGNALS = (
     ("failed_patches", "failed_patches"), ("llm_retries", "llm_retries"), ("denied_approvals", "denied_approvals"),
 )
 LONG_MS, HOUR_MS = 30 * 60_000, 3_600_000
+#: Ids that a family lists; the sessions themselves have their family's id.
+MEMBERS = 10_000
 
 
 def moment(value: str, end_of_day: bool = False) -> datetime:
@@ -188,7 +190,10 @@ def friction(sessions: DataFrame) -> DataFrame:
 
 
 def families(rows: DataFrame) -> DataFrame:
-    """One row per task family, of titled sessions: members, root, sums, causes, retries, completion, timing; latest first."""
+    """One row per task family, of titled sessions: members, root, sums, causes, retries, completion, timing; latest first.
+
+    rollouts counts all members; rollout_ids has the first MEMBERS of them, by creation.
+    """
     order = F.struct("created_ms", "session_id")
     root = F.col("role") == "root_task"
     sums = ("user_messages", "correction_messages", "tool_calls", "text_error_signals", "diagnostic_nonzero", "unchanged_retries", "state_change_retries", "polling_retries")
@@ -220,11 +225,17 @@ def families(rows: DataFrame) -> DataFrame:
     ).drop("r", "l", "has_root")
     causes = rows.select("family_id", F.explode("failure_causes").alias("k", "v")).groupBy("family_id", "k").agg(F.sum("v").alias("v"))
     causes = causes.groupBy("family_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("failure_causes"))
-    by_role = rows.groupBy("family_id", "role").agg(F.count("*").alias("n"), F.sum("total_tokens").alias("t"))
-    listed = F.sort_array(F.collect_list(F.struct("role", "n", "t")))
-    pick = lambda c: F.map_from_entries(F.transform(listed, lambda x: F.struct(x["role"], x[c])))
-    by_role = by_role.groupBy("family_id").agg(pick("n").alias("role_counts"), pick("t").alias("role_token_totals"))
-    return per.join(causes, "family_id", "left").join(by_role, "family_id").orderBy(F.desc("date"), F.desc("family_id"))
+    spent = F.create_map(*[x for k, v in sorted(tokens().items()) for x in (F.lit(k), v)])
+    by_role = rows.groupBy("family_id", "role").agg(F.count("*").alias("n"), spent.alias("t"))
+    listed = F.sort_array(F.collect_list(F.struct("role", "n")))
+    spending = F.array_sort(F.collect_list(F.struct("role", F.map_entries("t").alias("t"))))
+    by_role = by_role.groupBy("family_id").agg(
+        F.map_from_entries(listed).alias("role_counts"), F.map_from_entries(F.transform(spending, lambda x: F.struct(x["role"], F.map_from_entries(x["t"])))).alias("role_token_totals")
+    )
+    members = rows.withColumn("__n", F.row_number().over(Window.partitionBy("family_id").orderBy("created_ms", "session_id"))).filter(F.col("__n") <= MEMBERS)
+    members = members.groupBy("family_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "session_id"))), lambda x: x["session_id"]).alias("rollout_ids"))
+    out = per.join(causes, "family_id", "left").join(by_role, "family_id").join(members, "family_id")
+    return out.withColumn("failure_causes", F.coalesce("failure_causes", F.create_map().cast("map<string,bigint>"))).orderBy(F.desc("date"), F.desc("family_id"))
 
 
 def eligible(families_: DataFrame) -> DataFrame:
@@ -246,6 +257,20 @@ def providers(sessions: DataFrame) -> DataFrame:
     return used.groupingSets([["provider"], ["provider", "model"]], "provider", "model").agg(F.countDistinct("session_id").alias("sessions")).orderBy("provider", F.col("model").asc_nulls_first())
 
 
+def halves(sessions: DataFrame, since: datetime, until: datetime) -> DataFrame:
+    """Two rows: measures of the sessions of the first and of the second half of a range (half 1 and 2), a session in the middle counting to the second.
+
+    A half without sessions has zeros. change: the second half's number less the first's, on the second row.
+    """
+    middle = (since.timestamp() + until.timestamp()) * 500
+    sums = ("turns", "user_messages", "correction_messages", "tool_calls", "tool_failures", "unchanged_retries", "aborted_turns", "total_tokens", "active_ms")
+    per = sessions.groupBy(F.when(F.col("created_ms") < middle, 1).otherwise(2).alias("half")).agg(F.count("*").alias("sessions"), *[F.sum(c).alias(c) for c in sums])
+    both = sessions.sparkSession.range(1, 3).select(F.col("id").cast("int").alias("half")).join(per, "half", "left").fillna(0)
+    names = ("sessions", *sums)
+    changes = both.agg(*[F.sum(F.when(F.col("half") == 2, F.col(c)).otherwise(-F.col(c))).alias(c) for c in names]).select(F.lit(2).alias("half"), F.struct(*sorted(names)).alias("change"))
+    return both.join(changes, "half", "left").orderBy("half")
+
+
 def coverage(scoped_: DataFrame, bad: DataFrame, families_: DataFrame) -> DataFrame:
     """One row: what was read, left out and damaged, and how sure the roles are."""
     s = scoped_.agg(

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.text import sound_json
+
 #: The record types of session logs.
 KNOWN_TYPES = (
     "session", "permission/preset", "sandbox/mode", "approval/policy", "session/end-seed", "agent/inbox/spliced", "turn/start", "turn/end",
@@ -78,18 +80,21 @@ def json_number(value: Column, path: str) -> Column:
     return F.when(~json_kind(part).isin("STRING", "BOOLEAN", "OBJECT", "ARRAY", "VOID"), F.try_variant_get(value, path, "double"))
 
 
-def normalise_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, bad): records path, seq, type, time (epoch milliseconds), data (JSON); bad rows have a `reason`.
+def classified(raw: DataFrame) -> DataFrame:
+    """The lines of raw with type, time (epoch milliseconds), data (JSON), header (place of their session's) and reason, null for records.
 
     Blank lines are skipped. Reasons: unreadable (file), malformed (no JSON object, or a record after the header whose
     data is none), unknown (type, '<missing>' for a blank one), no_header (the file has no session record), early (a
     record too far before the header) and later_header. Times that are no numbers are null.
     """
-    lines = raw.filter("NOT readable OR trim(value) <> ''").withColumn("v", F.try_parse_json("value"))
-    kind = F.coalesce(F.nullif(F.try_variant_get("v", "$.type", "string"), F.lit("")), F.lit("<missing>"))
-    is_object = F.coalesce(json_kind(F.col("v")) == "OBJECT", F.lit(False))
-    rows = lines.withColumns({"ok": is_object, "type": kind, "time": json_number(F.col("v"), "$.time")})
-    has_data = F.coalesce(json_kind(F.try_variant_get("v", "$.data", "variant")) == "OBJECT", F.lit(False))
+    lines = raw.filter("NOT readable OR trim(value) <> ''").withColumn("value", sound_json(F.col("value"))).withColumn("v", F.try_parse_json("value"))
+    # objects with a key twice are no VARIANT, but JSON still
+    loose = lambda path: F.when(F.col("v").isNull(), F.get_json_object("value", path))
+    kind = F.coalesce(F.nullif(F.coalesce(F.try_variant_get("v", "$.type", "string"), loose("$.type")), F.lit("")), F.lit("<missing>"))
+    is_object = F.coalesce(json_kind(F.col("v")) == "OBJECT", loose("$").startswith("{"), F.lit(False))
+    time = F.coalesce(json_number(F.col("v"), "$.time"), loose("$.time").try_cast("double"))
+    rows = lines.withColumns({"ok": is_object, "type": kind, "time": time})
+    has_data = F.coalesce(json_kind(F.try_variant_get("v", "$.data", "variant")) == "OBJECT", loose("$.data").startswith("{"), F.lit(False))
     # the header record has its fields beside its type; all others have them in `data`
     data = F.when(F.col("type") == "session", F.col("value")).when(has_data, F.get_json_object("value", "$.data"))
     rows = rows.withColumn("data", data).withColumn("known", F.col("ok") & F.col("type").isin(*KNOWN_TYPES)).drop("v")
@@ -102,7 +107,12 @@ def normalise_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((F.col("type") == "session") & (F.col("seq") > F.col("header")), "later_header")
         .when(F.col("data").isNull() & (F.col("seq") > F.col("header")), "malformed")
     )
-    rows = rows.withColumn("reason", reason)
+    return rows.withColumn("reason", reason)
+
+
+def normalise_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, bad): path, seq, type, time and data of the records; path, seq, type and reason of the other lines (see `classified`)."""
+    rows = classified(raw)
     records = rows.filter("reason IS NULL").select("path", "seq", "type", "time", "data")
     return records, rows.filter("reason IS NOT NULL").select("path", "seq", "type", "reason")
 

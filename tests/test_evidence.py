@@ -107,8 +107,8 @@ def test_aggregates(spark):
         ("glance", 1, "title"), ("glance", 2, "families"), ("glance", 2, "foreign_evidence"), ("glance", 3, "foreign_evidence"), ("glance", 4, "evidence"), ("glance", 5, "confidence"),
         ("glance", 5, "measurement"), ("glance", 6, "evidence"), ("glance", 6, "families"), ("recommendations", 0, "singleton"), ("recommendations", 2, "action"), ("recommendations", 2, "key"),
     ]
-    recs = {r.position: (r.id[:4], r.priority) for r in evidence.semantic_recommendations(items).collect()}
-    assert recs[0] == ("rec-", "medium") and recs[2] == ("rec-", "high")
+    recs = {r.position: (r.id[:9], r.priority, r.support) for r in evidence.semantic_recommendations(items, "agent").collect()}
+    assert recs == {0: ("semantic-", "high", 1), 1: ("semantic-", "medium", 1), 2: ("semantic-", "high", 2)}
     whole = spark.createDataFrame([(json.dumps({s: [] for s in evidence.SECTIONS if s != "horizon"} | {"glance": {}}),)], "j string")
     assert whole.select(evidence.section_errors(F.col("j")).alias("e")).first().e == ["glance", "horizon"]
 
