@@ -114,7 +114,9 @@ def build_index(spark: SparkSession, path: str, wide: bool = False) -> DataFrame
     """
     records = written(read_records(spark, path, wide), "record-index")
     totals = records.groupBy("file").agg(F.sum("n_tokens").alias("t"))  # one row per file
-    base = totals.select("file", (F.sum("t").over(Window.orderBy("file")) - F.col("t")).alias("base"))
+    # by the numbers of the files: their names have five digits at least, so beyond part-99999 they do not sort as texts
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    base = totals.select("file", (F.sum("t").over(Window.orderBy(number, "file")) - F.col("t")).alias("base"))
     return records.join(base, "file").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
 
 
