@@ -47,7 +47,7 @@ def _work_area() -> str:
     names = [n for n, _ in classify.WORK_AREAS]
     counts = f"array({', '.join(_hits(w) for _, w in classify.WORK_AREAS)})"
     pick = f"CASE WHEN array_max(n) = 0 THEN 'general' ELSE element_at(array({', '.join(map(quoted, names))}), CAST(array_position(n, array_max(n)) AS INT)) END"
-    return f"(SELECT {pick} FROM (SELECT {counts} AS n FROM (SELECT lower(work_area.t) AS t)))"
+    return f"(SELECT {pick} FROM (SELECT {counts} AS n FROM (SELECT coalesce(lower(work_area.t), '') AS t)))"
 
 
 def statements() -> list[str]:

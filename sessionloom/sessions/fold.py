@@ -260,16 +260,30 @@ COUNTERS = ("tool_counts", "failure_tools", "failure_causes", "failure_confidenc
 
 
 def step_counters(steps: DataFrame) -> DataFrame:
-    """path and a map of counts for each of COUNTERS, counted together in one pass."""
-    one = lambda name, value: F.struct(F.lit(name).alias("what"), value.alias("key"))
+    """path, the counts and seconds of a session's steps, and a map of counts for each of COUNTERS: all counted together in one pass."""
+    is_call, answer = F.col("kind") == "call", F.col("kind") == "result"
+    counts = {
+        "tool_calls": is_call, "tool_failures": F.col("structured_failure"), "text_error_signals": F.col("text_signal"), "diagnostic_nonzero": F.col("diagnostic_nonzero"),
+        "clarification_requests": is_call & F.col("clarifies"), "subagents": F.col("starts_agent"), "web_searches": F.col("searches_web"), "mcp_calls": F.col("through_connector"),
+        "unchanged_retries": F.col("retry") == "unchanged", "state_change_retries": F.col("retry") == "after_state_change", "polling_retries": F.col("retry") == "polling",
+        "blocks": F.col("permission_block"), "verification_successes": F.col("verified"), "verification_failures": F.col("refuted"), "git_commits": F.col("committed"),
+    }
+    seconds = {"tool_run_seconds": "seconds", "wait_seconds": "waited"}
     has = F.col("cause").isNotNull()
-    each = F.array_compact(F.array(
-        F.when(F.col("kind") == "call", one("tool_counts", F.col("tool"))), F.when(F.col("structured_failure"), one("failure_tools", F.col("tool"))),
-        F.when(has, one("failure_causes", F.col("cause"))), F.when(has, one("failure_confidence", F.col("confidence"))), F.when(F.col("verified"), one("verification_kinds", F.col("tool"))),
-    ))
+    named = (
+        ("tool_counts", is_call, "tool"), ("failure_tools", F.col("structured_failure"), "tool"), ("failure_causes", has, "cause"), ("failure_confidence", has, "confidence"),
+        ("verification_kinds", F.col("verified"), "tool"),
+    )
+    one = lambda what, key, value=F.lit(0.0): F.struct(F.lit(what).alias("what"), key.alias("key"), value.alias("value"))
+    each = [F.when(c, one("count", F.lit(n))) for n, c in counts.items()] + [F.when(answer, one("seconds", F.lit(n), F.col(c))) for n, c in seconds.items()]
+    each += [F.when(c, one(what, F.col(key))) for what, c, key in named]
     files = F.transform(F.coalesce("extensions", F.array().cast("array<string>")), lambda e: one("file_extensions", e))
-    n = steps.select("path", F.explode(F.concat(each, files)).alias("x")).groupBy("path", "x.what", "x.key").agg(F.count("*").alias("n"))
-    return n.groupBy("path").agg(*[F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("what") == w, F.struct("key", "n"))))).alias(w) for w in COUNTERS])
+    n = steps.select("path", F.explode(F.concat(F.array_compact(F.array(*each)), files)).alias("x")).groupBy("path", "x.what", "x.key").agg(F.count("*").alias("n"), F.sum("x.value").alias("v"))
+    pick = lambda what, key, c: F.max(F.when((F.col("what") == what) & (F.col("key") == key), F.col(c)))
+    return n.groupBy("path").agg(
+        *[F.coalesce(pick("count", c, "n"), F.lit(0)).alias(c) for c in counts], *[F.coalesce(pick("seconds", c, "v"), F.lit(0.0)).alias(c) for c in seconds],
+        *[F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("what") == w, F.struct("key", "n"))))).alias(w) for w in COUNTERS],
+    )
 
 
 def _tally(values: Column) -> Column:
@@ -283,17 +297,7 @@ def fold_sessions(records: DataFrame, skill: str = "", command: str = "", marks:
     skill, command and marks: names by which a session is known to be about a report of this kind itself (without any, none is). Records without a time
     count, but move no span. Sessions without records of a kind have zeros and empty maps.
     """
-    steps, said = tool_steps(records), messages(records)
-    is_call, answer = F.col("kind") == "call", F.col("kind") == "result"
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    tool = steps.groupBy("path").agg(
-        n(is_call).alias("tool_calls"), n(F.col("structured_failure")).alias("tool_failures"), n(F.col("text_signal")).alias("text_error_signals"),
-        n(F.col("diagnostic_nonzero")).alias("diagnostic_nonzero"), n(is_call & F.col("clarifies")).alias("clarification_requests"), n(F.col("starts_agent")).alias("subagents"),
-        n(F.col("searches_web")).alias("web_searches"), n(F.col("through_connector")).alias("mcp_calls"), n(F.col("retry") == "unchanged").alias("unchanged_retries"),
-        n(F.col("retry") == "after_state_change").alias("state_change_retries"), n(F.col("retry") == "polling").alias("polling_retries"), n(F.col("permission_block")).alias("blocks"),
-        n(F.col("verified")).alias("verification_successes"), n(F.col("refuted")).alias("verification_failures"), n(F.col("committed")).alias("git_commits"),
-        F.coalesce(F.sum(F.when(answer, F.col("seconds"))), F.lit(0.0)).alias("tool_run_seconds"), F.coalesce(F.sum(F.when(answer, F.col("waited"))), F.lit(0.0)).alias("wait_seconds"),
-    )
+    said = messages(records)
     user = F.col("role") == "user"
     said = with_topics(said)
     length = F.length(F.regexp_replace("body", r"(?U)^\s+|\s+$", ""))
@@ -318,7 +322,7 @@ def fold_sessions(records: DataFrame, skill: str = "", command: str = "", marks:
         F.max_by(F.struct("provider", "model"), F.struct("n", F.col("provider"), F.col("model"))).alias("m"), F.collect_set(F.struct("provider", "model")).alias("provider_models")
     ).select("path", "m.provider", "m.model", "provider_models")
     out = headers(records)
-    for part in (turns(records), usage(records), tool, talk, denied, other, models, step_counters(steps)):
+    for part in (turns(records), usage(records), talk, denied, other, models, step_counters(tool_steps(records))):
         out = out.join(part, "path", "left")
     zero = {c: F.coalesce(c, F.lit(0).cast(t)) for c, t in out.dtypes if t in ("bigint", "double") and not c.endswith("_ms") or c == "active_ms"}
     empty = {c: F.coalesce(c, F.create_map().cast(t)) for c, t in out.dtypes if t.startswith("map")}
