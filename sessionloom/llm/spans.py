@@ -56,10 +56,9 @@ def repeated_anchors(docs: DataFrame, anchors, slots: int, often: int | None = N
             for part in tk.slices(batch, "text"):
                 h, n = np.unique(tk.mix(anchors(part.column("text"))), return_counts=True)
                 n = n.astype("<u4")
-                cut = np.searchsorted(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64), np.arange(parts + 1, dtype=np.uint64))
-                some = [i for i in range(parts) if cut[i + 1] > cut[i]]
-                blobs = [h[cut[i] : cut[i + 1]].tobytes() + n[cut[i] : cut[i + 1]].tobytes() for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                some = tk.occupied(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64))
+                blobs = [h[s:e].tobytes() + n[s:e].tobytes() for _, s, e in some]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def count(pdf):
         import pandas as pd

@@ -126,8 +126,8 @@ def _sent(part, twice, many, bits: int, window: int, parts: int):
         settled.append(_runs(rest))
         target = (lead["h"] % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((lead["pos"], lead["th"], lead["nid"], target))
-        lead, cut = lead[order], np.searchsorted(target[order], np.arange(parts + 1))
-        yield from ((i, WINDOWS, _columns(lead[cut[i] : cut[i + 1]])) for i in range(parts) if cut[i + 1] > cut[i])
+        lead = lead[order]
+        yield from ((i, WINDOWS, _columns(lead[s:e])) for i, s, e in tk.occupied(target[order]))
 
     # windows that follow one another at one seed are one occurrence of it
     new = np.append(True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))
@@ -153,12 +153,11 @@ def _sent(part, twice, many, bits: int, window: int, parts: int):
     rec, first = rec[differ], first[differ]
     target = (tk.mix(rec["seed"]) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(target, kind="stable")
-    rec, begin, cut = rec[order], start[first[order]], np.searchsorted(target[order], np.arange(parts + 1))
-    for i in range(parts):
-        if cut[i + 1] > cut[i]:
-            mine = rec[cut[i] : cut[i + 1]]
-            around = words.hash[_spread(begin[cut[i] : cut[i + 1]], mine["windows"].astype(np.int64) + window - 1)]
-            yield i, SEEDS, np.uint32(len(mine)).tobytes() + _columns(mine) + around.tobytes()
+    rec, begin = rec[order], start[first[order]]
+    for i, s, e in tk.occupied(target[order]):
+        mine = rec[s:e]
+        around = words.hash[_spread(begin[s:e], mine["windows"].astype(np.int64) + window - 1)]
+        yield i, SEEDS, np.uint32(len(mine)).tobytes() + _columns(mine) + around.tobytes()
 
     runs = np.concatenate(settled)
     if len(runs):

@@ -31,6 +31,8 @@ from sessionloom.llm.spans import bitmap_bits, keyed, may_repeat, merged, real_i
 #: Leading bytes of a suffix that the splitters look at.
 LEAD = 24
 #: Leading bytes of suffixes that the splitters are taken from: about this many for each bucket.
+#: Leads that the driver sees, at most.
+MOST_SAMPLED = 1_000_000
 SAMPLED = 40
 #: Occurrences from which on the suffixes at an anchor are spread over all buckets by longer contexts.
 OFTEN = 1000
@@ -216,8 +218,8 @@ def _suffixes(docs: DataFrame, bitmap, parts: int, window: int, gram: int, bits:
                 rec, rest = _settled(rec)
                 target = (rec["h"] % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
-                rec, cut = rec[order], np.searchsorted(target[order], np.arange(parts + 1))
-                out = [(i, False, press.compress(_columns(rec[cut[i] : cut[i + 1]]))) for i in range(parts) if cut[i + 1] > cut[i]]
+                rec = rec[order]
+                out = [(i, False, press.compress(_columns(rec[s:e]))) for i, s, e in tk.occupied(target[order])]
                 if len(rest):
                     out.append((int(rest["th"][0] % parts), True, press.compress(_columns(rest))))
                 cols = list(zip(*out)) or [(), (), ()]
@@ -320,8 +322,10 @@ def copied_spans(docs: DataFrame, window: int, gram: int, keep_first: bool = Fal
 
 
 def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[bytes]:
-    """parts - 1 leading byte strings that part a sample of the suffixes evenly."""
-    share = min(1.0, parts * SAMPLED * 200 / max(1, plan_bytes(docs)))
+    """Up to parts - 1 leading byte strings that part a sample of the suffixes evenly; the sample has at most MOST_SAMPLED, whatever the input."""
+    want, size = min(parts * SAMPLED * 20, MOST_SAMPLED), max(1, plan_bytes(docs))
+    # winnowing keeps about two of (window - gram) places
+    share = min(1.0, max(want * (window - gram) / (4 * size), 200_000 / size))
 
     def leads(batches):
         for batch in batches:
@@ -331,8 +335,8 @@ def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[byte
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + min(LEAD, gram)] for a in at.tolist()], pa.binary())], names=["lead"])
 
-    found = docs.sample(min(1.0, max(share, 200_000 / max(1, plan_bytes(docs)))), 5).select("text").mapInArrow(leads, "lead binary")
-    keys = sorted(bytes(r[0]) for r in found.limit(parts * SAMPLED * 20).collect())
+    found = docs.sample(share, 5).select("text").mapInArrow(leads, "lead binary")
+    keys = sorted(bytes(r[0]) for r in found.limit(want).collect())
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 

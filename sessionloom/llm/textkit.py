@@ -196,3 +196,11 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     """Whether the slot of the top bits of each hash is set; bitmap holds 2**bits bits in uint32 words."""
     slot = h >> np.uint64(64 - bits)
     return (bitmap[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
+
+
+def occupied(target: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal values of a sorted array: the parts that a slice has something for, however many there are in all."""
+    if not len(target):
+        return []
+    begin = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+    return list(zip(target[begin].tolist(), begin.tolist(), np.append(begin[1:], len(target)).tolist()))

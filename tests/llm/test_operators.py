@@ -461,3 +461,28 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(path)
         assert docs.columns == corpus_pipeline.COLUMNS and 0 < docs.count() <= before
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").agg(F.max("length")).first()[0] <= 4096
+
+
+def test_runs_of_equal_targets():
+    import numpy as np
+
+    from sessionloom.llm import textkit as tk
+
+    assert tk.occupied(np.array([], np.int64)) == [] and tk.occupied(np.array([-1, -1, 3, 7, 7])) == [(-1, 0, 2), (3, 2, 3), (7, 3, 5)]
+    # as many parts as a very large input has: the work follows the slice
+    target = np.sort(np.random.default_rng(1).integers(0, 1_600_000, 5000).astype(np.uint64))
+    got = tk.occupied(target)
+    assert sum(e - s for _, s, e in got) == 5000 and [t for t, _, _ in got] == np.unique(target).tolist()
+
+
+def test_files_beyond_five_digits_keep_their_order(spark, tmp_path):
+    docs = [(i, "w " * (i + 1)) for i in range(40)]
+    path = f"{tmp_path}/records"
+    records.write_records(frame(spark, docs), tokenizer_path("word_bpe_49k.json"), path, end_id=2)
+    want = rows(records.build_index(spark, path), ["doc_id", "start", "n_tokens", "ids_crc32"])
+    import os
+
+    files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    for n, f in reversed(list(enumerate(files))):
+        os.rename(f"{path}/{f}", f"{path}/part-{99_999 - len(files) // 2 + n:05d}{f[10:]}")
+    assert len(files) > 2 and rows(records.build_index(spark, path), ["doc_id", "start", "n_tokens", "ids_crc32"]) == want
