@@ -172,11 +172,6 @@ def _per_user(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(*[F.count_if(_is(t)).alias(n) for n, t in names.items()])
 
 
-@query(f"SELECT signal, sum(n)::BIGINT AS total, count(*) FILTER (n > 0) AS affected FROM (UNPIVOT ({PER_USER}) ON failures, polling, changes, turns INTO NAME signal VALUE n) GROUP BY 1 HAVING sum(n) > 0")
-def friction_signals(spark, d):
-    return rollups.long_signals(_per_user(spark, d), ["failures", "polling", "changes", "turns"])
-
-
 @query(f"SELECT user_id, CASE WHEN turns > changes THEN 'partial' WHEN failures > changes THEN 'aborted' ELSE 'completed' END AS status FROM ({PER_USER})")
 def session_status(spark, d):
     status = F.when(F.col("turns") > F.col("changes"), "partial").when(F.col("failures") > F.col("changes"), "aborted").otherwise("completed")
@@ -203,12 +198,6 @@ def distinct_counts(spark, d):
     return table(spark, d, "events").agg(*[F.countDistinct(c).alias(n) for c, n in (("user_id", "users"), ("event_type", "kinds"), ("props", "props"))])
 
 
-@query(f"SELECT user_id, k, event_id, cents FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY (event_type = 'purchase')::INT DESC, us DESC, event_id DESC) AS n FROM {EVENTS}) WHERE n = 1")
-def usage_dedup(spark, d):
-    e = events(spark, d).withColumn("message", _is("purchase").cast("int"))
-    return ordered.keep_first(e, ["user_id", "k"], [F.desc("message"), F.desc("us"), F.desc("event_id")]).select("user_id", "k", "event_id", "cents")
-
-
 @query(f"SELECT user_id, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase' AND k % 2 = 0) AS accepted, max(cents)::BIGINT AS peak FROM {EVENTS} GROUP BY 1")
 def running_max_counters(spark, d):
     return events(spark, d).groupBy("user_id").agg(
@@ -216,31 +205,6 @@ def running_max_counters(spark, d):
     )
 
 
-@query(f"""WITH m AS (SELECT (min(us) + max(us)) // 2 AS mid FROM {EVENTS})
-    SELECT event_type, count(*) FILTER (us < mid) AS before, count(*) FILTER (us >= mid) AS after FROM {EVENTS}, m GROUP BY 1""")
-def half_range_compare(spark, d):
-    e = events(spark, d)
-    lo, hi = e.agg(F.min("us"), F.max("us")).first()
-    mid = ((lo or 0) + (hi or 0)) // 2
-    return e.groupBy("event_type").agg(F.count_if(F.col("us") < mid).alias("before"), F.count_if(F.col("us") >= mid).alias("after"))
-
-
-@query(f"""SELECT count(*) AS permission_blocks FROM (SELECT event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS)
-    OVER ({WK} {BEFORE}) AS rejected FROM {EVENTS}) WHERE event_type = 'click' OR (event_type = 'error' AND rejected IS NULL)""")
-def permission_blocks(spark, d):
-    e = ordered.pair_latest(events(spark, d), ["user_id", "k"], ORDER, _is("click"), F.col("event_id"), "rejected")
-    return e.agg(F.count_if(_is("click") | (_is("error") & F.col("rejected").isNull())).alias("permission_blocks"))
-
-
-@query("SELECT count(*) AS records, count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase', 'error', 'signup')) AS unknown, count(*) FILTER (json_extract_string(props, '$.k') IS NULL) AS malformed, count(DISTINCT user_id) AS sessions FROM events")
-def coverage(spark, d):
-    e = events(spark, d)
-    return e.agg(
-        F.count("*").alias("records"), F.count_if(~F.col("event_type").isin(*KINDS)).alias("unknown"),
-        F.count_if(F.col("k").isNull()).alias("malformed"), F.countDistinct("user_id").alias("sessions"),
-    )
-
-
 @query("SELECT event_type, count(*) FILTER (event_type = 'purchase') AS verified, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1")
 def verification_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count_if(_is("purchase")).alias("verified"), F.count_if(_is("error")).alias("failed"))
@@ -258,20 +222,3 @@ def model_usage(spark, d):
     e = table(spark, d, "events")
     parts = [e.filter(_is(t)).select("user_id", "event_type") for t in ("view", "click", "purchase")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-
-
-@query("""WITH t AS (SELECT count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'click') AS polls, count(*) AS n FROM events)
-    SELECT 'failures' AS rule, failures::BIGINT AS evidence FROM t WHERE failures > 0 UNION ALL SELECT 'polling', polls FROM t WHERE 100 * polls >= 12 * n""")
-def recommendations(spark, d):
-    t = table(spark, d, "events").agg(F.count_if(_is("error")).alias("failures"), F.count_if(_is("click")).alias("polls"), F.count("*").alias("n"))
-    rules = F.array(
-        F.struct(F.lit("failures").alias("rule"), F.col("failures").alias("evidence"), (F.col("failures") > 0).alias("fires")),
-        F.struct(F.lit("polling").alias("rule"), F.col("polls").alias("evidence"), (100 * F.col("polls") >= 12 * F.col("n")).alias("fires")),
-    )
-    return t.select(F.explode(rules).alias("r")).filter("r.fires").select("r.rule", "r.evidence")
-
-
-@query("SELECT CASE WHEN count(*) = 0 THEN 'no_input' WHEN count(DISTINCT user_id) < 5 THEN 'few_sessions' ELSE 'none' END AS warning FROM events")
-def warnings(spark, d):
-    t = table(spark, d, "events").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"))
-    return t.select(F.when(F.col("n") == 0, "no_input").when(F.col("u") < 5, "few_sessions").otherwise("none").alias("warning"))

@@ -17,21 +17,6 @@ def header_semi_prune(spark, d):
     return body.join(kept, "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.count("*").alias("lines"))
 
 
-@query("SELECT c_mktsegment, count(*) AS orders, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
-def project_rollup(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    joined = table(spark, d, "orders").select("o_custkey", cents.alias("cents")).join(c, "o_custkey")
-    return rollups.dimension_rollup(joined, ["c_mktsegment"], {"orders": F.count("*"), "cents": F.sum("cents")})
-
-
-@query("SELECT n_name, count(*) AS customers, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
-def dimension_rollup(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    c = table(spark, d, "customer").join(n, "c_nationkey")
-    return rollups.dimension_rollup(c, ["n_name"], {"customers": F.count("*"), "cents": F.sum(F.round(F.col("c_acctbal") * 100).cast("long"))})
-
-
 @query("SELECT l_returnflag, quantile_disc(l_quantity, 0.9) AS p90, median(l_quantity) AS middle FROM lineitem GROUP BY 1")
 def nearest_rank_p90(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(rollups.nearest_rank("l_quantity", 0.9).alias("p90"), F.median("l_quantity").alias("middle"))
@@ -48,46 +33,12 @@ def token_projection(spark, d):
     return out.withColumn("uncached_input_tokens", F.greatest(F.col("input_tokens") - F.col("cached_input_tokens"), F.lit(0)))
 
 
-@query("""SELECT o_orderkey, o_orderstatus AS root_status, count(l_orderkey) AS members, count(*) FILTER (l_returnflag = 'R') AS returned,
-    min_by(l_linenumber, (l_shipdate, l_linenumber)) AS root_line FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
-def task_family_rollup(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("root_status"))
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count("*").alias("members"), F.count_if(F.col("l_returnflag") == "R").alias("returned"),
-        F.min_by("l_linenumber", F.struct("l_shipdate", "l_linenumber")).alias("root_line"),
-    )
-    return o.join(li, "o_orderkey")
-
-
-@query("SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'verified' WHEN bool_or(l_returnflag = 'R') THEN 'no' ELSE 'unknown' END AS completion FROM lineitem GROUP BY 1")
-def family_completion(spark, d):
-    flag = F.when(F.bool_or(F.col("l_returnflag") == "A"), "verified").when(F.bool_or(F.col("l_returnflag") == "R"), "no").otherwise("unknown")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(flag.alias("completion"))
-
-
-@query("SELECT count(*) AS families, count(*) FILTER (o_orderstatus = 'F') AS verified, count(DISTINCT o_custkey) AS projects FROM orders")
-def family_totals(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("families"), F.count_if(F.col("o_orderstatus") == "F").alias("verified"), F.countDistinct("o_custkey").alias("projects"))
-
-
-@query("SELECT p_brand, p_type, count(DISTINCT p_partkey) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_brand, p_type))")
-def provider_model_sets(spark, d):
-    p = table(spark, d, "part")
-    return p.groupingSets([["p_brand"], ["p_brand", "p_type"]], "p_brand", "p_type").agg(F.countDistinct("p_partkey").alias("n"))
-
-
 @query("SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 def workflow_candidates(spark, d):
     o = table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5)
     return o.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
 
 
-@query("SELECT l_returnflag, l_partkey, n, rank::INT AS rank FROM (SELECT l_returnflag, l_partkey, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_partkey) AS rank FROM lineitem GROUP BY 1, 2) WHERE rank <= 5")
-def topk_per_group(spark, d):
-    n = table(spark, d, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.count("*").alias("n"))
-    return ordered.top_per_group(n, ["l_returnflag"], [F.desc("n"), "l_partkey"], 5)
-
-
 @query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12")
 def top12_parts(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(12)
@@ -127,12 +78,6 @@ def incremental_upsert(spark, d):
     return incremental.refresh(o, known, "o_orderkey").select("o_orderkey", "status", "fingerprint")
 
 
-@query("SELECT round(100.0 * max(n) / sum(n), 4) AS top_share, sum(done)::BIGINT AS completed FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1)")
-def narrative_facts(spark, d):
-    per = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
-    return per.agg(F.round(100.0 * F.max("n") / F.sum("n"), 4).alias("top_share"), F.sum("done").alias("completed"))
-
-
 @query()
 def quota_selection(spark, d):
     """24 orders under the quotas of families. Project: customer; friction: returned lines; success: finished; complexity: price."""

@@ -188,30 +188,6 @@ def session_rollup(spark, d):
     return c.groupBy("conv_id").agg(F.count("*").alias("messages"), role("user").alias("user_messages"), role("assistant").alias("replies"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS families, round(sum(length(text)) / greatest(sum(sum(length(text))) OVER (), 1), 4) AS share FROM conversations GROUP BY 1")
-def role_share(spark, d):
-    r = table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("families"), F.sum(F.length("text")).alias("c"))
-    whole = F.greatest(F.sum("c").over(Window.partitionBy(F.lit(1))), F.lit(1))  # one row per role
-    return r.select("role", "n", "families", F.round(F.col("c") / whole, 4).alias("share"))
-
-
-@query("""WITH s AS (SELECT conv_id, count(*) FILTER (role = 'user') AS turns FROM conversations GROUP BY 1),
-    p AS (SELECT quantile_disc(length(text), 0.9) AS p90, median(length(text)) AS middle FROM conversations WHERE role = 'user')
-    SELECT count(*) AS sessions, round(avg(turns), 4) AS mean_turns, median(turns) AS median_turns, any_value(p90)::BIGINT AS p90_chars, any_value(middle) AS median_chars FROM s, p""")
-def interaction_metrics(spark, d):
-    c = table(spark, d, "conversations")
-    s = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("turns"))
-    s = s.agg(F.count("*").alias("sessions"), F.round(F.avg("turns"), 4).alias("mean_turns"), F.median("turns").alias("median_turns"), F.lit(1).alias("one"))
-    p = c.filter("role = 'user'").select(F.length("text").cast("long").alias("n")).agg(rollups.nearest_rank("n", 0.9).cast("long").alias("p90_chars"), F.median("n").alias("median_chars"), F.lit(1).alias("one"))
-    return s.join(p, "one").drop("one")
-
-
-@query("SELECT conv_id, text AS title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user' AND trim(text) <> '') WHERE k = 1")
-def title_precedence(spark, d):
-    c = table(spark, d, "conversations").filter("role = 'user' AND trim(text) <> ''")
-    return c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
-
-
 @query("""SELECT conv_id, count(*) AS kept, sum(least(n, 5000))::BIGINT AS chars FROM (SELECT conv_id, turn, length(text) AS n,
     coalesce(sum(least(length(text), 5000) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS used FROM conversations) WHERE used < 50000 GROUP BY 1""")
 def topic_text(spark, d):
@@ -258,11 +234,6 @@ def candidate_fingerprint(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(parts, lambda s: s["m"]), "\n"), 256).alias("fingerprint"))
 
 
-@query("SELECT conv_id, sum(length(trim(text)))::BIGINT AS chars FROM conversations WHERE text IS NOT NULL GROUP BY 1")
-def message_text(spark, d):
-    return table(spark, d, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.sum(F.length(F.trim("text"))).alias("chars"))
-
-
 @query("SELECT l.doc_id FROM labels l ANTI JOIN (SELECT doc_id FROM documents WHERE n_chars > 100) d ON l.doc_id = d.doc_id")
 def ref_integrity_anti(spark, d):
     known = table(spark, d, "documents").filter("n_chars > 100").select("doc_id")
@@ -274,28 +245,6 @@ def id_except(spark, d):
     return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
 
 
-@query("SELECT d.doc_id, concat_ws(',', CASE WHEN quality NOT IN (0, 1) OR quality IS NULL THEN 'bad_quality' END, CASE WHEN length(text) < 50 THEN 'short_evidence' END, CASE WHEN l.doc_id IS NULL THEN 'no_label' END) AS errors FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-def facet_validation(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").withColumn("has", F.lit(True))
-    rules = [
-        F.when(F.coalesce(~F.col("quality").isin(0, 1), F.lit(True)), "bad_quality"), F.when(F.length("text") < 50, "short_evidence"), F.when(F.col("has").isNull(), "no_label")
-    ]
-    return docs.join(labels, "doc_id", "left").select("doc_id", F.array_join(F.array_compact(F.array(*rules)), ",").alias("errors"))
-
-
-@query("SELECT source, count(*) AS support, CASE WHEN count(*) < 2 THEN 'medium' ELSE 'high' END AS priority FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1")
-def supported_recs(spark, d):
-    good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
-    n = table(spark, d, "documents").join(good, "doc_id").groupBy("source").agg(F.count("*").alias("support"))
-    return n.withColumn("priority", F.when(F.col("support") < 2, "medium").otherwise("high"))
-
-
-@query("SELECT doc_id, format('batch-{:03d}', ceil(row_number() OVER (PARTITION BY source ORDER BY doc_id) / 6.0)::INT) AS batch FROM documents")
-def batching(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.format_string("batch-%03d", F.ceil(n / 6)).alias("batch"))
-
-
 @query("SELECT d.doc_id FROM documents d WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def fingerprint_antijoin(spark, d):
     docs = table(spark, d, "documents").withColumn("fingerprint", F.sha2("text", 256))
