@@ -65,14 +65,6 @@ def command_flag(c: Column, kind: str) -> Column:
     return c.rlike(COMMANDS[kind])
 
 
-def failure_cause(c: Column) -> Column:
-    """The first rule that a failure's text meets."""
-    out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in CAUSES:
-        out = out.when(c.rlike(pattern), F.lit(name))
-    return out.otherwise("other")
-
-
 def mentions(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(MENTION), F.lit(1)), F.lower)
 
@@ -146,9 +138,3 @@ def session_type(turns: Column, calls: Column, changes: Column, searches: Column
 
 def complexity(turns: Column, calls: Column, patches: Column, agents: Column, minutes: Column) -> Column:
     return 2 * turns + F.least(calls, F.lit(50)) + 4 * patches + 6 * agents + F.least(minutes, F.lit(120)) / 5
-
-
-def exit_code(text: Column) -> Column:
-    """The first non-zero exit code of a text's runtime lines, else the last; one beyond 32 bits is the last that fits."""
-    codes = F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^(?:Process exited with code|Exit code:|exit_code\s*[:=])\s*(-?\d+)\s*$"), F.lit(1)), lambda x: F.coalesce(x.try_cast("int"), F.lit((1 << 31) - 1)))
-    return F.coalesce(F.get(F.filter(codes, lambda x: x != 0), F.lit(0)), F.try_element_at(codes, F.lit(-1)))

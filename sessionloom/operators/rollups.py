@@ -1,4 +1,4 @@
-"""Aggregations of sessions and events: dimensions, signals, tokens, families."""
+"""Aggregations of sessions and events: signals, histograms, ranks, tokens."""
 
 from __future__ import annotations
 
@@ -6,13 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dimension_rollup(df: DataFrame, dim: list[str], measures: dict[str, Column]) -> DataFrame:
-    """Measures by dimension; a missing value is unknown where the dimension is text."""
-    kinds = dict(df.dtypes)
-    keys = [F.coalesce(F.col(d), F.lit("unknown")).alias(d) if kinds[d] == "string" else F.col(d) for d in dim]
-    return df.groupBy(*keys).agg(*[v.alias(k) for k, v in measures.items()])
-
-
 def long_signals(df: DataFrame, names: list[str]) -> DataFrame:
     """signal, total, affected of per-session counters; signals that never occur are dropped."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).cast("long").alias("n")) for n in names])).alias("s")).select("s.*")

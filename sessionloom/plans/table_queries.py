@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.functions import classify
-from sessionloom.operators import ordered, rollups, selection
+from sessionloom.operators import rollups, selection
 from sessionloom.plans.registry import query, table
 from sessionloom.sources import incremental
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions import classify, text
-from sessionloom.operators import ordered, rollups
+from sessionloom.functions import classify, text, tools
+from sessionloom.operators import ordered
 from sessionloom.plans.registry import query, table
 from sessionloom.sessions import evidence
 from sessionloom.sources import incremental
@@ -126,7 +126,7 @@ def _cause_sql() -> str:
 
 @query(_cause_sql())
 def failure_cause(spark, d):
-    return _ended(spark, d).groupBy(classify.failure_cause(F.col("text")).alias("cause")).agg(F.count("*").alias("n"))
+    return _ended(spark, d).groupBy(tools.failure_cause(F.col("text"), F.lit(None).cast("string")).alias("cause")).agg(F.count("*").alias("n"))
 
 
 def _flag_sql() -> str:
@@ -151,7 +151,8 @@ def exit_code_pick(spark, d):
     """Texts between two lines with exit codes."""
     line = lambda n: F.concat(F.lit("Exit code: "), (F.col("doc_id") % n).cast("string"))
     whole = F.concat_ws("\n", line(4), F.coalesce("text", F.lit("")), line(3))
-    return table(spark, d, "documents").select("doc_id", classify.exit_code(whole).alias("code"))
+    told = F.struct(F.lit("unknown").alias("outcome"), F.lit(None).cast("long").alias("exit_code"))
+    return table(spark, d, "documents").select("doc_id", tools.line_outcome(tools.lines_of(whole), told)["exit_code"].cast("int").alias("code"))
 
 
 USERS = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations WHERE role = 'user'"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import classify, text, tools
-from sessionloom.operators import ordered
+from sessionloom.operators import ordered, rollups
 from sessionloom.sources.session_logs import call_id, json_number
 
 TOKENS = {"inputTokens": "uncached_input_tokens", "outputTokens": "output_tokens", "reasoningTokens": "reasoning_output_tokens", "cacheReadTokens": "cached_input_tokens", "cacheWriteTokens": "cache_write_tokens"}
@@ -243,8 +243,7 @@ def usage(records: DataFrame) -> DataFrame:
     v = F.try_parse_json("u")
     counts = {put: F.coalesce(F.sum(F.when(json_number(v, f"$.{key}") >= 0, F.floor(json_number(v, f"$.{key}")))), F.lit(0)).cast("long").alias(put) for key, put in TOKENS.items()}
     out = last.groupBy("path").agg(*counts.values())
-    out = out.withColumn("input_tokens", F.col("uncached_input_tokens") + F.col("cached_input_tokens"))
-    return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens") + F.col("cache_write_tokens"))
+    return out.withColumns(rollups.token_projection(*[F.col(f"{c}_tokens") for c in ("uncached_input", "cached_input", "cache_write", "output")]))
 
 
 def model_use(records: DataFrame) -> DataFrame:

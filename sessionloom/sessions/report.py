@@ -170,7 +170,7 @@ def interaction(sessions: DataFrame, exact: bool = True) -> DataFrame:
         rate("tool_calls", "turns").alias("tool_calls_per_turn"), F.count_if(F.col("subagents") > 0).alias("multi_agent_sessions"),
         F.count_if(F.col("active_ms") >= LONG_MS).alias("long_running_sessions"), F.count_if(F.col("session_type") == "quick_check").alias("quick_check_sessions"),
     )
-    p90 = F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY x)") if exact else F.approx_percentile("x", 0.9)
+    p90 = rollups.nearest_rank("x", 0.9) if exact else F.approx_percentile("x", 0.9)
     prompts = listed("prompt_lengths").agg(F.coalesce(F.floor(middle("x")), F.lit(0)).alias("median_prompt_chars"), F.coalesce(p90.cast("long"), F.lit(0)).alias("p90_prompt_chars"))
     waits = [listed(c).agg(F.coalesce(F.round(middle("x"), 2), F.lit(0.0)).alias(f"median_{c}")) for c in ("assistant_latency_seconds", "user_response_seconds")]
     spans = sessions.select("session_id", (F.col("start_ms") * 1000).cast("long").alias("s"), (F.col("end_ms") * 1000).cast("long").alias("e"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sessionloom.functions import classify, text
+from sessionloom.functions import classify, text, tools
 from sessionloom.operators import intervals, ordered
 
 
@@ -62,8 +62,9 @@ def test_squeeze_caps(spark):
 def test_classification(spark):
     assert one(spark, "fix the bug in code", classify.work_area) == "software_engineering"
     assert one(spark, "nothing here", classify.work_area) == "general"
-    assert one(spark, "operation timed out", classify.failure_cause) == "timeout"
-    assert one(spark, "Exit code: 0\nExit code: 3", classify.exit_code) == 3
+    assert one(spark, "operation timed out", lambda c: tools.failure_cause(c, F.lit(None).cast("string"))) == "timeout"
+    told = F.struct(F.lit("unknown").alias("outcome"), F.lit(None).cast("long").alias("exit_code"))
+    assert one(spark, "Exit code: 0\nExit code: 3", lambda c: tools.line_outcome(tools.lines_of(c), told)["exit_code"]) == 3
 
 
 def test_retries_after_failure_and_state_change(spark):
