@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text
 from sessionloom.sessions import report
+from sessionloom.sources.stored import stored
 
 PRIVACY = {"metrics": "metrics_only", "redacted": "redacted_sample", "local": "local_content"}
 RULES_VERSION = 1
@@ -154,22 +156,22 @@ def family_view() -> dict:
     }
 
 
-def tables(sessions: DataFrame, bad: DataFrame, said: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+def tables(sessions: DataFrame, bad: DataFrame, said: DataFrame, settings: Settings, store: Callable[[DataFrame, str], DataFrame] = stored) -> dict[str, DataFrame]:
     """The tables of a report over stored sessions (of the fold), rejected rows (of the source) and messages.
 
-    Whole tables: scoped, sessions (titled, in scope), public (as shown), families; one row each: totals, interaction, coverage, narrative,
+    What several tables start from is written once (store). Whole tables: scoped, sessions (titled, in scope), public (as shown), families; one row each: totals, interaction, coverage, narrative,
     family_totals; the others are grouped or limited.
     """
     scope = report.scoped(sessions, settings.since, settings.until, settings.project)
-    inside = report.titled(scope.filter("skip IS NULL"), settings.modes()[0])
+    inside = store(report.titled(scope.filter("skip IS NULL"), settings.modes()[0]), "report-sessions")
     public = report.public_view(inside, settings.modes()[0])
-    families = report.families(inside)
+    families = store(report.families(inside), "report-families")
     shown = families if settings.modes()[0] == "local" else families.withColumns({
         "family_id": text.stable_id(F.col("family_id"), "task"), "root_id": F.when(F.col("root_id").isNotNull(), text.stable_id(F.col("root_id"), "rollout")),
         "rollout_ids": F.transform("rollout_ids", lambda x: text.stable_id(x, "rollout")),
     })
-    t, i, p = report.totals(inside), report.interaction(inside), report.projects(inside)
-    c = report.coverage(scope, bad, families)
+    t, i, p = store(report.totals(inside), "report-totals"), store(report.interaction(inside), "report-interaction"), store(report.projects(inside), "report-projects")
+    c = store(report.coverage(scope, bad, families), "report-coverage")
     paths = scope.select("path").unionByName(bad.filter("reason IN ('unreadable', 'no_header')").select("path").distinct())
     files = paths.agg(F.count("*").alias("files_scanned"))
     unknown = bad.filter("reason = 'unknown'").groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(settings.most)
