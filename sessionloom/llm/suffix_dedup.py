@@ -31,7 +31,7 @@ from sessionloom.llm.spans import bitmap_bits, keyed, may_repeat, merged, real_i
 #: Leading bytes of a suffix that the splitters look at.
 LEAD = 24
 #: Leading bytes of suffixes that the splitters are taken from: about this many for each bucket.
-#: Leads that the driver sees, at most.
+#: Leads that the driver aims to see, at most.
 MOST_SAMPLED = 1_000_000
 SAMPLED = 40
 #: Occurrences from which on the suffixes at an anchor are spread over all buckets by longer contexts.
@@ -322,10 +322,10 @@ def copied_spans(docs: DataFrame, window: int, gram: int, keep_first: bool = Fal
 
 
 def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[bytes]:
-    """Up to parts - 1 leading byte strings that part a sample of the suffixes evenly; the sample has at most MOST_SAMPLED, whatever the input."""
-    want, size = min(parts * SAMPLED * 20, MOST_SAMPLED), max(1, plan_bytes(docs))
+    """Up to parts - 1 leading byte strings that part a sample of the suffixes evenly; the sample aims at MOST_SAMPLED at most and never has more than four times that."""
+    want, size = min(parts * SAMPLED, MOST_SAMPLED), max(1, plan_bytes(docs))
     # winnowing keeps about two of (window - gram) places
-    share = min(1.0, max(want * (window - gram) / (4 * size), 200_000 / size))
+    share = min(1.0, max(want * (window - gram) / (2 * size), 200_000 / size))
 
     def leads(batches):
         for batch in batches:
@@ -336,7 +336,7 @@ def _splitters(docs: DataFrame, parts: int, window: int, gram: int) -> list[byte
                 yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + min(LEAD, gram)] for a in at.tolist()], pa.binary())], names=["lead"])
 
     found = docs.sample(share, 5).select("text").mapInArrow(leads, "lead binary")
-    keys = sorted(bytes(r[0]) for r in found.limit(want).collect())
+    keys = sorted(found.limit(4 * want).toArrow()["lead"].to_pylist())
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
