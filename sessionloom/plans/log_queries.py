@@ -124,9 +124,17 @@ def wall_seconds(spark, d):
     return table(spark, d, "documents").select("doc_id", tools.wall_seconds(tools.lines_of(text), none).alias("seconds"))
 
 
-@query()
+FILES = ("py", "MD", "exe", "json", "tar.gz", "yml")
+
+
+@query(f"""SELECT extension, count(*) AS n FROM (SELECT lower({list(FILES)}[page_id % {len(FILES)} + 1]) AS extension FROM pages UNION ALL SELECT 'csv' FROM pages WHERE page_id % 4 = 0)
+    WHERE extension NOT IN ('exe', 'tar.gz') GROUP BY 1""")
 def file_extensions(spark, d):
-    found = table(spark, d, "pages").select(F.explode(tools.file_extensions(F.col("html"))).alias("extension"))
+    """Arguments of a call per page: each names a file, some a second one; only common extensions count."""
+    kind = F.get(F.array(*map(F.lit, FILES)), (F.col("page_id") % len(FILES)).cast("int"))
+    name = F.concat(F.lit("docs/page"), F.col("page_id").cast("string"), F.lit("."), kind)
+    args = _json(path=name, to=F.when(F.col("page_id") % 4 == 0, "out/t.csv"), url=F.lit("https://host.example"))
+    found = table(spark, d, "pages").select(F.explode(tools.file_extensions(args)).alias("extension"))
     return found.groupBy("extension").agg(F.count("*").alias("n"))
 
 

@@ -17,6 +17,10 @@ def duck():
     return c
 
 
+#: Queries without SQL that find nothing in the smallest tables; tests on literals cover them.
+NONE_FOUND = ("leak_scan",)
+
+
 def plain(value):
     return round(float(value), 6) if isinstance(value, (int, float)) and not isinstance(value, bool) else value
 
@@ -27,7 +31,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     mine = sorted([tuple(plain(r[c]) for c in columns) for r in df.collect()], key=str)
     if name not in catalog.ORACLES:
-        assert columns
+        assert columns and (mine or name in NONE_FOUND)
         return
     got = duck.execute(catalog.ORACLES[name])
     names = [x[0] for x in got.description]
