@@ -26,12 +26,18 @@ def misses(current: DataFrame, known: DataFrame) -> DataFrame:
     return current.join(known.select("fingerprint"), "fingerprint", "left_anti")
 
 
+def is_storage_error(e: Exception) -> bool:
+    """Whether a write failed at the storage (no space, no permission, lost), by the exceptions that Hadoop's file systems raise."""
+    return any(name in str(e) for name in ("java.io.", "java.nio.file.", "org.apache.hadoop.fs.", "AccessControlException", "TASK_WRITE_FAILED"))
+
+
 def refresh_table(current: DataFrame, stored: str, parse: Callable[[DataFrame], DataFrame], scratch: str, key: str = "path", parts: int = 64) -> dict[str, int]:
     """Brings a stored table up to date with current(key, fingerprint, ...); returns hits, misses, invalid, removed and write_errors.
 
     parse gives the rows (with the key) of the entries of current that are new or changed; the others keep theirs. The table is
     partitioned by a hash of the key, and only partitions with a change are written: first to a folder of their own under
-    scratch, then over the old ones. A table that cannot be written stays as it was. Null keys take no part.
+    scratch, then over the old ones. Where the storage refuses the write (write_errors), each partition is the old one or the new one, whole, and the
+    next refresh goes on from there; other errors are raised. Null keys take no part.
     """
     spark = current.sparkSession
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
@@ -63,7 +69,9 @@ def refresh_table(current: DataFrame, stored: str, parse: Callable[[DataFrame],
     full = fresh.unionByName(empty.join(fresh.select("part").distinct(), "part", "left_anti"), allowMissingColumns=True)
     try:
         full.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("part").parquet(stored)
-    except Exception:
+    except Exception as e:
+        if not is_storage_error(e):
+            raise
         out["write_errors"] = 1
     return out
 

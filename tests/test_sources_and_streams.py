@@ -62,6 +62,7 @@ def test_refresh_of_a_stored_table(spark, tmp_path):
     assert go(second) == {"hits": 5, "misses": 1, "invalid": 1, "removed": 2, "write_errors": 0} and asked[-1] == ["p0", "p9"]
     want = sorted((p, w) for p, body in second if p for w in body.split(" "))
     assert sorted(map(tuple, incremental.stored_rows(spark, stored).select("path", "word").collect())) == want
+    assert incremental.is_storage_error(RuntimeError("job aborted: java.io.IOException: No space left on device")) and not incremental.is_storage_error(ValueError("bad column"))
     assert go([("p9", "n")])["removed"] == 6 and incremental.stored_rows(spark, stored).count() == 1
 
 
