@@ -38,3 +38,10 @@ def test_query(spark, duck, name):
     theirs = sorted([tuple(plain(r[names.index(c)]) for c in columns) for r in got.fetchall()], key=str)
     assert sorted(names) == columns
     assert mine == theirs
+
+
+def test_usage_dedup_gives_each_step(spark):
+    """Not a sum per user: the event that counts for each of a user's steps."""
+    got = catalog.QUERIES["usage_dedup"](spark, DATA)
+    steps = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("user_id", "get_json_object(props, '$.k') AS k").distinct()
+    assert got.columns == ["user_id", "k", "event_id", "cents"] and got.count() == steps.count() > steps.select("user_id").distinct().count()
