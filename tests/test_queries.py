@@ -45,3 +45,10 @@ def test_usage_dedup_gives_each_step(spark):
     got = catalog.QUERIES["usage_dedup"](spark, DATA)
     steps = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("user_id", "get_json_object(props, '$.k') AS k").distinct()
     assert got.columns == ["user_id", "k", "event_id", "cents"] and got.count() == steps.count() > steps.select("user_id").distinct().count()
+
+
+def test_batching_covers_documents(spark):
+    """Every document is in a batch, not the labelled ones alone."""
+    got = catalog.QUERIES["batching"](spark, DATA)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id")
+    assert got.count() == docs.count() and got.select("doc_id").exceptAll(docs).isEmpty()
