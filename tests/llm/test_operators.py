@@ -486,3 +486,28 @@ def test_files_beyond_five_digits_keep_their_order(spark, tmp_path):
     for n, f in reversed(list(enumerate(files))):
         os.rename(f"{path}/{f}", f"{path}/part-{99_999 - len(files) // 2 + n:05d}{f[10:]}")
     assert len(files) > 2 and rows(records.build_index(spark, path), ["doc_id", "start", "n_tokens", "ids_crc32"]) == want
+
+
+@pytest.mark.parametrize("bad", [3, 70])
+def test_classifier_learns_from_every_label(spark, monkeypatch, bad):
+    """Mean, spread and cut are those of all rows, in many groups; with all pairs in one group the weights are the whole loss's."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, names = 300, quality_classifier.NAMES
+    x = rng.normal(0, 1, (n, names))
+    y = (np.arange(n) >= bad).astype(int)
+    x[:, 0] += y
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(n)], "doc_id long, x array<double>, y int")
+    whole = quality_classifier.fit_rows(rows)
+    z = quality_classifier._expand(x, x.mean(axis=0), x.std(axis=0) + 1e-9)
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, 2 * names)
+    w = quality_classifier._newton(lambda w: [v / len(d) for v in quality_classifier._sums(d, w)], 2 * names)
+    assert np.allclose(whole["w"], w, atol=1e-6) and abs(whole["cut"] - np.quantile(z @ w, bad / n)) < 1e-5
+    monkeypatch.setattr(quality_classifier, "GROUP", 32)
+    monkeypatch.setattr(quality_classifier, "RARE", 8)
+    monkeypatch.setattr(quality_classifier, "SORTED", 5)
+    monkeypatch.setattr(quality_classifier, "BINS", 4)
+    got = quality_classifier.fit_rows(rows)
+    assert np.allclose(got["mean"], x.mean(axis=0), atol=1e-9) and np.allclose(got["scale"], x.std(axis=0), atol=1e-8)
+    assert abs(got["cut"] - np.quantile(z @ got["w"], bad / n)) < 1e-6
