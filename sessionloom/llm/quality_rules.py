@@ -16,8 +16,6 @@ from sessionloom.llm.common import written
 #: Hash slots of the two multinomials; their weights are the only thing that reaches the driver.
 BITS = 13
 SLOTS = 1 << BITS
-#: Trusted documents that the target is fitted on, at most (those with the smallest hashed ids).
-TRUSTED = 20_000
 #: Scores below this are rejected: the mean weight, in nats per feature.
 THRESHOLD = -0.02
 
@@ -92,13 +90,12 @@ def _slot(*parts: Column) -> Column:
 def slot_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """Log ratio of the two multinomials for each slot (add-one smoothing, 6 digits).
 
-    Counts run over all documents; trusted(doc_id) marks those of the target, of which at most
-    TRUSTED are used. Without any trusted document all weights are 0.
+    Counts run over all documents; trusted(doc_id) marks those of the target. Without any trusted
+    document all weights are 0.
     """
-    ids = trusted.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
-    ids = written(ids, "trusted").withColumn("__t", F.lit(1))
+    ids = written(trusted.select("doc_id").filter("doc_id is not null").distinct(), "trusted").withColumn("__t", F.lit(1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id", "left")
+    marked = docs.select("doc_id", text.alias("text")).join(ids, "doc_id", "left")
     hashed = marked.select("__t", _hashes(F.col("text")).alias("h"))
     both = F.transform("h", lambda x, i: _slot(x) * SLOTS + _slot(F.get("h", i - 1), x))
     each = hashed.select("__t", F.explode(both).alias("b"))

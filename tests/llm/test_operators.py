@@ -511,3 +511,15 @@ def test_classifier_learns_from_every_label(spark, monkeypatch, bad):
     got = quality_classifier.fit_rows(rows)
     assert np.allclose(got["mean"], x.mean(axis=0), atol=1e-9) and np.allclose(got["scale"], x.std(axis=0), atol=1e-8)
     assert abs(got["cut"] - np.quantile(z @ got["w"], bad / n)) < 1e-6
+
+
+def test_every_trusted_document_counts(spark):
+    """More than 20,000 trusted documents: the weights are those of the plain counts, two features of one slot a document."""
+    import math
+
+    n, slots = 20_400, quality_rules.SLOTS
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("alpha").alias("text"))
+    assert set(quality_rules.slot_weights(docs, docs.select("doc_id"))) == {0.0}
+    more = docs.unionByName(spark.range(n, n + 100).select(F.col("id").alias("doc_id"), F.lit("beta").alias("text")))
+    shift = math.log(2 * (n + 100) + slots) - math.log(2 * n + slots)
+    assert set(quality_rules.slot_weights(more, docs.select("doc_id"))) == {round(shift, 6), round(shift - math.log(201), 6)}
