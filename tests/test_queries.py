@@ -52,3 +52,19 @@ def test_batching_covers_documents(spark):
     got = catalog.QUERIES["batching"](spark, DATA)
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id")
     assert got.count() == docs.count() and got.select("doc_id").exceptAll(docs).isEmpty()
+
+
+@pytest.mark.parametrize("name, source", [("tool_sessions", "events"), ("report_totals", "events"), ("conversation_sessions", "conversations")])
+def test_fold_starts_from_stored_records(spark, name, source):
+    """No part of the fold reads and decodes the lines again."""
+    files = catalog.QUERIES[name](spark, DATA).inputFiles()
+    assert files and not [f for f in files if f.endswith(f"{source}.parquet")]
+
+
+def test_report_folds_messages_once(spark, monkeypatch):
+    """The sessions of the document are folded from the stored messages."""
+    from sessionloom.sessions import fold
+
+    made, plain_messages = [], fold.messages
+    monkeypatch.setattr(fold, "messages", lambda records: made.append(1) or plain_messages(records))
+    assert catalog.QUERIES["report_document"](spark, DATA).first()["errors"] == 0 and len(made) == 1
