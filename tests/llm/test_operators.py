@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import line_dedup, packing, pieces, quality_classifier, quality_rules, records, substring_dedup, suffix_dedup
+from sessionloom.llm import line_dedup, packing, pieces, quality_classifier, quality_rules, records, spans, substring_dedup, suffix_dedup
 from sessionloom.llm.ann import nearest
 from sessionloom.llm.jaccard_join import jaccard_components
 from sessionloom.llm.queries import tokenizer_path
@@ -523,3 +523,39 @@ def test_every_trusted_document_counts(spark):
     more = docs.unionByName(spark.range(n, n + 100).select(F.col("id").alias("doc_id"), F.lit("beta").alias("text")))
     shift = math.log(2 * (n + 100) + slots) - math.log(2 * n + slots)
     assert set(quality_rules.slot_weights(more, docs.select("doc_id"))) == {round(shift, 6), round(shift - math.log(201), 6)}
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    import time
+
+    from sessionloom.llm.common import written
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    made = written(spark.range(50_000).groupBy((F.col("id") % 1000).alias("k")).count().repartition(3, "count"), "tidy")
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and made.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_bitmaps_reach_the_driver_as_columns(spark, monkeypatch):
+    """No row objects on the driver: a bitmap of 2**23 slots has up to 262,144 words."""
+    import numpy as np
+
+    from sessionloom.llm.common import slot_bitmap
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("k"))
+    slot = np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64) >> np.uint64(64 - 12)
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(type(keys), name, lambda self: pytest.fail("rows on the driver"))
+    got = np.unpackbits(np.frombuffer(slot_bitmap(keys, "k", 12), np.uint8), bitorder="little")
+    assert np.flatnonzero(got).tolist() == np.unique(slot).tolist()
+    assert not any(slot_bitmap(keys.limit(0), "k", 12))
+    anchors = lambda column: np.repeat(np.arange(5, dtype=np.uint64), [1, 2, 3, 1, 9])
+    few, many = spans.repeated_anchors(frame(spark, [(1, "a")]), anchors, 12, 3)
+    assert [spans.may_repeat(np.frombuffer(b, np.uint32), np.arange(5, dtype=np.uint64), 12).tolist() for b in (few, many)] == [[False, True, True, False, True], [False, False, True, False, True]]
