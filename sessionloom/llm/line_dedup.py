@@ -80,6 +80,7 @@ def line_dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None
         # with a bound on words every length counts, so the next is one line longer: the words of the first line are added
         step = 1 if by_words else min(length, min_lines - length)
         total = {}
+        ranked = written(ranked.drop("name"), "ranked")  # else each round's plan would hold those of all rounds before, several times
         if by_words:
             runs.append(maximal_runs(ranked.filter(F.col("words") >= min_words), length))
             total = {"words": F.col("more") + F.col("head"), "head": F.col("head")} if length > 1 else {"words": F.col("more") + F.col("words"), "head": F.col("words")}

@@ -559,3 +559,9 @@ def test_bitmaps_reach_the_driver_as_columns(spark, monkeypatch):
     anchors = lambda column: np.repeat(np.arange(5, dtype=np.uint64), [1, 2, 3, 1, 9])
     few, many = spans.repeated_anchors(frame(spark, [(1, "a")]), anchors, 12, 3)
     assert [spans.may_repeat(np.frombuffer(b, np.uint32), np.arange(5, dtype=np.uint64), 12).tolist() for b in (few, many)] == [[False, True, True, False, True], [False, False, True, False, True]]
+
+
+def test_plan_of_line_dedup_does_not_hold_all_rounds(spark):
+    data = frame(spark, [(1, "a b\nc d\ne f\ng h\ni j"), (2, "a b\nc d\ne f\ng h\ni j")])
+    joins = [line_dedup.line_dedup(data, lines, 51)._jdf.queryExecution().optimizedPlan().toString().count("Join ") for lines in (3, 5)]
+    assert joins[0] == joins[1] > 0
