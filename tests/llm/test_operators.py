@@ -65,6 +65,62 @@ def test_jaccard_with_lists_in_blocks(spark, monkeypatch):
     assert rows(jaccard_components(frame(spark, docs)), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(docs)
 
 
+def family(words, copies, edits, close):
+    """Texts made from one by many edits, too far apart to link, and for each of close one more that links with that text."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+
+    def edited(text, n):
+        text = list(text)
+        for _ in range(n):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        return text
+
+    texts = [edited(base, edits) for _ in range(copies)]
+    return [" ".join(t) for t in texts + [edited(texts[i], 20) for i in close]]
+
+
+def test_jaccard_of_long_texts_that_do_not_link(spark, monkeypatch):
+    """Unconnected texts are compared no further than their sketches: with those of one width for all sets, 1,118 pairs were."""
+    from sessionloom.llm import jaccard_join
+
+    docs = list(enumerate(family(1500, 40, 50, (3, 9, 9, 15, 20, 21, 22, 23, 24))))
+    counts, linked = [], jaccard_join._linked
+
+    def counted(pairs, *more):
+        counts.append(pairs.count())
+        return linked(pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "_linked", counted)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    assert rows(jaccard_components(frame(spark, docs)), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(docs)
+    assert len(counts) == 2 and counts[1] <= 50
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_jaccard_sketches_keep_pairs_that_link(spark, monkeypatch, block):
+    """Sizes beside a power of two, lists that are united and one that stands alone, blocks of any size."""
+    import pyarrow as pa
+
+    from sessionloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    texts = family(1100, 20, 40, (3, 9, 9, 15))
+    texts += [" ".join(texts[i].split(" ")[:900]) for i in (3, 5, 7)]
+    sets = jaccard_join.shingle_sets(pa.array(texts), 5)
+    node = [jaccard_join.set_node(s) for s in sets]
+    # lists of a centre with few members in common stay apart; the others are one cell
+    members = {1: range(27), 2: range(27), 3: range(20), 4: [26, 0], 5: [26, 1], 6: [26, 2]}
+    lists = spark.createDataFrame([(key, node[i], len(sets[i]), 9 if i == 26 and key > 3 else i % 5, node[i]) for key, m in members.items() for i in m], "key long, node long, size long, w long, label long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    have = jaccard_join._sets_of(docs, lists.select("node"), 5, 4)
+    assert {r["whole"] for r in jaccard_join._cells(lists).collect()} == {True, False}
+    got = [tuple(sorted((r["a"], r["b"]))) for r in jaccard_join._unconnected(lists, have, 75, 100, 4).collect()]
+    want = {tuple(sorted((node[i], node[j]))) for i in range(27) for j in range(i) if 100 * len(both := set(sets[i].tolist()) & set(sets[j].tolist())) >= 75 * (len(sets[i]) + len(sets[j]) - len(both))}
+    assert len(want) >= 7 and want <= set(got)
+    assert len(got) == len(set(got)) <= len(want) + 10
+
+
 def test_suffix_dedup(spark):
     docs = corpus() + twisted(100)
     got = suffix_dedup.suffix_dedup(frame(spark, docs), window=60, gram=20)
