@@ -113,7 +113,8 @@ def test_jaccard_sketches_keep_pairs_that_link(spark, monkeypatch, block):
     members = {1: range(27), 2: range(27), 3: range(20), 4: [26, 0], 5: [26, 1], 6: [26, 2]}
     lists = spark.createDataFrame([(key, node[i], len(sets[i]), 9 if i == 26 and key > 3 else i % 5, node[i]) for key, m in members.items() for i in m], "key long, node long, size long, w long, label long")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    have = jaccard_join._sets_of(docs, lists.select("node"), 5, 4)
+    named = spark.createDataFrame(list(enumerate(node)), "doc_id long, node long")
+    have = jaccard_join._sets_of(docs, named, lists.select("node"), 5, 4)
     assert {r["whole"] for r in jaccard_join._cells(lists).collect()} == {True, False}
     got = [tuple(sorted((r["a"], r["b"]))) for r in jaccard_join._unconnected(lists, have, 75, 100, 4).collect()]
     want = {tuple(sorted((node[i], node[j]))) for i in range(27) for j in range(i) if 100 * len(both := set(sets[i].tolist()) & set(sets[j].tolist())) >= 75 * (len(sets[i]) + len(sets[j]) - len(both))}
