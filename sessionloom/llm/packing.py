@@ -79,7 +79,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
 
         bpe = word_bpe(tokenizer)
         for batch in batches:
-            for part in tk.slices(batch, "text"):
+            for part in tk.slices(batch, "text", 1 << 20):
                 flat, bounds = bpe.encode(part.column(1))
                 rows: list[tuple] = []
                 end = np.array([end_id], dtype=np.uint32)
@@ -93,7 +93,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.lean(encode), schema)
 
 
 def pack_documents(
@@ -118,4 +118,4 @@ def pack_documents(
 
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("g").applyInPandas(pack, schema)
+    return dealt.groupBy("g").applyInPandas(tk.lean(pack), schema)

@@ -1,11 +1,14 @@
 """What Python workers hold: small batches while they work, little when they have ended, and rows dealt to all parts."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import psutil
 from pyspark.sql import functions as F
 
 from sessionloom.llm import jaccard_join as jj
+from sessionloom.llm import suffix_dedup as sd
 from sessionloom.llm import textkit as tk
 from sessionloom.llm.common import BATCH_BYTES, written
 
@@ -37,6 +40,39 @@ def test_a_task_gives_its_memory_back():
     assert psutil.Process().memory_info().rss - before < 100e6
 
 
+def test_anchors_found_some_rows_at_a_time_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab c\u00e9"), n)) for n in (0, 5, 90, 700, 3000, 100, 2500, 0)] + [None]
+    column = pa.array(texts)
+    _, off, grams = sd._grams(column, 10)
+    at, lo, hi = sd._anchors(off, grams, 40, 10)
+    for at_once in (1, 1000, 1 << 19):
+        monkeypatch.setattr(sd, "AT_ONCE", at_once)
+        for got, want in zip(sd._places(column, 40, 10), (at, lo, hi, grams[at])):
+            assert len(at) and np.array_equal(got, want)
+
+
+def test_anchors_of_a_slice_take_little_memory():
+    column = pa.array(["".join(map(chr, np.random.default_rng(i).integers(97, 123, 4000))) for i in range(1000)])
+    tk._powers.clear()
+    tracemalloc.start()
+    sd._places(column, 204, 51)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6
+
+
+def test_no_stage_of_the_comparison_has_two_sets_of_workers(spark):
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    sets = spark.range(1, 3).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("n"), F.lit(b"abcd").alias("set"))
+    kept = jj._only(sets, sets.select("node"))
+    plan = jj._compared(pairs.hint("merge"), kept.hint("merge"), 75, 100, 4)
+    assert plan.count() == 1
+    assert "SortMergeJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    wide = jj._sketches(sets.withColumns({"own": F.lit(6), "most": F.lit(6)}).select("node", "own", "most", "set"), sets.select("node"))
+    assert wide._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_lean_functions_of_groups_keep_their_arguments():
     assert tk.lean(lambda pdf: pdf + 1)(1) == 2
     assert tk.lean(lambda key, pdf: (key, pdf))(1, 2) == (1, 2)
